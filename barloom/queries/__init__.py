@@ -1,7 +1,7 @@
 """Registered queries with their SQL counterparts, one module per operator family."""
 from importlib import import_module
 
-_MODULES = ["panel_queries"]
+_MODULES = ["source_queries", "panel_queries", "schedule_queries", "text_queries", "signal_queries"]
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in _MODULES:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barloom.operators import panel as P
 from barloom.sources import bars as B
 
-MARKET = "Supplier#000000001"
+MARKET = "SUPPLIER#000000001"
 
 
 class Market:
@@ -43,7 +43,7 @@ class Market:
         )
         last = self.days.agg(F.max("bar_idx")).scalar()
         cells = self.table("supplier").select(
-            F.col("s_suppkey").alias("k"), F.col("s_name").alias("ticker"),
+            F.col("s_suppkey").alias("k"), F.upper("s_name").alias("ticker"),
             F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bar_idx"),
         )
         upto = Window.partitionBy("k").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
@@ -77,7 +77,7 @@ class Market:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         return self.table("supplier").filter(F.col("s_suppkey") % 10 != 0).join(
             nation, F.col("s_nationkey") == F.col("n_nationkey")
-        ).select(F.col("s_name").alias("ticker"), F.col("r_name").alias("sector"))
+        ).select(F.upper("s_name").alias("ticker"), F.col("r_name").alias("sector"))
 
     @cached_property
     def membership(self) -> DataFrame:
@@ -89,7 +89,7 @@ class Market:
         quarter = Window.partitionBy("date")
         return revenue.withColumns({
             "rk": F.row_number().over(quarter.orderBy(F.desc("cents"), "s_name")), "n": F.count("*").over(quarter),
-        }).filter(F.col("rk") * 10 <= F.col("n") * 6).select("date", F.col("s_name").alias("ticker"))
+        }).filter(F.col("rk") * 10 <= F.col("n") * 6).select("date", F.upper("s_name").alias("ticker"))
 
     @cached_property
     def raw_news(self) -> DataFrame:
@@ -110,7 +110,7 @@ class Market:
         lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).filter(
             (F.col("o_orderstatus") == "O") & (F.col("l_suppkey") % 4 != 3)
         ).join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        held = lines.groupBy(F.col("o_custkey").alias("account"), F.col("s_name").alias("ticker")).agg(
+        held = lines.groupBy(F.col("o_custkey").alias("account"), F.upper("s_name").alias("ticker")).agg(
             F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
         total = held.groupBy("account").agg(F.sum("cents").alias("total"))
         return held.join(total, "account").select(
@@ -124,7 +124,7 @@ class Market:
         lines = self.table("lineitem").join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).filter(
             (F.col("o_orderstatus") == "F") & (F.col("l_suppkey") % 4 != 1)
         ).join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        return lines.groupBy(F.col("o_custkey").alias("account"), F.col("s_name").alias("ticker")).agg(
+        return lines.groupBy(F.col("o_custkey").alias("account"), F.upper("s_name").alias("ticker")).agg(
             F.sum("l_quantity").alias("quantity"))
 
     @cached_property
@@ -143,7 +143,7 @@ class Market:
 
     @cached_property
     def fills(self) -> DataFrame:
-        supplier = self.table("supplier").select("s_suppkey", F.col("s_name").alias("ticker"))
+        supplier = self.table("supplier").select("s_suppkey", F.upper("s_name").alias("ticker"))
         return self.table("lineitem").join(
             self.table("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")
         ).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
@@ -198,7 +198,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "bars": (["cal", "lines"], """
         SELECT ticker, date, round(c * (1 + gap_bp / 10000.0::DOUBLE), 4) AS open, round(c * 1.005::DOUBLE, 4) AS high,
                round(c * 0.995::DOUBLE, 4) AS low, round(c, 4) AS close, CAST(vol AS DOUBLE) AS volume
-        FROM (SELECT s_suppkey AS k, s_name AS ticker, cal.date, bar_idx, coalesce(gap_bp, 0) AS gap_bp, coalesce(vol, 10) AS vol,
+        FROM (SELECT s_suppkey AS k, upper(s_name) AS ticker, cal.date, bar_idx, coalesce(gap_bp, 0) AS gap_bp, coalesce(vol, 10) AS vol,
                      100.0::DOUBLE * exp(sum(coalesce(r_bp, 0)) OVER (PARTITION BY s_suppkey ORDER BY bar_idx) / 10000.0::DOUBLE) AS c
               FROM supplier CROSS JOIN cal LEFT JOIN lines ON lines.k = s_suppkey AND lines.date = cal.date) px
         WHERE NOT ((k % 5 = 4 AND bar_idx < 300) OR (k % 100 = 3 AND bar_idx > 1500) OR (k % 100 = 7 AND bar_idx % 50 = 0))"""),
@@ -206,11 +206,11 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT t.ticker, cal.date, cal.bar_idx, open, high, low, close, volume
         FROM (SELECT DISTINCT ticker FROM bars) t CROSS JOIN cal LEFT JOIN bars ON bars.ticker = t.ticker AND bars.date = cal.date"""),
     "sectors": ([], """
-        SELECT s_name AS ticker, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        SELECT upper(s_name) AS ticker, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 10 <> 0"""),
     "membership": ([], """
         SELECT date, ticker FROM (
-          SELECT date, s_name AS ticker, row_number() OVER (PARTITION BY date ORDER BY cents DESC, s_name) AS rk, count(*) OVER (PARTITION BY date) AS n
+          SELECT date, upper(s_name) AS ticker, row_number() OVER (PARTITION BY date ORDER BY cents DESC, s_name) AS rk, count(*) OVER (PARTITION BY date) AS n
           FROM (SELECT CAST(date_trunc('quarter', l_shipdate) AS DATE) AS date, l_suppkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents
                 FROM lineitem GROUP BY ALL) q JOIN supplier ON l_suppkey = s_suppkey) r WHERE rk * 10 <= n * 6"""),
     "member_grid": (["grid", "membership"], """
@@ -229,11 +229,11 @@ CTES: dict[str, tuple[list[str], str]] = {
         ON l_orderkey = doc_id"""),
     "targets": ([], """
         SELECT account, ticker, 0.95::DOUBLE * (CAST(cents AS DOUBLE) / CAST(sum(cents) OVER (PARTITION BY account) AS DOUBLE)) AS weight FROM (
-          SELECT o_custkey AS account, s_name AS ticker, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents
+          SELECT o_custkey AS account, upper(s_name) AS ticker, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents
           FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
           WHERE o_orderstatus = 'O' AND l_suppkey % 4 <> 3 GROUP BY ALL) h"""),
     "holdings": ([], """
-        SELECT o_custkey AS account, s_name AS ticker, sum(l_quantity) AS quantity
+        SELECT o_custkey AS account, upper(s_name) AS ticker, sum(l_quantity) AS quantity
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
         WHERE o_orderstatus = 'F' AND l_suppkey % 4 <> 1 GROUP BY ALL"""),
     "last_close": (["bars"], "SELECT ticker, max_by(close, date) AS price FROM bars GROUP BY ticker"),
@@ -241,7 +241,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT c_custkey AS account, 20000.0::DOUBLE + c_acctbal AS equity, c_acctbal * 0.5::DOUBLE AS cash,
                CASE WHEN c_custkey % 7 <> 0 THEN 20500.0::DOUBLE END AS last_equity FROM customer"""),
     "fills": ([], """
-        SELECT CASE WHEN l_linestatus = 'F' THEN 'paper' ELSE 'live' END AS broker, CAST(l_shipdate AS DATE) AS as_of, s_name AS ticker,
+        SELECT CASE WHEN l_linestatus = 'F' THEN 'paper' ELSE 'live' END AS broker, CAST(l_shipdate AS DATE) AS as_of, upper(s_name) AS ticker,
                CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side,
                CASE WHEN l_discount >= 0.095 THEN 'rejected' WHEN l_tax >= 0.075 THEN 'partially_filled' ELSE 'filled' END AS status,
                CASE WHEN l_discount >= 0.095 THEN 0.0::DOUBLE ELSE l_quantity END AS filled_quantity,

@@ -42,7 +42,7 @@ def all_members(spark, folder):
 def attach_features(spark, folder):
     m = Market(spark, folder)
     traded = m.table("lineitem").join(m.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(
-        F.col("s_name").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("traded"))
+        F.upper("s_name").alias("ticker"), F.to_date("l_shipdate").alias("date")).agg(F.sum("l_quantity").alias("traded"))
     return P.with_features(m.grid, traded, ["traded"]).select("ticker", "date", "traded")
 
 
@@ -114,7 +114,7 @@ ORACLES = {
         SELECT DISTINCT ticker FROM membership WHERE date BETWEEN DATE '1996-02-01' AND DATE '1996-12-31'""", "membership"),
     "attach_features": sql("""
         SELECT g.ticker, g.date, coalesce(traded, 0.0::DOUBLE) AS traded FROM grid g LEFT JOIN (
-          SELECT s_name AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS traded
+          SELECT upper(s_name) AS ticker, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS traded
           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) f ON f.ticker = g.ticker AND f.date = g.date""", "grid"),
     "min_history": sql("SELECT ticker, count(close) AS n_closes FROM bars GROUP BY ticker HAVING count(close) >= 1500", "bars"),
     "returns": sql(f"SELECT ticker, date, {r6('close / lag(close) OVER (PARTITION BY ticker ORDER BY bar_idx) - 1')} AS ret FROM grid", "grid"),

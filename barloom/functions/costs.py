@@ -1,0 +1,94 @@
+"""Transaction costs as column expressions, and cost scenarios as extra rows."""
+from __future__ import annotations
+
+import math
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class CostModel:
+    """Slippage and half the spread move the price against the order; commission comes on top."""
+
+    commission_per_share: float = 0.0
+    commission_min: float = 0.0
+    commission_pct: float = 0.0
+    slippage_bps: float = 5.0
+    spread_bps: float = 2.0
+
+    @property
+    def penalty(self) -> float:
+        return (self.slippage_bps + self.spread_bps / 2.0) / 10_000.0
+
+    def scaled(self, k: float) -> CostModel:
+        return CostModel(self.commission_per_share * k, self.commission_min * k, self.commission_pct * k,
+                         self.slippage_bps * k, self.spread_bps * k)
+
+    def columns(self) -> dict[str, Column]:
+        """The model as literal columns."""
+        return {
+            "penalty": F.lit(float(self.penalty)), "pct": F.lit(float(self.commission_pct)),
+            "per_share": F.lit(float(self.commission_per_share)), "per_order": F.lit(float(self.commission_min)),
+        }
+
+
+# The named cost levels.
+PRESETS: dict[str, CostModel] = {
+    "zero": CostModel(0.0, 0.0, 0.0, 0.0, 0.0),
+    "retail": CostModel(0.0, 0.0, 0.0, 5.0, 2.0),
+    "ibkr": CostModel(0.005, 1.0, 0.0, 5.0, 2.0),
+    "pessimistic": CostModel(0.0, 0.0, 0.0, 20.0, 10.0),
+}
+
+
+def side_sign(side: Column) -> Column:
+    """+1 for 'buy', -1 for 'sell'; anything else is an error."""
+    bad = F.raise_error(F.concat(F.lit("unknown side "), F.coalesce(side, F.lit("null"))))
+    return F.when(side == "buy", 1).when(side == "sell", -1).otherwise(bad)
+
+
+def fill_price(reference: Column, sign: Column, penalty: Column | str = "penalty") -> Column:
+    penalty = F.col(penalty) if isinstance(penalty, str) else penalty
+    return reference * (1 + sign * penalty)
+
+
+def commission(quantity: Column, price: Column) -> Column:
+    """Per share plus a share of the notional, at least the order minimum, nothing for an empty order."""
+    size = F.abs(quantity)
+    fee = size * F.col("per_share") + size * price * F.col("pct")
+    return F.when(size == 0, 0.0).otherwise(F.greatest(fee, F.col("per_order")))
+
+
+def loss_rate(sign: Column, reference: Column) -> Column:
+    """Equity lost per unit of reference notional traded: price penalty plus proportional commission."""
+    return F.col("penalty") + (1 + sign * F.col("penalty")) * F.col("pct") + F.col("per_share") / reference
+
+
+def with_costs(df: DataFrame, model: CostModel) -> DataFrame:
+    return df.withColumns(model.columns())
+
+
+def with_scenarios(df: DataFrame, scenarios: Mapping[str, CostModel]) -> DataFrame:
+    """Every row once per cost scenario: an explode of a short literal list, not a join."""
+    options = F.array(*[
+        F.struct(F.lit(name).alias("scenario"), *[c.alias(n) for n, c in model.columns().items()])
+        for name, model in scenarios.items()])
+    return df.withColumn("_s", F.explode(options)).select("*", "_s.*").drop("_s")
+
+
+def with_fill_costs(fills: DataFrame, reference: str = "reference", quantity: str = "quantity") -> DataFrame:
+    """Add price, commission and total cost against the reference to rows that carry cost columns."""
+    sign = side_sign(F.col("side"))
+    priced = fills.withColumn("price", fill_price(F.col(reference), sign))
+    return priced.withColumn("commission", commission(F.col(quantity), F.col("price"))).withColumn(
+        "cost", F.abs(quantity) * F.abs(F.col("price") - F.col(reference)) + F.col("commission"))
+
+
+def rounds_for(penalty: float, tolerance: float = 1e-13) -> int:
+    """How many refinement rounds the cost chain needs: each gains about -log10(2 x penalty) digits."""
+    if penalty <= 0:
+        return 0
+    return max(2, math.ceil(math.log10(tolerance) / math.log10(min(2 * penalty, 0.3))))

@@ -272,7 +272,10 @@ def sql(final: str, *uses: str, recursive: bool = False, **steps: str) -> str:
 
     for name in uses:
         visit(name)
-    parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({body})" for n, body in steps.items()]
+    # a step that refers to itself cannot be materialised, everything a recursion reads should be
+    how = lambda n, body: "AS MATERIALIZED" if recursive and f" {n} " not in body else "AS"
+    bodies = {**{n: CTES[n][1] for n in order}, **steps}
+    parts = [f"{n} {how(n, body)} ({body})" for n, body in bodies.items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return (head + ",\n".join(parts) + "\n" if parts else "") + final
 

@@ -105,7 +105,7 @@ def clean_weights(spark, folder):
     """Daily close-over-volume ratios as raw weights: infinite where nothing traded, null in holes."""
     m = Market(spark, folder)
     raw = m.grid.select("ticker", "date", F.when((F.col("volume") % 5 == 0), F.lit(float("inf"))).when(
-        F.col("volume") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("close") / F.lit(1000.0)).alias("weight"))
+        F.col("volume") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("close") / F.lit(997.0)).alias("weight"))
     return K.clean_weights(raw, m.sectors).select("ticker", "date", r6c("weight").alias("weight"))
 
 
@@ -243,7 +243,7 @@ ORACLES = {
     "vol_target": sql(f"SELECT date, ticker, {r6('weight')} AS weight FROM scaled", "mom_top", "rets",
                       book="SELECT date, bar_idx, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM mom_top", **book_sql("book")),
     "clean_weights": sql(f"""
-        SELECT ticker, date, CASE WHEN volume % 5 = 0 OR volume % 7 = 0 OR close IS NULL THEN 0.0::DOUBLE ELSE {r6('close / 1000.0::DOUBLE')} END AS weight
+        SELECT ticker, date, CASE WHEN volume % 5 = 0 OR volume % 7 = 0 OR close IS NULL THEN 0.0::DOUBLE ELSE {r6('close / 997.0::DOUBLE')} END AS weight
         FROM grid WHERE ticker IN (SELECT ticker FROM sectors)""", "grid", "sectors"),
     "momentum_weights": sql(f"SELECT date, ticker, {r6('weight')} AS weight FROM scaled", "mom_top", "vols", "gate", "rets",
                             gated="SELECT * FROM mom_top JOIN gate USING (date) WHERE risk_on", book=_inverse("gated"), **book_sql("book")),

@@ -1,7 +1,6 @@
 """Transaction costs as column expressions, and cost scenarios as extra rows."""
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -86,9 +85,3 @@ def with_fill_costs(fills: DataFrame, reference: str = "reference", quantity: st
     return priced.withColumn("commission", commission(F.col(quantity), F.col("price"))).withColumn(
         "cost", F.abs(quantity) * F.abs(F.col("price") - F.col(reference)) + F.col("commission"))
 
-
-def rounds_for(penalty: float, tolerance: float = 1e-13) -> int:
-    """How many refinement rounds the cost chain needs: each gains about -log10(2 x penalty) digits."""
-    if penalty <= 0:
-        return 0
-    return max(2, math.ceil(math.log10(tolerance) / math.log10(min(2 * penalty, 0.3))))

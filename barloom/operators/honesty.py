@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.normal import EULER_GAMMA, norm_cdf, norm_ppf
@@ -59,33 +59,37 @@ def min_backtest_years(n_trials: Column, target_annual: Column) -> Column:
         safe_ratio(2 * F.ln(F.greatest(n_trials.cast("double"), F.lit(1.0))), target_annual * target_annual))
 
 
-def honesty_columns(mean: Column, sd: Column, n: Column, skew_pop: Column, kurt_pop: Column, year: int = YEAR,
-                    n_trials: Column | None = None, trial_sd: Column | None = None) -> dict[str, Column]:
-    """The report as columns over aggregated return moments; degenerate series get the defaults.
+def with_honesty(moments: DataFrame, year: int = YEAR, n_trials: str | None = None, trial_sd: str | None = None) -> DataFrame:
+    """Add the report to aggregated return moments (mean_ret, sd_ret, n_ret, skew_pop, kurt_pop).
 
-    `n_trials` and `trial_sd` (of annual Sharpes of everything that was tried) add the deflated part.
+    Degenerate series get the defaults. `n_trials` and `trial_sd` name columns with the number and the
+    deviation of the annual Sharpes of everything that was tried; they add the deflated part. The
+    columns are added in stages so that shared terms are computed once.
     """
-    ok = (n >= 3) & (sd > 0)
     root = math.sqrt(year)
-    sr = F.when(ok, safe_ratio(mean, sd))
-    skew = unbiased_skew(skew_pop, n)
-    kurt = F.coalesce(unbiased_kurtosis(kurt_pop, n), F.lit(float("nan"))) + 3
-
-    def guarded(value: Column, default: float) -> Column:
-        return F.when(ok, value).otherwise(default)
-
+    c = F.col
     zero = F.lit(0.0)
-    out = {
-        "sharpe_annual": guarded(sr * root, 0.0),
-        "sharpe_se_annual": guarded(sharpe_std_error(sr, n, skew, kurt) * root, INF),
-        "psr_zero": guarded(probabilistic_sharpe(sr, zero, n, skew, kurt), 0.0),
-        "min_track_years": guarded(min_track_record_length(sr, zero, skew, kurt) / year, INF),
-        "skew": guarded(skew, 0.0), "kurt": guarded(kurt, 3.0),
-    }
+    df = moments.withColumn("_ok", F.coalesce((c("n_ret") >= 3) & (c("sd_ret") > 0), F.lit(False)))
+    df = df.withColumns({
+        "_sr": F.when(c("_ok"), safe_ratio(c("mean_ret"), c("sd_ret"))).otherwise(0.0),
+        "skew": F.when(c("_ok"), unbiased_skew(c("skew_pop"), c("n_ret"))).otherwise(0.0),
+        "kurt": F.when(c("_ok"), F.coalesce(unbiased_kurtosis(c("kurt_pop"), c("n_ret")), F.lit(float("nan"))) + 3).otherwise(3.0),
+    })
+    df = df.withColumn("_se", sharpe_std_error(c("_sr"), c("n_ret"), c("skew"), c("kurt")))
+    df = df.withColumns({
+        "sharpe_annual": c("_sr") * root,
+        "sharpe_se_annual": F.when(c("_ok"), c("_se") * root).otherwise(INF),
+        "_z": F.when(c("_ok") & (c("_se") > 0), c("_sr") / c("_se")),
+        "min_track_years": F.when(c("_ok"), min_track_record_length(c("_sr"), zero, c("skew"), c("kurt")) / year).otherwise(INF),
+    })
+    df = df.withColumn("psr_zero", F.when(c("_z").isNotNull(), norm_cdf(c("_z"))).otherwise(0.0))
     if n_trials is not None:
-        many = ok & (n_trials > 1)
-        sr0 = expected_max_sharpe(n_trials, trial_sd / root)
-        out["expected_max_sharpe_annual"] = F.when(many, sr0 * root)
-        out["dsr"] = F.when(many, probabilistic_sharpe(sr, sr0, n, skew, kurt))
-        out["min_backtest_years"] = F.when(many, min_backtest_years(n_trials, F.greatest(sr0 * root, F.lit(1e-9))))
-    return out
+        many = c("_ok") & (c(n_trials) > 1)
+        df = df.withColumn("_sr0", F.when(many, expected_max_sharpe(c(n_trials), c(trial_sd) / root)))
+        df = df.withColumn("_z", F.when(c("_se") > 0, (c("_sr") - c("_sr0")) / c("_se")))
+        df = df.withColumns({
+            "expected_max_sharpe_annual": c("_sr0") * root,
+            "dsr": F.when(many, F.coalesce(norm_cdf(c("_z")), zero)),
+            "min_backtest_years": F.when(many, min_backtest_years(c(n_trials), F.greatest(c("_sr0") * root, F.lit(1e-9)))),
+        }).drop("_sr0")
+    return df.drop("_ok", "_sr", "_se", "_z")

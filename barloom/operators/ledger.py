@@ -6,10 +6,14 @@ change, so everything inside a period is linear in the equity at its opening tra
     equity(t) = equity_at_open * (1 - sum(w) - cost + sum(w * mark(t) / reference))
 
 and the opening equities chain as a product of period growths. Only the cost of an entry depends on
-the growth of the period before it, which contains that entry's cost. The dependence is weak (the
-price penalty), so the costs of all entries are refined together in a few rounds instead of one entry
-after another; each round is one aggregate over all legs. The result is exact to rounding when no
-trade is suppressed: fractional shares, no trade band, no volume or cash cap, no order minimum.
+the growth of the period before it, which contains the cost before that. Once it is known which legs
+are bought and which are sold, an entry's cost is a - b / growth with two sums a and b over its legs,
+and the chain is a fold over one small row per entry. The sides follow from the growths, so the two
+steps alternate: a side can only be wrong while its trade is about as small as the error of the
+growth, which shrinks with the square of the price penalty, and three passes reach rounding error.
+
+The result is exact when no trade is suppressed: fractional shares, no trade band, no volume or cash
+cap, no order minimum.
 """
 from __future__ import annotations
 
@@ -65,7 +69,7 @@ class Ledger:
     marks: DataFrame
     keys: list[str]
     initial_cash: float = 100_000.0
-    rounds: int = 6
+    passes: int = 3
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -93,26 +97,37 @@ class Ledger:
     @cached_property
     def periods(self) -> DataFrame:
         """One row per entry: growth since the previous one, cost and equity at the open before costs."""
-        k = [*self.keys, "entry_no"]
-        chain = Window.partitionBy(*self.keys).orderBy("entry_no")
+        keys, k = self.keys, [*self.keys, "entry_no"]
         sums = self.legs.groupBy(*k).agg(F.sum("w").alias("invested"), F.sum("w_prev").alias("_w_prev"), F.sum("wr").alias("_wr"))
         base = self.entries.join(sums, k, "left").na.fill(0.0, ["invested", "_w_prev", "_wr"]).withColumn(
-            "_gross_growth", 1 - F.col("_w_prev") + F.col("_wr")).drop("_w_prev", "_wr")
-        base = cut_lineage(base)
-        state = base.withColumn("cost", F.lit(0.0))
-        for _ in range(self.rounds + 1 if self.rounds else 0):
-            grown = self._with_growth(state, chain).select(*k, "growth")
-            traded = self.legs.join(grown, k)
-            move = F.col("w") - F.col("wr") / F.col("growth")
-            paid = traded.groupBy(*k).agg(F.sum(F.abs(move) * loss_rate(F.signum(move), F.col("ref"))).alias("cost"))
-            state = base.join(paid, k, "left").na.fill(0.0, ["cost"])
-        done = self._with_growth(state, chain)
-        return done.withColumn("open_equity", F.lit(float(self.initial_cash)) * F.product("growth").over(
-            chain.rowsBetween(Window.unboundedPreceding, 0))).drop("_gross_growth")
-
-    @staticmethod
-    def _with_growth(state: DataFrame, chain) -> DataFrame:
-        return state.withColumn("growth", F.col("_gross_growth") - F.coalesce(F.lag("cost").over(chain), F.lit(0.0)))
+            "gross", 1 - F.col("_w_prev") + F.col("_wr")).drop("_w_prev", "_wr")
+        state = base.select(*k, F.col("gross").alias("growth"), F.lit(0.0).alias("cost"))
+        for _ in range(self.passes):
+            state = self._chain(base, self._cost_terms(state))
+        opened = F.lit(float(self.initial_cash)) * F.product("growth").over(
+            Window.partitionBy(*keys).orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0))
+        return cut_lineage(base.drop("gross").join(state, k).withColumn("open_equity", opened))
+
+    def _cost_terms(self, state: DataFrame) -> DataFrame:
+        """Per entry the sums (a, b) that make its cost a - b / growth, with sides by the growths of `state`."""
+        k = [*self.keys, "entry_no"]
+        rows = self.legs.join(state.select(*k, "growth"), k).withColumn("_side", F.signum(F.col("w") - F.col("wr") / F.col("growth")))
+        paid = F.col("_side") * loss_rate(F.col("_side"), F.col("ref"))
+        return rows.groupBy(*k).agg(F.sum(paid * F.col("w")).alias("a"), F.sum(paid * F.col("wr")).alias("b"))
+
+    def _chain(self, base: DataFrame, terms: DataFrame) -> DataFrame:
+        """Growth and cost of every entry in order; the fold sees four numbers per entry."""
+        keys, k = self.keys, [*self.keys, "entry_no"]
+        rows = base.select(*k, "gross").join(terms, k, "left").na.fill(0.0, ["a", "b"])
+        line = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("entry_no", "gross", "a", "b"))).alias("line"))
+        empty = F.array().cast("array<struct<entry_no:int,growth:double,cost:double>>")
+
+        def step(done, e):
+            growth = e["gross"] - F.coalesce(F.try_element_at(done, F.lit(-1))["cost"], F.lit(0.0))
+            return F.concat(done, F.array(F.struct(
+                e["entry_no"].alias("entry_no"), growth.alias("growth"), (e["a"] - e["b"] / growth).alias("cost"))))
+
+        return line.select(*keys, F.explode(F.aggregate("line", empty, step)).alias("e")).select(*keys, "e.*")
 
     @cached_property
     def held(self) -> DataFrame:
@@ -127,7 +142,10 @@ class Ledger:
 
     @cached_property
     def equity(self) -> DataFrame:
-        """Cash and equity at every close of each window, flat at the initial cash before the first entry."""
+        """Cash and equity at every close of each window, flat at the initial cash before the first entry.
+
+        Materialised, because statistics, turnover and the overlay read it again.
+        """
         k = self.keys
         first = self.entries.groupBy(*k).agg(F.min("entry_idx").alias("_start"))
         idle = self.windows.join(first, list(k), "left").select(
@@ -138,8 +156,8 @@ class Ledger:
             (F.col("open_equity") * (1 - F.col("invested") - F.col("cost"))).alias("cash"))
         days = idle.unionByName(busy).select(*k, "cash", F.explode(F.sequence("_from", "_to")).alias("bar_idx"))
         value = self.held.groupBy(*k, "bar_idx").agg(F.sum("value").alias("_value"))
-        return days.join(value, [*k, "bar_idx"], "left").select(
-            *k, "bar_idx", "cash", (F.col("cash") + F.coalesce("_value", F.lit(0.0))).alias("equity"))
+        return cut_lineage(days.join(value, [*k, "bar_idx"], "left").select(
+            *k, "bar_idx", "cash", (F.col("cash") + F.coalesce("_value", F.lit(0.0))).alias("equity")))
 
     @cached_property
     def weights_at_close(self) -> DataFrame:
@@ -199,4 +217,4 @@ def drawdown_overlay(ledger: Ledger, halve_at: float = 0.10, flat_at: float = 0.
     peak = F.greatest(F.max("equity").over(upto), F.lit(float(ledger.initial_cash)))
     scale = ledger.equity.select(*ledger.keys, "bar_idx", drawdown_scale(1.0 - F.col("equity") / peak, halve_at, flat_at).alias("_scale"))
     cut = ledger.weights.join(scale, [*ledger.keys, "bar_idx"]).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
-    return Ledger(cut, ledger.decisions, ledger.windows, ledger.marks, ledger.keys, ledger.initial_cash, ledger.rounds)
+    return Ledger(cut, ledger.decisions, ledger.windows, ledger.marks, ledger.keys, ledger.initial_cash, ledger.passes)

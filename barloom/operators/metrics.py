@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import safe_ratio
-from barloom.operators.honesty import honesty_columns
+from barloom.operators.honesty import with_honesty
 
 YEAR = 252
 
@@ -66,9 +66,9 @@ def metrics(equity: DataFrame, keys: Sequence[str], turnover: DataFrame | None =
         "sortino": sortino(c("mean_ret"), c("downside_sq"), c("n_ret"), year),
         "best_day": F.coalesce("best", F.lit(0.0)), "worst_day": F.coalesce("worst", F.lit(0.0)),
     }).withColumn("calmar", F.when(c("max_drawdown") < 0, c("cagr") / F.abs("max_drawdown")).otherwise(0.0))
-    h = honesty_columns(c("mean_ret"), c("sd_ret"), c("n_ret"), c("skew_pop"), c("kurt_pop"), year)
-    out = out.withColumns({"sharpe_se": h["sharpe_se_annual"], "prob_sharpe_gt_zero": h["psr_zero"], "min_track_years_95pct": h["min_track_years"]})
-    out = out.drop("mean_ret", "sd_ret", "downside_sq", "skew_pop", "kurt_pop", "best", "worst", "n_ret")
+    out = with_honesty(out, year).withColumnsRenamed({
+        "sharpe_se_annual": "sharpe_se", "psr_zero": "prob_sharpe_gt_zero", "min_track_years": "min_track_years_95pct"})
+    out = out.drop("mean_ret", "sd_ret", "downside_sq", "skew_pop", "kurt_pop", "best", "worst", "n_ret", "skew", "kurt", "sharpe_annual")
     if turnover is not None:
         out = out.join(turnover.groupBy(*keys).agg((F.avg("turnover") * year).alias("annual_turnover")), list(keys), "left")
     if trades is not None:

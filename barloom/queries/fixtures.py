@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import panel as P
+from barloom.session import cut_lineage
 from barloom.sources import bars as B
 
 MARKET = "SUPPLIER#000000001"
@@ -183,6 +184,10 @@ class Market:
     def marked(self) -> DataFrame:
         return P.with_mark(self.grid)
 
+    def materialise(self) -> None:
+        """Store the marked panel once, for jobs that read it for signals, fills and valuation."""
+        self.marked = self.grid = cut_lineage(self.marked)
+
 
 # ---- the same tables as SQL: name -> (depends on, select) ---------------------------------------
 CTES: dict[str, tuple[list[str], str]] = {

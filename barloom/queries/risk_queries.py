@@ -97,8 +97,7 @@ def rebalance_plan(spark, folder):
     exposure = R.drawdown_from_history(m.table("events").select(F.col("user_id").alias("account"), "event_id", (F.col("value") + 50).alias("equity")), ["account"], "event_id")
     due = m.accounts.filter(F.col("account") % 3 != 1)
     plan = O.rebalance_plan(m.targets, m.holdings, _quotes(m), m.last_close, m.accounts, R.RiskLimits(max_weight=0.2), due, exposure)
-    return plan.select("account", "submit_no", "ticker", "side", r6c("quantity", 3).alias("quantity"), r6c("est_price", 5).alias("est_price"),
-                       r6c("current_w", 3).alias("current_w"), r6c("target_w", 3).alias("target_w"))
+    return plan.select("account", "submit_no", "ticker", "side", "quantity", r6c("est_price", 5).alias("est_price"), "current_w", "target_w")
 
 
 def volume_cap(spark, folder):
@@ -206,8 +205,8 @@ ORACLES = {
         FROM holdings h JOIN accounts USING (account) JOIN last_close l ON l.ticker = h.ticker LEFT JOIN quotes q ON q.ticker = h.ticker""",
         "holdings", "accounts", "last_close", "quotes"),
     "rebalance_plan": sql("""
-        SELECT c.account, row_number() OVER (PARTITION BY c.account ORDER BY side DESC, c.ticker) AS submit_no, c.ticker, side, round(c.quantity, 3) AS quantity,
-               round(price, 5) AS est_price, round(round(coalesce(h.quantity * price / equity, 0.0::DOUBLE), 4), 3) AS current_w, round(round(target_w, 4), 3) AS target_w
+        SELECT c.account, row_number() OVER (PARTITION BY c.account ORDER BY side DESC, c.ticker) AS submit_no, c.ticker, side, round(c.quantity, 4) AS quantity,
+               round(price, 5) AS est_price, round(coalesce(h.quantity * price / equity, 0.0::DOUBLE), 4) AS current_w, round(target_w, 4) AS target_w
         FROM capped c LEFT JOIN due_holdings h ON h.account = c.account AND h.ticker = c.ticker WHERE side = 'sell' OR c.quantity > 0""",
         "targets", "holdings", "last_close", "accounts", "quotes",
         due="SELECT * FROM accounts WHERE account % 3 <> 1",

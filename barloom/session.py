@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,14 +22,24 @@ def build_session(master: str = "local[*]", app: str = "barloom", **conf: str) -
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder the cluster names in spark.checkpoint.dir.
+
+    A local folder is made up only when nothing is configured, which is the case in tests.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="barloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in reliable storage so that a long plan restarts from files, not from the source.
+    """Write `df` to the shared folder and continue from the files.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a local folder is used only
-    when nothing is configured, which is the case in tests.
+    A lost executor then costs a file read instead of the whole plan; later plans stay small, read only
+    the columns they need and know the real size of the table.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,10 +1,21 @@
 """Small scalar expressions shared by the operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def per_day(table: DataFrame) -> DataFrame:
+    """Mark a table with one row per calendar day as the broadcast side of a join.
+
+    Its size is bounded by the length of market history (some ten thousand rows per forty years), not
+    by the data. Without the mark the planner may pick the panel as the broadcast side, because it
+    does not see that an explode multiplies rows, and the single partition of a day table would then
+    carry the whole panel.
+    """
+    return F.broadcast(table)
+
+
 def normal_symbol(col: Column | str) -> Column:
     """Share classes use '-' here where exchanges use '.': 'brk.b' -> 'BRK-B'."""
     return F.replace(F.upper(F.trim(col)), F.lit("."), F.lit("-"))

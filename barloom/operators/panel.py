@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import finite_or_null, safe_ratio
+from barloom.functions.scalars import finite_or_null, per_day, safe_ratio
 
 def by_ticker() -> WindowSpec:
     """A ticker's rows in calendar order."""
@@ -53,7 +53,7 @@ def with_membership(grid: DataFrame, calendar: DataFrame, membership: DataFrame)
     The as-of step runs on calendar dates only; the big join is a plain equality on (snapshot, ticker).
     """
     held = membership.select(F.col("date").alias("snapshot"), "ticker", F.lit(True).alias("_in")).distinct()
-    dated = grid.join(snapshot_of_date(calendar, membership), "date", "left")
+    dated = grid.join(per_day(snapshot_of_date(calendar, membership)), "date", "left")
     return dated.join(held, ["snapshot", "ticker"], "left").withColumn(
         "member", F.coalesce("_in", F.lit(False))
     ).drop("snapshot", "_in")

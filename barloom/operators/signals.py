@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import safe_ratio
+from barloom.functions.scalars import per_day, safe_ratio
 from barloom.operators.panel import by_ticker, full_window, trailing, with_eligible
 from barloom.operators.sizing import pick_top
 
@@ -38,7 +38,7 @@ def apply_market_filter(rows: DataFrame, gate: DataFrame | None) -> DataFrame:
     """Drop rows of risk-off dates; a date the gate does not know passes."""
     if gate is None:
         return rows
-    return rows.join(gate.filter(~F.col("risk_on")).select("date"), "date", "left_anti")
+    return rows.join(per_day(gate.filter(~F.col("risk_on")).select("date")), "date", "left_anti")
 
 
 def with_sma_crossover(grid: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import per_day
 from barloom.operators import panel as P
 from barloom.operators import schedule as S
 from barloom.operators import signals as G
@@ -84,7 +85,7 @@ def _select_and_size(rows: DataFrame, ready: DataFrame, configs: Sequence[dict],
 
 def _at_decisions(scored: DataFrame, panel: Panel, params: dict) -> DataFrame:
     """Decision-date rows that pass the market filter, with sectors."""
-    rows = scored.join(S.decision_dates(panel.calendar, params["rebalance"]).select("date"), "date", "left_semi")
+    rows = scored.join(per_day(S.decision_dates(panel.calendar, params["rebalance"]).select("date")), "date", "left_semi")
     market = params.get("market_filter")
     if market:
         rows = G.apply_market_filter(rows, G.market_filter(panel.grid, market, int(params["filter_sma"])))
@@ -138,9 +139,9 @@ def mean_reversion(panel: Panel, configs: Sequence[dict], params: dict) -> DataF
     days = S.decision_dates(panel.calendar, params["rebalance"])
     out = None
     for i, c in enumerate(configs):
-        scored = G.with_zscore(panel.ready(), int(c["lookback"]), int(c["trend_sma"])).join(days.select("date"), "date", "left_semi")
+        scored = G.with_zscore(panel.ready(), int(c["lookback"]), int(c["trend_sma"])).join(per_day(days.select("date")), "date", "left_semi")
         held = G.mean_reversion_holdings(scored, float(c["z_entry"]), float(c["z_exit"]), int(c["max_names"]))
-        sized = K.equal_weight(held.join(days, "date").withColumn("config", F.lit(i)), keys=KEYS).select("config", "date", "bar_idx", "ticker", "weight")
+        sized = K.equal_weight(held.join(per_day(days), "date").withColumn("config", F.lit(i)), keys=KEYS).select("config", "date", "bar_idx", "ticker", "weight")
         out = sized if out is None else out.unionByName(sized)
     return out
 
@@ -150,7 +151,7 @@ def buy_and_hold(panel: Panel, configs: Sequence[dict], params: dict) -> DataFra
     out = None
     for i, c in enumerate(configs):
         names = c["tickers"].split(",") if isinstance(c["tickers"], str) else list(c["tickers"])
-        held = G.buy_and_hold(panel.grid, [n for n in names if n.strip()]).join(days.select("date"), "date", "left_semi")
+        held = G.buy_and_hold(panel.grid, [n for n in names if n.strip()]).join(per_day(days.select("date")), "date", "left_semi")
         part = held.select(F.lit(i).alias("config"), "date", "bar_idx", "ticker", "weight")
         out = part if out is None else out.unionByName(part)
     return out

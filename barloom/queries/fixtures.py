@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import per_day
 from barloom.operators import panel as P
 from barloom.session import cut_lineage
 from barloom.sources import bars as B
@@ -43,12 +44,14 @@ class Market:
             F.sum("l_quantity").cast("long").alias("vol"),
         )
         last = self.days.agg(F.max("bar_idx")).scalar()
-        cells = self.table("supplier").select(
+        # spread suppliers before they multiply: the cumulative sum below needs this partitioning anyway
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        cells = self.table("supplier").repartition(parts, "s_suppkey").select(
             F.col("s_suppkey").alias("k"), F.upper("s_name").alias("ticker"),
             F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bar_idx"),
         )
         upto = Window.partitionBy("k").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-        moves = cells.join(self.days.select("bar_idx", "date"), "bar_idx").join(lines, ["k", "date"], "left")
+        moves = cells.join(per_day(self.days.select("bar_idx", "date")), "bar_idx").join(lines, ["k", "date"], "left")
         price = moves.withColumns({
             "c": F.lit(100.0) * F.exp(F.sum(F.coalesce("r_bp", F.lit(0))).over(upto) / F.lit(10000.0)),
             "gap_bp": F.coalesce("gap_bp", F.lit(0)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import costs as C
+from barloom.functions.scalars import per_day
 from barloom.operators import limits as R
 from barloom.operators import orders as O
 from barloom.operators import panel as P
@@ -31,7 +32,7 @@ def sector_cap(spark, folder):
 
 def member_weights(spark, folder):
     m = Market(spark, folder)
-    grid = P.with_membership(m.grid, m.days, m.membership).join(S.decision_dates(m.days, "monthly").select("date"), "date", "left_semi")
+    grid = P.with_membership(m.grid, m.days, m.membership).join(per_day(S.decision_dates(m.days, "monthly").select("date")), "date", "left_semi")
     zeroed = R.zero_non_members(grid.select("date", "ticker", "member", (F.col("close") / 10000.0).alias("weight")))
     return zeroed.groupBy("date").agg(F.count_if(F.col("weight") > 0).alias("n_held"), r6c(F.sum("weight")).alias("gross"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import per_day
 from barloom.operators import panel as P
 from barloom.operators import schedule as S
 from barloom.operators import signals as G
@@ -19,7 +20,7 @@ def panel_of(m: Market, featured: bool = False) -> Panel:
 
 def _monthly_scores(m: Market):
     scored = G.with_momentum_score(m.grid, 252, 21, MARKET).select("ticker", "date", "bar_idx", "score")
-    return P.with_sector(scored.join(S.decision_dates(m.days, "monthly").select("date"), "date", "left_semi"), m.sectors)
+    return P.with_sector(scored.join(per_day(S.decision_dates(m.days, "monthly").select("date")), "date", "left_semi"), m.sectors)
 
 
 def momentum_score(spark, folder):
@@ -65,7 +66,7 @@ def sentiment_report(spark, folder):
 def buy_and_hold(spark, folder):
     m = Market(spark, folder)
     held = G.buy_and_hold(m.grid, [MARKET, "supplier#000000003", "supplier#000000004", "supplier#000000007"])
-    return held.join(S.decision_dates(m.days, "monthly").select("date"), "date", "left_semi").select("date", "ticker", r6c("weight").alias("weight"))
+    return held.join(per_day(S.decision_dates(m.days, "monthly").select("date")), "date", "left_semi").select("date", "ticker", r6c("weight").alias("weight"))
 
 
 def top_n(spark, folder):
@@ -80,7 +81,7 @@ def top_n_sector_capped(spark, folder):
 
 def equal_weight(spark, folder):
     scored = G.with_sma_crossover(Market(spark, folder).grid, 50, 200)
-    weekly = scored.join(S.decision_dates(Market(spark, folder).days, "weekly").select("date"), "date", "left_semi")
+    weekly = scored.join(per_day(S.decision_dates(Market(spark, folder).days, "weekly").select("date")), "date", "left_semi")
     return K.equal_weight(K.pick_top(weekly, 30)).select("date", "ticker", r6c("weight").alias("weight"))
 
 
@@ -90,7 +91,7 @@ def _vol_grid(m: Market):
 
 def inverse_vol(spark, folder):
     m = Market(spark, folder)
-    vols = _vol_grid(m).select("ticker", "date", "vol").join(S.decision_dates(m.days, "monthly").select("date"), "date", "left_semi")
+    vols = _vol_grid(m).select("ticker", "date", "vol").join(per_day(S.decision_dates(m.days, "monthly").select("date")), "date", "left_semi")
     chosen = K.pick_top(_monthly_scores(m), 10, 3).join(vols, ["ticker", "date"])
     return K.inverse_vol(chosen).select("date", "ticker", r6c("weight").alias("weight"))
 

@@ -73,7 +73,7 @@ class Ledger:
 
     @cached_property
     def entries(self) -> DataFrame:
-        return entries_of(self.decisions, self.windows, self.keys)
+        return cut_lineage(entries_of(self.decisions, self.windows, self.keys))
 
     @cached_property
     def legs(self) -> DataFrame:

@@ -1,6 +1,6 @@
 """Checks over holdings, orders and logs, for many accounts in one pass.
 
-Each check returns the rows that fail: (account, check, ticker, value). An account without a row passes.
+Each check returns the rows that fail: (account, rule, ticker, value). An account without a row passes.
 """
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from barloom.functions.scalars import per_day, safe_ratio
 NEVER_STALE = 260
 
 
-def _failure(check: str, value: Column, ticker: Column | None = None) -> list[Column]:
-    return ["account", F.lit(check).alias("check"), (ticker if ticker is not None else F.lit(None).cast("string")).alias("ticker"),
+def _failure(rule: str, value: Column, ticker: Column | None = None) -> list[Column]:
+    return ["account", F.lit(rule).alias("rule"), (ticker if ticker is not None else F.lit(None).cast("string")).alias("ticker"),
             value.cast("double").alias("value")]
 
 
@@ -76,14 +76,14 @@ def reconciliation(positions: DataFrame, recorded: DataFrame, pending: DataFrame
         .when(F.col("held").isNull() & (F.abs("noted") > 1e-9), "position_gone")
         .when(drift > tolerance, "quantity_drift"))
     value = F.coalesce("held", "noted")
-    return both.withColumn("check", kind).filter(F.col("check").isNotNull()).select("account", "check", "ticker", value.cast("double").alias("value"))
+    return both.withColumn("rule", kind).filter(F.col("rule").isNotNull()).select("account", "rule", "ticker", value.cast("double").alias("value"))
 
 
 def guard_report(accounts: DataFrame, failures: list[DataFrame]) -> DataFrame:
     """Per account: number of failures and whether everything passed."""
-    every = failures[0].select("account", "check")
+    every = failures[0].select("account", "rule")
     for part in failures[1:]:
-        every = every.unionByName(part.select("account", "check"))
+        every = every.unionByName(part.select("account", "rule"))
     counted = every.groupBy("account").agg(F.count("*").alias("n_failures"))
     return accounts.select("account").join(counted, "account", "left").select(
         "account", F.coalesce("n_failures", F.lit(0).cast("long")).alias("n_failures"), F.col("n_failures").isNull().alias("passed"))

@@ -189,7 +189,8 @@ class Market:
 
     def materialise(self) -> None:
         """Store the marked panel once, for jobs that read it for signals, fills and valuation."""
-        self.marked = self.grid = cut_lineage(self.marked)
+        self.days = cut_lineage(self.days)
+        self.marked = self.grid = cut_lineage(P.with_mark(B.align_panel(self.bars, calendar=self.days)))
 
 
 # ---- the same tables as SQL: name -> (depends on, select) ---------------------------------------

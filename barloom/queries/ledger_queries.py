@@ -203,20 +203,20 @@ def metric_steps(eq: str, key: str = "config", p: str = "") -> dict[str, str]:
 
 
 _DEC = "SELECT config, bar_idx FROM monthly CROSS JOIN (SELECT unnest([0, 1]) AS config) c"
-_USES = ("book", "marked", "monthly", "cal")
+USES = ("book", "marked", "monthly", "cal")
 
 
 def book_ledger(model: CostModel) -> dict[str, str]:
     return {"dec": _DEC, "win": window_rows({0: model, 1: model}), **ledger_steps("book", "win", "dec")}
 
 
-_TURN = """SELECT e.config, e.bar_idx, coalesce(n, 0.0::DOUBLE) / equity AS turnover FROM eq e
+TURN = """SELECT e.config, e.bar_idx, coalesce(n, 0.0::DOUBLE) / equity AS turnover FROM eq e
     LEFT JOIN (SELECT config, bar_idx, sum(notional) AS n FROM trades GROUP BY ALL) t ON t.config = e.config AND t.bar_idx = e.bar_idx"""
 _STRESS = {
     "dec": "SELECT config, bar_idx FROM monthly CROSS JOIN (SELECT unnest(['1x', '2x', '3x']) AS config) c",
     "win": window_rows(SCENARIOS),
     "wts": "SELECT c.config, bar_idx, ticker, weight FROM book b CROSS JOIN (SELECT unnest(['1x', '2x', '3x']) AS config) c WHERE b.config = 0",
-    **ledger_steps("wts", "win", "dec"), **metric_steps("eq"), "turn": _TURN}
+    **ledger_steps("wts", "win", "dec"), **metric_steps("eq"), "turn": TURN}
 _OVERLAY = {
     "cutbook": """
         SELECT b.config, b.bar_idx, ticker, weight * CASE WHEN dd >= 0.15 THEN 0.0::DOUBLE WHEN dd >= 0.05 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight
@@ -229,26 +229,26 @@ BENCH = f"""SELECT v.config, m.bar_idx, mark / first_value(mark) OVER (PARTITION
 
 ORACLES = {
     "effective_weights": sql(f"SELECT e.config, entry_no, entry_idx, until_idx, ticker, {r6('weight')} AS weight FROM ent e JOIN book b ON b.config = e.config AND b.bar_idx = e.bar_idx",
-                             *_USES, recursive=True, **book_ledger(PRICY)),
+                             *USES, recursive=True, **book_ledger(PRICY)),
     "trading_window": sql("""
         SELECT first_idx, last_idx, count(*) AS n_cells, min(date) AS first_date, max(date) AS last_date FROM grid JOIN (
           SELECT greatest(min(bar_idx), 100) AS first_idx, max(bar_idx) AS last_idx FROM cal WHERE date BETWEEN DATE '1996-01-06' AND DATE '1999-12-31') v
         ON bar_idx BETWEEN first_idx AND last_idx GROUP BY ALL""", "grid", "cal"),
-    "portfolio_equity": sql("SELECT config, bar_idx, round(equity, 3) AS equity, round(cash, 3) AS cash FROM eq", *_USES, recursive=True, **book_ledger(PRICY)),
-    "portfolio_equity_free": sql("SELECT config, bar_idx, round(equity, 3) AS equity FROM eq", *_USES, recursive=True, **book_ledger(PRESETS["zero"])),
-    "turnover": sql(f"SELECT config, bar_idx, {r6('turnover')} AS turnover FROM ({_TURN}) t", *_USES, recursive=True, **book_ledger(PRICY)),
+    "portfolio_equity": sql("SELECT config, bar_idx, round(equity, 3) AS equity, round(cash, 3) AS cash FROM eq", *USES, recursive=True, **book_ledger(PRICY)),
+    "portfolio_equity_free": sql("SELECT config, bar_idx, round(equity, 3) AS equity FROM eq", *USES, recursive=True, **book_ledger(PRESETS["zero"])),
+    "turnover": sql(f"SELECT config, bar_idx, {r6('turnover')} AS turnover FROM ({TURN}) t", *USES, recursive=True, **book_ledger(PRICY)),
     "weights_at_close": sql(f"""
         SELECT h.config, h.bar_idx, ticker, round(shares, 4) AS shares, {r6('shares * mark / equity')} AS weight FROM held h JOIN eq e ON e.config = h.config AND e.bar_idx = h.bar_idx""",
-        *_USES, recursive=True, **book_ledger(PRICY)),
+        *USES, recursive=True, **book_ledger(PRICY)),
     "implied_trades": sql("""
         SELECT config, bar_idx, ticker, side, round(quantity, 4) AS quantity, round(price, 2) AS price, round(commission, 4) AS commission, round(notional, 3) AS notional FROM trades""",
-        *_USES, recursive=True, **book_ledger(PRICY)),
+        *USES, recursive=True, **book_ledger(PRICY)),
     "benchmark_equity": sql(f"SELECT config, bar_idx, round(benchmark, 3) AS benchmark FROM ({BENCH}) b", "marked", "cal", win=window_rows({0: PRICY, 1: PRICY})),
     "cost_stress": sql(f"""
         SELECT s.config AS scenario, round(end_equity, 3) AS end_equity, {r6('cagr')} AS cagr, {r6('sharpe')} AS sharpe, {r6('max_drawdown')} AS max_drawdown,
                {r6('t.turnover')} AS annual_turnover FROM stat s JOIN (SELECT config, avg(turnover) * 252 AS turnover FROM turn GROUP BY config) t USING (config)""",
-        *_USES, recursive=True, **_STRESS),
-    "drawdown_overlay": sql("SELECT config, bar_idx, round(equity, 3) AS equity FROM x_eq", *_USES, recursive=True, **book_ledger(PRICY), **_OVERLAY),
+        *USES, recursive=True, **_STRESS),
+    "drawdown_overlay": sql("SELECT config, bar_idx, round(equity, 3) AS equity FROM x_eq", *USES, recursive=True, **book_ledger(PRICY), **_OVERLAY),
     "daily_returns": sql(f"""
         SELECT ticker, bar_idx, coalesce({r6('mark / lag(mark) OVER (PARTITION BY ticker ORDER BY bar_idx) - 1')}, 0.0::DOUBLE) AS ret
         FROM marked WHERE mark IS NOT NULL""", "marked"),

@@ -17,7 +17,7 @@ from barloom.operators import signals as G
 from barloom.operators import sizing as K
 from barloom.plans import walkforward as WF
 from barloom.queries.fixtures import CTES, MARKET, Market, r6, r6c, sql
-from barloom.queries.ledger_queries import ledger_steps, metric_steps
+from barloom.queries.ledger_queries import BENCH, PRICY, TURN, USES, book_ledger, ledger_steps, metric_steps
 
 C = F.col
 
@@ -199,7 +199,6 @@ def ppf_sql(p: str) -> str:
 CTES["curve"] = (["marked"], "SELECT ticker, bar_idx, mark AS equity FROM marked WHERE mark IS NOT NULL")
 _STAT = metric_steps("curve", "ticker")
 _VAR = "greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12::DOUBLE)"
-_Z95, _Z90 = 1.6448536251337098, None
 
 
 def judged_steps(stat: str) -> dict[str, str]:
@@ -333,3 +332,29 @@ ORACLES = {
         SELECT {r6('avg(CASE WHEN prev IS NOT NULL THEN (CASE WHEN prev <> cfg THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) END)')} AS parameter_drift, count(*) AS n_folds, count(*) * 4 AS n_trials_total
         FROM (SELECT cfg, lag(cfg) OVER (ORDER BY fold) AS prev FROM won) w""", *_WF_USES, recursive=True, **_WF_BASE),
 }
+
+
+# ---- SQL for the complete book metrics: accounting, statistics, round trips and benchmark ------------
+_BOOK_TRIPS = {
+    "ordered": "SELECT *, row_number() OVER (PARTITION BY config, ticker ORDER BY bar_idx) AS rn FROM trades",
+    "walk": _TRIPS["walk"].replace("account", "config"),
+    "trips": """
+        SELECT config, count(pnl) AS n_round_trips, count(*) FILTER (pnl > 0) AS wins, sum(pnl) FILTER (pnl > 0) AS won, sum(pnl) FILTER (pnl <= 0) AS lost FROM walk GROUP BY 1""",
+    "fees": "SELECT config, count(*) AS n_trades, sum(commission) AS total_commission FROM trades GROUP BY 1",
+    "bench": BENCH, "bcurve": "SELECT config, bar_idx, benchmark AS equity FROM bench", **metric_steps("bcurve", "config", "b_"),
+    "slope": """
+        SELECT config, regr_slope(r, b) AS beta, (avg(r) - regr_slope(r, b) * avg(b)) * 252 AS alpha_annual FROM (
+          SELECT x.config, x.r, y.r AS b FROM ret x JOIN b_ret y ON y.config = x.config AND y.bar_idx = x.bar_idx) z WHERE r IS NOT NULL AND b IS NOT NULL GROUP BY config""",
+    "turn": TURN,
+}
+_PARTS = {
+    **{c: f"j.{c}" if c in ("start_equity", "end_equity", "max_drawdown", "cagr", "sharpe") else _metric(c) for c in METRICS},
+    "annual_turnover": "t.turnover", "win_rate": "wins / n_round_trips", "avg_win": "won / nullif(wins, 0)", "avg_loss": "lost / nullif(n_round_trips - wins, 0)",
+    "profit_factor": "won / -lost", "total_commission": "total_commission", "benchmark_total_return": "b_end / b_start - 1", "benchmark_cagr": "b_cagr",
+    "benchmark_sharpe": "b_sharpe", "benchmark_max_drawdown": "b_dd", "excess_cagr": "j.cagr - b_cagr", "beta": "beta", "alpha_annual": "alpha_annual",
+}
+ORACLES["portfolio_metrics"] = sql(f"""
+    SELECT config, n_days, n_trades, n_round_trips, {', '.join(f"round({e}, 4) + 0.0::DOUBLE AS {n}" for n, e in _PARTS.items())}
+    FROM judged j JOIN (SELECT config, avg(turnover) * 252 AS turnover FROM turn GROUP BY 1) t USING (config) JOIN trips USING (config) JOIN fees USING (config)
+    JOIN (SELECT config, start_equity AS b_start, end_equity AS b_end, cagr AS b_cagr, sharpe AS b_sharpe, max_drawdown AS b_dd FROM b_stat) b USING (config) JOIN slope USING (config)""",
+    *USES, recursive=True, **book_ledger(PRICY), **metric_steps("eq"), **judged_steps("stat"), **_BOOK_TRIPS)

@@ -103,24 +103,28 @@ def beta_alpha(equity: DataFrame, benchmark: DataFrame, keys: Sequence[str], yea
 
 
 FLAT = 1e-12
+CHUNK_ROWS = 10_000
 
 
-def round_trips(trades: DataFrame, keys: Sequence[str], chunk: str = "month") -> DataFrame:
+def round_trips(trades: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Average-cost profit and loss of sells, summed per (keys, ticker, chunk).
 
-    A position is a recursion over ordered fills. It is split at calendar chunks so that a name with
-    any number of fills is worked on in many tasks. What a chunk does to the incoming state composes:
-    the share count maps as max(floor, q + shift), and once the share count is known the cost basis maps
-    as scale * basis + add. So: fold each chunk to its maps, chain the chunks of a name (one small row
-    per chunk), and fold each chunk again from its true starting state.
+    A position is a recursion over ordered fills. A name with more than `chunk_rows` fills is split into
+    chunks of a day and a block of `seq`, so that it is worked on in many tasks. What a chunk does to the
+    incoming state composes: the share count maps as max(floor, q + shift), and once the share count
+    is known the cost basis maps as scale * basis + add. So: fold each chunk to its maps, chain the
+    chunks of a name (one small row per chunk), and fold each chunk again from its true starting state.
     """
     name = [*keys, "ticker"]
-    when = F.date_trunc(chunk, "date") if "date" in trades.columns else F.floor(F.col("bar_idx") / 21)
-    stamp = "date" if "date" in trades.columns else "bar_idx"
-    seq = F.col("seq") if "seq" in trades.columns else F.lit(0)
-    fills = trades.select(*name, when.alias("chunk"), F.struct(
-        F.col(stamp).alias("at"), seq.alias("seq"), (F.col("side") == "buy").alias("buy"), F.col("quantity").cast("double").alias("q"),
-        F.col("price").cast("double").alias("p"), F.col("commission").cast("double").alias("c")).alias("fill"))
+    stamp = F.col("date") if "date" in trades.columns else F.col("bar_idx")
+    seq = F.col("seq").cast("long") if "seq" in trades.columns else F.lit(0).cast("long")
+    busy = trades.groupBy(*name).agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk_rows).select(*name, F.lit(True).alias("_busy"))
+    split = F.coalesce("_busy", F.lit(False))
+    fills = trades.join(busy, name, "left").select(
+        *name, F.struct(F.when(split, stamp).alias("at"), F.when(split, F.floor(seq / chunk_rows)).otherwise(0).alias("block")).alias("chunk"),
+        F.struct(
+            stamp.alias("at"), seq.alias("seq"), (F.col("side") == "buy").alias("buy"), F.col("quantity").cast("double").alias("q"),
+            F.col("price").cast("double").alias("p"), F.col("commission").cast("double").alias("c")).alias("fill"))
     chunks = fills.groupBy(*name, "chunk").agg(F.array_sort(F.collect_list("fill")).alias("fills"))
 
     never = F.lit(float("-inf"))
@@ -183,10 +187,10 @@ def round_trips(trades: DataFrame, keys: Sequence[str], chunk: str = "month") ->
     return settled.select(*name, "chunk", "s.wins", "s.losses", "s.won", "s.lost")
 
 
-def trade_stats(trades: DataFrame, keys: Sequence[str], chunk: str = "month") -> DataFrame:
+def trade_stats(trades: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Counts, win rate, mean win and loss, profit factor and commission per key. A zero result is a loss."""
     totals = trades.groupBy(*keys).agg(F.count("*").alias("n_trades"), F.sum("commission").alias("total_commission"))
-    pnl = round_trips(trades, keys, chunk).groupBy(*keys).agg(
+    pnl = round_trips(trades, keys, chunk_rows).groupBy(*keys).agg(
         F.sum("wins").alias("_w"), F.sum("losses").alias("_l"), F.sum("won").alias("_won"), F.sum("lost").alias("_lost"))
     both = totals.join(pnl, list(keys), "left")
     n = F.col("_w") + F.col("_l")

@@ -113,6 +113,8 @@ def with_mark(grid: DataFrame) -> DataFrame:
 
 def with_padded_returns(grid: DataFrame) -> DataFrame:
     """Returns on the last known close: a hole gives 0, and the first bar after it the whole move."""
+    if "pad_ret" in grid.columns:
+        return grid
     marked = grid if "mark" in grid.columns else with_mark(grid)
     return marked.withColumn("pad_ret", safe_ratio(F.col("mark"), F.lag("mark").over(by_ticker())) - 1.0)
 

@@ -46,6 +46,26 @@ def with_trailing_vol(grid: DataFrame, bars: int = 60, min_periods: int = 20) ->
     return grid.withColumn("vol", F.when((F.count("pad_ret").over(w) >= min_periods) & (vol > 0), vol))
 
 
+def past_returns(rows: DataFrame, returns: DataFrame, bars: int, keys: Sequence[str], *carry: str) -> DataFrame:
+    """Pair each row with the padded returns of its ticker's last `bars` bars.
+
+    Only selected names are spread, so the join moves names x bars rows per decision and the panel is
+    read once in place, instead of framing `bars` rows around every cell of it.
+    """
+    first = F.greatest(F.col("bar_idx") - (bars - 1), F.lit(0).cast("long"))
+    past = rows.select(*keys, "ticker", *carry, F.explode(F.sequence(first, F.col("bar_idx"))).alias("bar_idx"))
+    return past.join(returns.select("ticker", "bar_idx", "pad_ret"), ["ticker", "bar_idx"], "left")
+
+
+def with_selected_vol(selected: DataFrame, returns: DataFrame, bars: int = 60, min_periods: int = 20,
+                      keys: Sequence[str] = ("date",)) -> DataFrame:
+    """`with_trailing_vol` for selected rows only."""
+    stats = past_returns(selected, returns, bars, keys).groupBy(*keys, "ticker").agg(
+        F.count("pad_ret").alias("_n"), F.stddev_samp("pad_ret").alias("_sd"))
+    vol = F.when((F.col("_n") >= min_periods) & (F.col("_sd") > 0), F.col("_sd"))
+    return selected.join(stats.select(*keys, "ticker", vol.alias("vol")), [*keys, "ticker"], "left")
+
+
 def inverse_vol(selected: DataFrame, gross: float = 1.0, keys: Sequence[str] = ("date",)) -> DataFrame:
     """Weights proportional to 1 / vol; names without a usable vol are dropped."""
     usable = selected.filter(F.col("vol").isNotNull()).withColumn("_inv", F.lit(1.0) / F.col("vol"))
@@ -54,13 +74,8 @@ def inverse_vol(selected: DataFrame, gross: float = 1.0, keys: Sequence[str] = (
 
 
 def realised_vol(weights: DataFrame, returns: DataFrame, bars: int = 60, keys: Sequence[str] = ("date",)) -> DataFrame:
-    """Trailing annual volatility of today's book: each held name is paired with its last `bars` returns.
-
-    Only held names are spread over their window, so the join moves names x bars rows per decision.
-    """
-    past = weights.select(*keys, "ticker", "weight", F.explode(F.sequence(
-        F.greatest(F.col("bar_idx") - (bars - 1), F.lit(0).cast("long")), F.col("bar_idx"))).alias("bar_idx"))
-    daily = past.join(returns.select("ticker", "bar_idx", "pad_ret"), ["ticker", "bar_idx"], "left").groupBy(*keys, "bar_idx").agg(
+    """Annual volatility that today's book would have had over the last `bars` bars."""
+    daily = past_returns(weights, returns, bars, keys, "weight").groupBy(*keys, "bar_idx").agg(
         F.sum(F.col("weight") * F.coalesce("pad_ret", F.lit(0.0))).alias("book_ret"))
     return daily.groupBy(*keys).agg((F.stddev_samp("book_ret") * F.sqrt(F.lit(float(YEAR)))).alias("realised"))
 
@@ -85,4 +100,4 @@ def clean_weights(weights: DataFrame, universe: DataFrame | None = None) -> Data
     return out if universe is None else out.join(universe.select("ticker").distinct(), "ticker", "left_semi")
 
 
-__all__ = ["YEAR", "clean_weights", "equal_weight", "inverse_vol", "pick_top", "realised_vol", "safe_ratio", "vol_target", "with_trailing_vol"]
+__all__ = ["YEAR", "clean_weights", "equal_weight", "inverse_vol", "pick_top", "realised_vol", "safe_ratio", "vol_target", "with_selected_vol", "with_trailing_vol"]

@@ -74,7 +74,8 @@ def _select_and_size(rows: DataFrame, ready: DataFrame, configs: Sequence[dict],
     most = max(int(c["top_n"]) for c in configs)
     chosen = K.pick_top(rows, most, int(params["max_per_sector"] or 0), KEYS).filter(F.col("rank") <= F.col("limit"))
     if params["sizing"] == "inverse_vol":
-        sized = K.inverse_vol(chosen, keys=KEYS)
+        bars = int(params.get("vol_lookback", 60))
+        sized = K.inverse_vol(K.with_selected_vol(chosen, ready, bars, keys=KEYS), keys=KEYS)
     else:
         sized = K.equal_weight(chosen, keys=KEYS)
     sized = sized.select("config", "date", "bar_idx", "ticker", "weight")
@@ -97,12 +98,12 @@ def _at_decisions(scored: DataFrame, panel: Panel, params: dict) -> DataFrame:
 def momentum(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
     ready = panel.ready()
     wanted = sorted({(int(c["lookback"]), int(c["skip"])) for c in configs})
-    scored = K.with_trailing_vol(ready, int(params["vol_lookback"])) if params["sizing"] == "inverse_vol" else ready.withColumn("vol", F.lit(None).cast("double"))
+    scored = ready
     for lookback, skip in wanted:
         scored = G.with_momentum_score(scored, lookback, skip, params["market_filter"]).withColumnRenamed("score", f"score_{lookback}_{skip}")
-    slim = scored.select("date", "bar_idx", "ticker", "vol", *[f"score_{a}_{b}" for a, b in wanted])
+    slim = scored.select("date", "bar_idx", "ticker", *[f"score_{a}_{b}" for a, b in wanted])
     rows = _at_decisions(slim, panel, params)
-    spread = _spread_configs(rows, configs, lambda c: f"score_{int(c['lookback'])}_{int(c['skip'])}", ["date", "bar_idx", "ticker", "vol", "sector"])
+    spread = _spread_configs(rows, configs, lambda c: f"score_{int(c['lookback'])}_{int(c['skip'])}", ["date", "bar_idx", "ticker", "sector"])
     return _select_and_size(spread, ready, configs, params)
 
 
@@ -111,14 +112,14 @@ def sentiment(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
         return panel.grid.limit(0).select(F.lit(0).alias("config"), "date", "bar_idx", "ticker", F.lit(0.0).alias("weight"))
     ready = panel.ready()
     wanted = sorted({int(c["lookback"]) for c in configs})
-    scored = K.with_trailing_vol(ready, int(params["vol_lookback"])) if params["sizing"] == "inverse_vol" else ready.withColumn("vol", F.lit(None).cast("double"))
+    scored = ready
     for lookback in wanted:
         one = G.with_sentiment_score(scored, lookback, params["score"])
         one = G.ranked_sentiment(one, int(params["min_articles"]), params["market_filter"])
         scored = one.withColumnRenamed("score", f"score_{lookback}").drop("articles")
-    slim = scored.select("date", "bar_idx", "ticker", "vol", *[f"score_{n}" for n in wanted])
+    slim = scored.select("date", "bar_idx", "ticker", *[f"score_{n}" for n in wanted])
     rows = _at_decisions(slim, panel, params)
-    spread = _spread_configs(rows, configs, lambda c: f"score_{int(c['lookback'])}", ["date", "bar_idx", "ticker", "vol", "sector"])
+    spread = _spread_configs(rows, configs, lambda c: f"score_{int(c['lookback'])}", ["date", "bar_idx", "ticker", "sector"])
     return _select_and_size(spread, ready, configs, params)
 
 
@@ -126,12 +127,12 @@ def sma_crossover(panel: Panel, configs: Sequence[dict], params: dict) -> DataFr
     ready = panel.ready()
     named = [{**c, "top_n": c["max_names"]} for c in configs]
     wanted = sorted({(int(c["fast"]), int(c["slow"])) for c in configs})
-    scored = K.with_trailing_vol(ready, 60) if params["sizing"] == "inverse_vol" else ready.withColumn("vol", F.lit(None).cast("double"))
+    scored = ready
     for fast, slow in wanted:
         scored = G.with_sma_crossover(scored, fast, slow).withColumnRenamed("score", f"score_{fast}_{slow}").drop("sma_fast", "sma_slow")
-    slim = scored.select("date", "bar_idx", "ticker", "vol", *[f"score_{a}_{b}" for a, b in wanted])
+    slim = scored.select("date", "bar_idx", "ticker", *[f"score_{a}_{b}" for a, b in wanted])
     rows = _at_decisions(slim, panel, params)
-    spread = _spread_configs(rows, named, lambda c: f"score_{int(c['fast'])}_{int(c['slow'])}", ["date", "bar_idx", "ticker", "vol", "sector"])
+    spread = _spread_configs(rows, named, lambda c: f"score_{int(c['fast'])}_{int(c['slow'])}", ["date", "bar_idx", "ticker", "sector"])
     return _select_and_size(spread, ready, named, {**params, "max_per_sector": 0, "vol_target": 0})
 
 

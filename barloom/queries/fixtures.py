@@ -28,6 +28,12 @@ class Market:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def documents(self) -> DataFrame:
+        """Documents, spread over the cores when the file offers fewer splits than there are."""
+        docs = self.table("documents")
+        cores = self.spark.sparkContext.defaultParallelism
+        return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
     @cached_property
     def days(self) -> DataFrame:
         """Weekdays with line items, numbered."""
@@ -100,7 +106,7 @@ class Market:
         """Documents as articles: created on the day of an order, tagged with the suppliers of that order."""
         tags = self.table("lineitem").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(
             "l_orderkey").agg(F.array_sort(F.collect_set("s_name")).alias("symbols"))
-        placed = self.table("documents").join(self.table("orders"), F.col("doc_id") == F.col("o_orderkey"))
+        placed = self.documents().join(self.table("orders"), F.col("doc_id") == F.col("o_orderkey"))
         return placed.join(tags, F.col("doc_id") == F.col("l_orderkey"), "left").select(
             F.col("doc_id").alias("id"),
             F.expr("timestampadd(MINUTE, CAST((doc_id * 37) % 1440 AS INT), o_orderdate)").alias("created_at"),

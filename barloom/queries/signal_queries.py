@@ -13,6 +13,13 @@ from barloom.queries.fixtures import CTES, MARKET, Market, r6, r6c, sql
 from barloom.queries.text_queries import featured_grid
 
 
+def stored(spark, folder) -> Market:
+    """The market with its panel written once, for strategies that read it for scores, filter and risk."""
+    m = Market(spark, folder)
+    m.materialise()
+    return m
+
+
 def panel_of(m: Market, featured: bool = False) -> Panel:
     grid = featured_grid(m) if featured else m.grid
     return Panel(P.with_eligible(grid), m.days, m.sectors)
@@ -85,14 +92,15 @@ def equal_weight(spark, folder):
     return K.equal_weight(K.pick_top(weekly, 30)).select("date", "ticker", r6c("weight").alias("weight"))
 
 
-def _vol_grid(m: Market):
-    return K.with_trailing_vol(P.with_padded_returns(m.grid), 60)
+def trailing_vol(spark, folder):
+    """The window form, for every cell of the panel."""
+    vols = K.with_trailing_vol(P.with_padded_returns(Market(spark, folder).grid), 60)
+    return vols.filter("vol IS NOT NULL").select("ticker", "date", r6c("vol").alias("vol"))
 
 
 def inverse_vol(spark, folder):
     m = Market(spark, folder)
-    vols = _vol_grid(m).select("ticker", "date", "vol").join(per_day(S.decision_dates(m.days, "monthly").select("date")), "date", "left_semi")
-    chosen = K.pick_top(_monthly_scores(m), 10, 3).join(vols, ["ticker", "date"])
+    chosen = K.with_selected_vol(K.pick_top(_monthly_scores(m), 10, 3), P.with_padded_returns(m.marked), 60)
     return K.inverse_vol(chosen).select("date", "ticker", r6c("weight").alias("weight"))
 
 
@@ -111,24 +119,24 @@ def clean_weights(spark, folder):
 
 
 def momentum_weights(spark, folder):
-    weights = get_strategy("momentum", market_filter=MARKET).weights(panel_of(Market(spark, folder)))
+    weights = get_strategy("momentum", market_filter=MARKET).weights(panel_of(stored(spark, folder)))
     return weights.select("date", "ticker", r6c("weight").alias("weight"))
 
 
 def sentiment_weights(spark, folder):
     strategy = get_strategy("sentiment", market_filter=MARKET, lookback=60, min_articles=2)
-    weights = strategy.weights(panel_of(Market(spark, folder), featured=True))
+    weights = strategy.weights(panel_of(stored(spark, folder), featured=True))
     return weights.select("date", "ticker", r6c("weight").alias("weight"))
 
 
 def sma_weights(spark, folder):
-    weights = get_strategy("sma_crossover", search={"fast": [20, 50], "slow": [100, 200]}, sizing="inverse_vol").weights(panel_of(Market(spark, folder)))
+    weights = get_strategy("sma_crossover", search={"fast": [20, 50], "slow": [100, 200]}, sizing="inverse_vol").weights(panel_of(stored(spark, folder)))
     return weights.select(F.col("config").cast("long").alias("config"), "date", "ticker", r6c("weight").alias("weight"))
 
 
 QUERIES = {f.__name__: f for f in (
     momentum_score, market_filter, sma_crossover, zscore, mean_reversion, sentiment_score, sentiment_score_neg, sentiment_report,
-    buy_and_hold, top_n, top_n_sector_capped, equal_weight, inverse_vol, vol_target, clean_weights, momentum_weights,
+    buy_and_hold, top_n, top_n_sector_capped, equal_weight, trailing_vol, inverse_vol, vol_target, clean_weights, momentum_weights,
     sentiment_weights, sma_weights)}
 
 
@@ -240,6 +248,7 @@ ORACLES = {
     "equal_weight": sql(f"""
         SELECT date, ticker, {r6('1.0::DOUBLE / count(*) OVER (PARTITION BY date)')} AS weight FROM (
           SELECT * FROM sma JOIN weekly USING (date) QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) <= 30) x""", "sma", "weekly"),
+    "trailing_vol": sql(f"SELECT ticker, date, {r6('vol')} AS vol FROM vols WHERE vol IS NOT NULL", "vols"),
     "inverse_vol": sql(f"SELECT date, ticker, {r6('weight')} AS weight FROM ({_inverse('mom_top')}) x", "mom_top", "vols"),
     "vol_target": sql(f"SELECT date, ticker, {r6('weight')} AS weight FROM scaled", "mom_top", "rets",
                       book="SELECT date, bar_idx, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM mom_top", **book_sql("book")),

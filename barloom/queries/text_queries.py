@@ -28,22 +28,22 @@ def featured_grid(m: Market):
 
 
 def tokenize(spark, folder):
-    docs = Market(spark, folder).table("documents")
+    docs = Market(spark, folder).documents()
     return docs.select(F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 def lexicon_score(spark, folder):
-    docs = T.with_scores(Market(spark, folder).table("documents").select("doc_id", "text"), F.col("text"), LEXICON)
+    docs = T.with_scores(Market(spark, folder).documents().select("doc_id", "text"), F.col("text"), LEXICON)
     return docs.select("doc_id", "positive", "negative", "uncertainty", "n_tokens")
 
 
 def lexicon_score_table(spark, folder):
-    docs = Market(spark, folder).table("documents")
+    docs = Market(spark, folder).documents()
     return T.score_with_table(docs, "doc_id", F.col("text"), word_table(spark), LEXICON.negators)
 
 
 def tone(spark, folder):
-    docs = T.with_scores(Market(spark, folder).table("documents").select("doc_id", "text"), F.col("text"), LEXICON)
+    docs = T.with_scores(Market(spark, folder).documents().select("doc_id", "text"), F.col("text"), LEXICON)
     return docs.select("doc_id", r6c("tone").alias("tone"), r6c("negativity").alias("negativity"))
 
 

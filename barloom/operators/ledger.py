@@ -99,8 +99,8 @@ class Ledger:
         """One row per entry: growth since the previous one, cost and equity at the open before costs."""
         keys, k = self.keys, [*self.keys, "entry_no"]
         sums = self.legs.groupBy(*k).agg(F.sum("w").alias("invested"), F.sum("w_prev").alias("_w_prev"), F.sum("wr").alias("_wr"))
-        base = self.entries.join(sums, k, "left").na.fill(0.0, ["invested", "_w_prev", "_wr"]).withColumn(
-            "gross", 1 - F.col("_w_prev") + F.col("_wr")).drop("_w_prev", "_wr")
+        base = cut_lineage(self.entries.join(sums, k, "left").na.fill(0.0, ["invested", "_w_prev", "_wr"]).withColumn(
+            "gross", 1 - F.col("_w_prev") + F.col("_wr")).drop("_w_prev", "_wr"))
         state = base.select(*k, F.col("gross").alias("growth"), F.lit(0.0).alias("cost"))
         for _ in range(self.passes):
             state = self._chain(base, self._cost_terms(state))

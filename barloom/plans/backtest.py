@@ -49,12 +49,12 @@ class Backtest:
 
     @cached_property
     def limited_weights(self) -> DataFrame:
-        """Target weights after the membership rule and the limits."""
+        """Target weights after the membership rule and the limits; the strategy itself runs once."""
         strategy = self.strategy
         if self.config.rebalance is not None:
             strategy = Strategy(strategy.name, {**strategy.params, "rebalance": self.config.rebalance}, strategy.configs)
         keys = ["config", "date"]
-        weights = strategy.weights(self._stored)
+        weights = cut_lineage(strategy.weights(self._stored))
         if "member" in self._stored.grid.columns:
             weights = R.zero_non_members(weights.join(self._stored.grid.select("ticker", "bar_idx", "member"), ["ticker", "bar_idx"]))
         if self.panel.sectors is not None:

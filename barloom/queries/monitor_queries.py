@@ -198,3 +198,47 @@ ORACLES = {
           SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(score, 9) DESC, ticker) AS rank FROM ({_RANGE}) s QUALIFY rank <= 8) t""", "grid", "cal"),
     "custom_columns": sql(f"SELECT ticker, date, {r6('score')} AS score FROM ({_RANGE}) s", "grid", "cal"),
 }
+
+
+def _backtest_sql() -> str:
+    """Two momentum books, selected, sized, limited, accounted twice (the second time throttled) and measured."""
+    from barloom.queries.ledger_queries import TURN, ledger_steps, metric_steps, window_rows
+
+    picked = " UNION ALL ".join(f"""
+        SELECT {i} AS config, ticker, date, bar_idx FROM (
+          SELECT *, row_number() OVER (PARTITION BY date, sector ORDER BY score DESC, ticker) AS sr FROM mom_monthly JOIN gate USING (date) WHERE risk_on) x
+        WHERE sr <= 3 OR sector = 'Unknown' QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) <= {n}""" for i, n in enumerate((5, 10)))
+    retail = PRESETS["retail"]
+    steps = {
+        "picked": picked,
+        "sized": """SELECT config, date, bar_idx, ticker, (1 / vol) / sum(1 / vol) OVER (PARTITION BY config, date) AS weight FROM picked JOIN vols USING (ticker, date) WHERE vol IS NOT NULL""",
+        "risky": """
+            SELECT config, date, stddev_samp(r) * sqrt(252.0::DOUBLE) AS rv, max(g) AS g FROM (
+              SELECT b.config, b.date, p.bar_idx, sum(b.weight * coalesce(p.pad_ret, 0.0::DOUBLE)) AS r, sum(abs(b.weight)) AS g
+              FROM sized b JOIN rets p ON p.ticker = b.ticker AND p.bar_idx BETWEEN b.bar_idx - 59 AND b.bar_idx GROUP BY ALL) x GROUP BY ALL""",
+        "clipped": """
+            SELECT config, bar_idx, ticker, least(CASE WHEN rv > 0 THEN weight * least(0.15::DOUBLE / rv, 1.0::DOUBLE / greatest(g, 1e-12::DOUBLE)) ELSE weight END, 0.2::DOUBLE) AS w
+            FROM sized JOIN risky USING (config, date)""",
+        "limited": """SELECT config, bar_idx, ticker, w * CASE WHEN g > 0.95 THEN 0.95::DOUBLE / g ELSE 1.0::DOUBLE END AS weight FROM (
+            SELECT *, sum(w) OVER (PARTITION BY config, bar_idx) AS g FROM clipped) c""",
+        "dec": "SELECT config, bar_idx FROM monthly CROSS JOIN (SELECT unnest([0, 1]) AS config) c",
+        "win": window_rows({0: retail, 1: retail}, "(SELECT greatest(min(bar_idx), 253) FROM cal WHERE date >= DATE '1996-06-01')",
+                           "(SELECT max(bar_idx) FROM cal WHERE date <= DATE '2001-06-30')"),
+        **ledger_steps("limited", "win", "dec", "f_"),
+        "cutbook": """
+            SELECT b.config, b.bar_idx, ticker, weight * CASE WHEN dd >= 0.2 THEN 0.0::DOUBLE WHEN dd >= 0.1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS weight
+            FROM limited b JOIN (SELECT config, bar_idx, 1 - equity / greatest(max(equity) OVER (PARTITION BY config ORDER BY bar_idx), 100000.0::DOUBLE) AS dd FROM f_eq) d
+            ON d.config = b.config AND d.bar_idx = b.bar_idx""",
+        **ledger_steps("cutbook", "win", "dec"), **metric_steps("eq"), "turn": TURN,
+        "bcurve": f"""SELECT v.config, m.bar_idx, mark AS equity FROM win v JOIN marked m ON m.ticker = '{MARKET}' AND m.bar_idx BETWEEN first_idx AND last_idx""",
+        **metric_steps("bcurve", "config", "b_"),
+    }
+    return sql("""
+        SELECT s.config, s.n_days, round(s.end_equity, 3) AS end_equity, round(s.sharpe, 5) AS sharpe, round(t.turnover, 5) AS annual_turnover,
+               round(s.cagr - b.cagr, 5) AS excess_cagr, round(beta, 5) AS beta
+        FROM stat s JOIN (SELECT config, avg(turnover) * 252 AS turnover FROM turn GROUP BY 1) t ON t.config = s.config JOIN b_stat b ON b.config = s.config
+        JOIN (SELECT x.config, regr_slope(x.r, y.r) AS beta FROM ret x JOIN b_ret y ON y.config = x.config AND y.bar_idx = x.bar_idx GROUP BY 1) k ON k.config = s.config""",
+        "mom_monthly", "gate", "vols", "rets", "marked", "monthly", "cal", recursive=True, **steps)
+
+
+ORACLES["backtest"] = _backtest_sql()

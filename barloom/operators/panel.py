@@ -50,13 +50,14 @@ def snapshot_of_date(calendar: DataFrame, membership: DataFrame) -> DataFrame:
 def with_membership(grid: DataFrame, calendar: DataFrame, membership: DataFrame) -> DataFrame:
     """Add `member`: true when the ticker belonged to the latest snapshot at or before the date.
 
-    The as-of step runs on calendar dates only; the big join is a plain equality on (snapshot, ticker).
+    The as-of step runs on calendar dates only. A ticker's snapshots travel as one array (at most one
+    entry per snapshot), so the panel is joined on the ticker it is already partitioned by.
     """
-    held = membership.select(F.col("date").alias("snapshot"), "ticker", F.lit(True).alias("_in")).distinct()
+    held = membership.groupBy("ticker").agg(F.collect_set("date").alias("_snapshots"))
     dated = grid.join(per_day(snapshot_of_date(calendar, membership)), "date", "left")
-    return dated.join(held, ["snapshot", "ticker"], "left").withColumn(
-        "member", F.coalesce("_in", F.lit(False))
-    ).drop("snapshot", "_in")
+    return dated.join(held, "ticker", "left").withColumn(
+        "member", F.coalesce(F.array_contains("_snapshots", F.col("snapshot")), F.lit(False))
+    ).drop("snapshot", "_snapshots")
 
 
 def all_members(membership: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -89,8 +89,11 @@ class WalkForward:
 
     @cached_property
     def winners(self) -> DataFrame:
-        """The best parameter set of each fold; the first of equals wins and NaN never does. Adds the deflated Sharpe."""
-        score = F.when(~F.isnan(self.objective), F.col(self.objective))
+        """The best parameter set of each fold; the first of equals wins and NaN never does. Adds the deflated Sharpe.
+
+        Scores equal to nine digits are equal: the last bits of a distributed sum depend on its order.
+        """
+        score = F.when(~F.isnan(self.objective), F.round(self.objective, 9))
         best = Window.partitionBy("fold").orderBy(score.desc_nulls_last(), "config")
         finite = F.when(~F.isnan("sharpe") & (F.abs("sharpe") != float("inf")), F.col("sharpe"))
         spread = self.trials.groupBy("fold").agg(F.count(finite).alias("n_trials"), F.stddev_samp(finite).alias("trial_sd"))

@@ -104,7 +104,7 @@ ORACLES = {
           SELECT date, count(*) AS n_names, count(close) AS n_prices, {r6('max(close)')} AS top_close
           FROM grid WHERE date BETWEEN DATE '{START}' AND DATE '{END}' GROUP BY date) d""", "grid"),
     "select_tickers": sql("""
-        SELECT ticker, max_by(close, bar_idx) AS last_close, count(*) AS n_rows FROM grid
+        SELECT ticker, max(close) FILTER (bar_idx = (SELECT max(bar_idx) FROM cal)) AS last_close, count(*) AS n_rows FROM grid
         WHERE ticker IN (SELECT ticker FROM sectors WHERE sector IN ('ASIA', 'EUROPE')) GROUP BY ticker""", "grid", "sectors"),
     "eligible": sql("SELECT ticker, date, member, member AND close IS NOT NULL AS eligible FROM member_grid", "member_grid"),
     "membership_asof": sql("""

@@ -33,7 +33,7 @@ def sector_cap(spark, folder):
 def member_weights(spark, folder):
     m = Market(spark, folder)
     grid = P.with_membership(m.grid, m.days, m.membership).join(per_day(S.decision_dates(m.days, "monthly").select("date")), "date", "left_semi")
-    zeroed = R.zero_non_members(grid.select("date", "ticker", "member", (F.col("close") / 10000.0).alias("weight")))
+    zeroed = R.zero_non_members(grid.select("date", "ticker", "member", (F.col("close") / 9973.0).alias("weight")))
     return zeroed.groupBy("date").agg(F.count_if(F.col("weight") > 0).alias("n_held"), r6c(F.sum("weight")).alias("gross"))
 
 
@@ -179,7 +179,7 @@ ORACLES = {
           SELECT *, least(greatest(weight, -0.12::DOUBLE), 0.12::DOUBLE) AS w FROM raw_targets) x""", **_ROUNDS),
     "sector_cap": sql(f"SELECT account, ticker, {r6('w')} AS weight FROM r5", "raw_targets", **_ROUNDS_ONLY),
     "member_weights": sql(f"""
-        SELECT date, count(*) FILTER (member AND close > 0) AS n_held, {r6('sum(CASE WHEN member THEN close / 10000.0::DOUBLE ELSE 0 END)')} AS gross
+        SELECT date, count(*) FILTER (member AND close > 0) AS n_held, {r6('sum(CASE WHEN member THEN close / 9973.0::DOUBLE ELSE 0 END)')} AS gross
         FROM member_grid JOIN monthly USING (date) GROUP BY date""", "member_grid", "monthly"),
     "drawdown_scale": sql(f"""
         SELECT account, {r6('dd')} AS drawdown, CASE WHEN dd >= 0.2 THEN 0.0::DOUBLE WHEN dd >= 0.1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS scale

@@ -249,7 +249,7 @@ _WF_BASE = {
     "spread": "SELECT config // 10 AS fold, count(sharpe) AS n_trials, stddev_samp(sharpe) AS trial_sd FROM t_stat GROUP BY 1",
     "won": """
         SELECT t.*, t.config // 10 AS fold, t.config % 10 AS cfg, n_trials, trial_sd FROM t_stat t JOIN spread s ON s.fold = t.config // 10
-        QUALIFY row_number() OVER (PARTITION BY t.config // 10 ORDER BY sharpe DESC, t.config) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY t.config // 10 ORDER BY round(sharpe, 9) DESC, t.config) = 1""",
 }
 _WF_TEST = {
     "vwin": f"""SELECT won.config, test_start AS first_idx, test_end AS last_idx, {RETAIL.penalty}::DOUBLE AS pen, 0.0::DOUBLE AS pct, 0.0::DOUBLE AS ps, 0.0::DOUBLE AS mn
@@ -303,7 +303,8 @@ ORACLES = {
         SELECT ticker, CASE WHEN sr <= 0.01 THEN 'inf'::DOUBLE ELSE round(1 + greatest(1 + 0.3::DOUBLE * sr + sr * sr, 1e-12::DOUBLE) * pow({ppf_sql('0.9::DOUBLE')} / (sr - 0.01::DOUBLE), 2), 3) END AS bars
         FROM (SELECT *, mean / sd AS sr FROM stat WHERE sd > 0) a""", "curve", **_STAT),
     "deflated_sharpe": sql(f"""
-        SELECT ticker, n_trials, {r6('dsr')} AS dsr, {r6('sr0 * sqrt(252.0::DOUBLE)')} AS expected_max_sharpe_annual, round(mby, 4) AS min_backtest_years FROM deflated""",
+        SELECT ticker, n_trials, {r6('dsr')} AS dsr, {r6('sr0 * sqrt(252.0::DOUBLE)')} AS expected_max_sharpe_annual, round(mby, 4) AS min_backtest_years
+        FROM (SELECT ticker, n_trials FROM judged) j LEFT JOIN (SELECT ticker, dsr, sr0, mby FROM deflated) d USING (ticker)""",
         "curve", "sectors", **_STAT,
         tried="""SELECT *, count(sharpe) OVER (PARTITION BY sector) AS n_trials, stddev_samp(sharpe) OVER (PARTITION BY sector) AS trial_sd
                  FROM (SELECT stat.*, coalesce(sector, 'Unknown') AS sector FROM stat LEFT JOIN sectors USING (ticker)) s""",

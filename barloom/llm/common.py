@@ -1,6 +1,10 @@
 """Small helpers shared by the corpus operators."""
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +15,21 @@ SPACE = b" \t\n\v\f\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application, as spark-submit --py-files would."""
+    context = spark.sparkContext
+    if getattr(context, "_barloom_shipped", None) != context.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp()).resolve() / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._barloom_shipped = context.applicationId
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

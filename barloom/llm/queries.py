@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontam, quality, secrets, sharding, toxicity, urls
+from barloom.llm import decontam, mixing, neardup, quality, secrets, sharding, toxicity, urls
 from barloom.llm.common import table
 
 # The rules of the URL query.
@@ -52,6 +52,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "n_copied", "n_live", "most_owners", "most_repositories")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exponent at which no source is passed more than four times, realised over all documents."""
+    return mixing.mixed_sequence(table(spark, sf_dir, "documents"), mixing.Target(repeats=4.0))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -61,7 +70,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op4_decontamination, op5_secrets, op9_sharding, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op9_sharding, op10_urls)}
 ORACLES: dict[str, str] = {}
 
 # Words are cut at the six white-space bytes; RE2 has no lookahead, so pieces are filtered instead.
@@ -136,3 +145,20 @@ r(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.ne
 m AS (SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
       FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, host, path)
 SELECT u.page_id, u.host, u.path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id, host, path)"""
+
+_PLACE = "CAST('0x' || substr(md5('0|' || CAST(epoch AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)"
+ORACLES["op3_mixing"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents),
+s AS (SELECT source, sum(n_tokens) AS tokens FROM d GROUP BY source),
+r AS (SELECT max(tokens) / min(tokens) AS spread, max(tokens) AS most FROM s WHERE tokens > 0),
+bi(step, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT step + 1, CASE WHEN pow(spread, 1 - (lo + hi) / 2) <= 4 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN pow(spread, 1 - (lo + hi) / 2) <= 4 THEN (lo + hi) / 2 ELSE hi END FROM bi, r WHERE step < 32),
+a AS (SELECT hi AS a FROM bi WHERE step = 32),
+p AS (SELECT source, tokens, CASE WHEN tokens > 0 THEN CAST(round(most * pow(tokens, a) / pow(most, a)) AS BIGINT) ELSE 0 END AS budget, greatest(1, CAST(ceil(tokens / 1000000) AS BIGINT)) AS blocks FROM s, a, r),
+q AS (SELECT source, tokens, blocks, CAST(CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS BIGINT) AS epochs, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM p),
+l AS (SELECT doc_id, source, n_tokens, blocks, epochs, rest, {_PLACE} AS place FROM (SELECT *, epochs AS epoch FROM d JOIN q USING (source)) x),
+t AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS copies FROM l),
+i AS (SELECT doc_id, source, n_tokens, blocks, unnest(generate_series(0, copies - 1)) AS epoch FROM t),
+b AS (SELECT doc_id, source, n_tokens, CAST(epoch AS BIGINT) AS epoch, blocks, {_PLACE} AS place FROM i),
+c AS (SELECT *, CAST(floor(CAST(place AS DOUBLE) * blocks / 1152921504606846976.0) AS BIGINT) AS block FROM b)
+SELECT doc_id, source, n_tokens, epoch, block, row_number() OVER (PARTITION BY source, epoch, block ORDER BY place, doc_id, n_tokens) - 1 AS slot FROM c"""

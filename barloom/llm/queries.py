@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontam, mixing, neardup, quality, secrets, sharding, toxicity, urls
+from barloom.llm import decontam, mixing, neardup, quality, secrets, sharding, toxicity, urls, warc
 from barloom.llm.common import table
 
 # The rules of the URL query.
@@ -61,6 +61,14 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    records = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(warc.normalise(records, folder), folder)
+    return found.select(F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                        F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -70,7 +78,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op9_sharding, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op9_sharding, op10_urls)}
 ORACLES: dict[str, str] = {}
 
 # Words are cut at the six white-space bytes; RE2 has no lookahead, so pieces are filtered instead.
@@ -162,3 +170,16 @@ i AS (SELECT doc_id, source, n_tokens, blocks, unnest(generate_series(0, copies
 b AS (SELECT doc_id, source, n_tokens, CAST(epoch AS BIGINT) AS epoch, blocks, {_PLACE} AS place FROM i),
 c AS (SELECT *, CAST(floor(CAST(place AS DOUBLE) * blocks / 1152921504606846976.0) AS BIGINT) AS block FROM b)
 SELECT doc_id, source, n_tokens, epoch, block, row_number() OVER (PARTITION BY source, epoch, block ORDER BY place, doc_id, n_tokens) - 1 AS slot FROM c"""
+
+# Base32 of the 160 bits of the digest: each group of 5 bits is a letter.
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, html, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
+g AS (SELECT html, min(page_id) AS first FROM h GROUP BY html),
+b AS (SELECT hex, string_agg(CASE c WHEN '0' THEN '0000' WHEN '1' THEN '0001' WHEN '2' THEN '0010' WHEN '3' THEN '0011' WHEN '4' THEN '0100' WHEN '5' THEN '0101' WHEN '6' THEN '0110' WHEN '7' THEN '0111'
+  WHEN '8' THEN '1000' WHEN '9' THEN '1001' WHEN 'a' THEN '1010' WHEN 'b' THEN '1011' WHEN 'c' THEN '1100' WHEN 'd' THEN '1101' WHEN 'e' THEN '1110' ELSE '1111' END, '' ORDER BY i) AS bits
+  FROM (SELECT hex, i, substr(hex, CAST(i AS INTEGER), 1) AS c FROM (SELECT DISTINCT hex FROM h) x, range(1, 41) AS r(i)) y GROUP BY hex),
+e AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(bits[5 * i + 1] AS INTEGER) + 8 * CAST(bits[5 * i + 2] AS INTEGER) + 4 * CAST(bits[5 * i + 3] AS INTEGER)
+  + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER), 1), '' ORDER BY i) AS payload_digest FROM b, range(0, 32) AS r(i) GROUP BY hex)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h JOIN g USING (html) JOIN e USING (hex)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontam, mixing, neardup, quality, secrets, sharding, toxicity, urls, warc
+from barloom.llm import decontam, mixing, neardup, quality, secrets, sharding, substrings, toxicity, urls, warc
 from barloom.llm.common import table
 
 # The rules of the URL query.
@@ -69,6 +69,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_substrings(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op9_sharding, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op8_repeated_substrings, op9_sharding, op10_urls)}
 ORACLES: dict[str, str] = {}
 
 # Words are cut at the six white-space bytes; RE2 has no lookahead, so pieces are filtered instead.

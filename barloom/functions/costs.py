@@ -22,6 +22,11 @@ class CostModel:
     def penalty(self) -> float:
         return (self.slippage_bps + self.spread_bps / 2.0) / 10_000.0
 
+    @property
+    def is_free(self) -> bool:
+        """Whether trading costs nothing at all."""
+        return not (self.penalty or self.commission_pct or self.commission_per_share or self.commission_min)
+
     def scaled(self, k: float) -> CostModel:
         return CostModel(self.commission_per_share * k, self.commission_min * k, self.commission_pct * k,
                          self.slippage_bps * k, self.spread_bps * k)

@@ -42,6 +42,7 @@ def safe_ratio(num: Column, den: Column) -> Column:
 
 
 def utc_wall_clock(col: Column | str) -> Column:
-    """A zone-free UTC timestamp. Instants are read in the session zone, which must be UTC."""
+    """A zone-free UTC timestamp. Text may carry an offset or Z and is moved to UTC; text that is no time becomes null.
+    Instants are read in the session zone, which must be UTC."""
     col = F.col(col) if isinstance(col, str) else col
-    return col.cast("timestamp_ntz")
+    return F.try_to_timestamp(col.cast("string")).cast("timestamp_ntz")

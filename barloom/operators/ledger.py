@@ -7,13 +7,14 @@ change, so everything inside a period is linear in the equity at its opening tra
 
 and the opening equities chain as a product of period growths. Only the cost of an entry depends on
 the growth of the period before it, which contains the cost before that. Once it is known which legs
-are bought and which are sold, an entry's cost is a - b / growth with two sums a and b over its legs,
-and the chain is a fold over one small row per entry. The sides follow from the growths, so the two
-steps alternate: a side can only be wrong while its trade is about as small as the error of the
+are bought and which are sold, an entry's cost is a - b / growth + fees / equity with three sums over its
+legs (fees are the order minimums of orders too small for the proportional commission), and the chain is a
+fold over one small row per entry. The sides follow from the growths, so the two steps alternate: a side can only be wrong while its trade is about as small as the error of the
 growth, which shrinks with the square of the price penalty, and three passes reach rounding error.
 
 The result is exact when no trade is suppressed: fractional shares, no trade band, no volume or cash
-cap, no order minimum.
+cap. A book that wants more than all its equity plus costs goes overdrawn; `periods` shows it as cash below 0.
+The last pass's largest change of a growth is kept as `residual`.
 """
 from __future__ import annotations
 
@@ -29,6 +30,7 @@ from barloom.functions.scalars import safe_ratio
 from barloom.session import cut_lineage
 
 COSTS = ["penalty", "pct", "per_share", "per_order"]
+TINY = 1e-12   # of equity; a smaller move is no trade
 
 
 def trading_window(calendar: DataFrame, warmup: int, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -101,31 +103,43 @@ class Ledger:
         sums = self.legs.groupBy(*k).agg(F.sum("w").alias("invested"), F.sum("w_prev").alias("_w_prev"), F.sum("wr").alias("_wr"))
         base = cut_lineage(self.entries.join(sums, k, "left").na.fill(0.0, ["invested", "_w_prev", "_wr"]).withColumn(
             "gross", 1 - F.col("_w_prev") + F.col("_wr")).drop("_w_prev", "_wr"))
-        state = base.select(*k, F.col("gross").alias("growth"), F.lit(0.0).alias("cost"))
+        free = base.select(*k, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("fees"))
+        state = self._chain(base, free).withColumn("residual", F.lit(0.0))
         for _ in range(self.passes):
-            state = self._chain(base, self._cost_terms(state))
+            before = state.select(*k, F.col("growth").alias("_before"))
+            state = self._chain(base, self._cost_terms(state)).join(before, k).withColumn("residual", F.abs(F.col("growth") - F.col("_before"))).drop("_before")
         opened = F.lit(float(self.initial_cash)) * F.product("growth").over(
             Window.partitionBy(*keys).orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0))
-        return cut_lineage(base.drop("gross").join(state, k).withColumn("open_equity", opened))
+        return cut_lineage(base.drop("gross").join(state.drop("equity"), k).withColumn("open_equity", opened))
 
     def _cost_terms(self, state: DataFrame) -> DataFrame:
-        """Per entry the sums (a, b) that make its cost a - b / growth, with sides by the growths of `state`."""
+        """Per entry the sums that make its cost a - b / growth + fees / equity, with sides and sizes by `state`.
+
+        An order whose proportional commission is below the minimum pays the minimum instead.
+        """
         k = [*self.keys, "entry_no"]
-        rows = self.legs.join(state.select(*k, "growth"), k).withColumn("_side", F.signum(F.col("w") - F.col("wr") / F.col("growth")))
-        paid = F.col("_side") * loss_rate(F.col("_side"), F.col("ref"))
-        return rows.groupBy(*k).agg(F.sum(paid * F.col("w")).alias("a"), F.sum(paid * F.col("wr")).alias("b"))
+        move = F.col("w") - F.coalesce(safe_ratio(F.col("wr"), F.col("growth")), F.lit(0.0))
+        rows = self.legs.join(state.select(*k, "growth", "equity"), k).withColumns({"_move": move, "_side": F.signum(move)})
+        size = F.abs("_move") * F.col("equity") / F.col("ref")
+        fee = size * F.col("per_share") + size * fill_price(F.col("ref"), F.col("_side")) * F.col("pct")
+        least = (F.abs("_move") > TINY) & (fee < F.col("per_order"))
+        rate = F.when(least, F.col("penalty")).otherwise(loss_rate(F.col("_side"), F.col("ref")))
+        paid = F.col("_side") * rate
+        return rows.groupBy(*k).agg(F.sum(paid * F.col("w")).alias("a"), F.sum(paid * F.col("wr")).alias("b"), F.sum(F.when(least, F.col("per_order")).otherwise(0.0)).alias("fees"))
 
     def _chain(self, base: DataFrame, terms: DataFrame) -> DataFrame:
-        """Growth and cost of every entry in order; the fold sees four numbers per entry."""
+        """Growth, cost and opening equity of every entry in order; the fold sees five numbers per entry."""
         keys, k = self.keys, [*self.keys, "entry_no"]
-        rows = base.select(*k, "gross").join(terms, k, "left").na.fill(0.0, ["a", "b"])
-        line = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("entry_no", "gross", "a", "b"))).alias("line"))
-        empty = F.array().cast("array<struct<entry_no:int,growth:double,cost:double>>")
+        rows = base.select(*k, "gross").join(terms, k, "left").na.fill(0.0, ["a", "b", "fees"])
+        line = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("entry_no", "gross", "a", "b", "fees"))).alias("line"))
+        empty = F.array().cast("array<struct<entry_no:int,growth:double,cost:double,equity:double>>")
 
         def step(done, e):
-            growth = e["gross"] - F.coalesce(F.try_element_at(done, F.lit(-1))["cost"], F.lit(0.0))
-            return F.concat(done, F.array(F.struct(
-                e["entry_no"].alias("entry_no"), growth.alias("growth"), (e["a"] - e["b"] / growth).alias("cost"))))
+            last = F.try_element_at(done, F.lit(-1))
+            growth = e["gross"] - F.coalesce(last["cost"], F.lit(0.0))
+            equity = F.coalesce(last["equity"], F.lit(float(self.initial_cash))) * growth
+            cost = e["a"] - F.coalesce(safe_ratio(e["b"], growth), F.lit(0.0)) + F.when(e["fees"] > 0, F.coalesce(safe_ratio(e["fees"], equity), F.lit(0.0))).otherwise(0.0)
+            return F.concat(done, F.array(F.struct(e["entry_no"].alias("entry_no"), growth.alias("growth"), cost.alias("cost"), equity.alias("equity"))))
 
         return line.select(*keys, F.explode(F.aggregate("line", empty, step)).alias("e")).select(*keys, "e.*")
 
@@ -169,9 +183,9 @@ class Ledger:
         """One row per entry and ticker whose share count changes."""
         k = [*self.keys, "entry_no"]
         rows = self.legs.join(self.periods.select(*k, "growth", "open_equity"), k)
-        move = F.col("w") - F.col("wr") / F.col("growth")
+        move = F.col("w") - F.coalesce(safe_ratio(F.col("wr"), F.col("growth")), F.lit(0.0))
         sign = F.signum(move)
-        filled = rows.withColumns({"_move": move, "_sign": sign}).filter(F.abs("_move") > 1e-12).withColumns({
+        filled = rows.withColumns({"_move": move, "_sign": sign}).filter(F.abs("_move") > TINY).withColumns({
             "quantity": F.abs("_move") * F.col("open_equity") / F.col("ref"),
             "price": fill_price(F.col("ref"), F.col("_sign")),
         })

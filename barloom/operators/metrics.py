@@ -15,7 +15,7 @@ YEAR = 252
 def with_drawdown(equity: DataFrame, keys: Sequence[str], order: str = "bar_idx") -> DataFrame:
     """Add `drawdown` = equity over its running maximum less one."""
     upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return equity.withColumn("drawdown", F.col("equity") / F.max("equity").over(upto) - 1.0)
+    return equity.withColumn("drawdown", safe_ratio(F.col("equity"), F.max("equity").over(upto)) - 1.0)
 
 
 def cagr(first: Column, last: Column, n: Column, year: int = YEAR) -> Column:
@@ -41,7 +41,7 @@ def return_moments(equity: DataFrame, keys: Sequence[str], order: str = "bar_idx
     upto = seq.rowsBetween(Window.unboundedPreceding, 0)
     curve = equity.withColumns({
         "_r": safe_ratio(F.col("equity"), F.lag("equity").over(seq)) - 1.0,
-        "_dd": F.col("equity") / F.max("equity").over(upto) - 1.0,
+        "_dd": safe_ratio(F.col("equity"), F.max("equity").over(upto)) - 1.0,
     })
     loss = F.when(F.col("_r") < 0, F.col("_r") * F.col("_r")).otherwise(0.0)
     return curve.groupBy(*keys).agg(
@@ -102,7 +102,7 @@ def beta_alpha(equity: DataFrame, benchmark: DataFrame, keys: Sequence[str], yea
     return g.select(*keys, "beta", ((F.col("_mr") - F.col("beta") * F.col("_mb")) * year).alias("alpha_annual"))
 
 
-FLAT = 1e-12
+SHARE_UNITS = 100_000_000   # share counts are whole numbers of this part of a share, so that sums of fills are exact
 CHUNK_ROWS = 10_000
 
 
@@ -111,7 +111,8 @@ def round_trips(trades: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_
 
     A position is a recursion over ordered fills. A name with more than `chunk_rows` fills is split into
     chunks of a day and a block of `seq`, so that it is worked on in many tasks. What a chunk does to the
-    incoming state composes: the share count maps as max(floor, q + shift), and once the share count
+    incoming state composes: the share count maps as max(floor, q + shift), exactly, because shares are
+    counted in whole units of 1e-8 (so a sale of .3 closes buys of .1 and .2 in any split), and once the share count
     is known the cost basis maps as scale * basis + add. So: fold each chunk to its maps, chain the
     chunks of a name (one small row per chunk), and fold each chunk again from its true starting state.
     """
@@ -123,36 +124,38 @@ def round_trips(trades: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_
     fills = trades.join(busy, name, "left").select(
         *name, F.struct(F.when(split, stamp).alias("at"), F.when(split, F.floor(seq / chunk_rows)).otherwise(0).alias("block")).alias("chunk"),
         F.struct(
-            stamp.alias("at"), seq.alias("seq"), (F.col("side") == "buy").alias("buy"), F.col("quantity").cast("double").alias("q"),
+            stamp.alias("at"), seq.alias("seq"), (F.col("side") == "buy").alias("buy"), F.round(F.col("quantity").cast("double") * SHARE_UNITS).cast("long").alias("q"),
             F.col("price").cast("double").alias("p"), F.col("commission").cast("double").alias("c")).alias("fill"))
     chunks = fills.groupBy(*name, "chunk").agg(F.array_sort(F.collect_list("fill")).alias("fills"))
 
-    never = F.lit(float("-inf"))
-    shape = F.aggregate("fills", F.struct(F.lit(0.0).alias("shift"), never.alias("floor")), lambda s, f: F.struct(
+    none, zero_units = F.lit(None).cast("long"), F.lit(0).cast("long")   # a null floor: no sale so far
+    shape = F.aggregate("fills", F.struct(zero_units.alias("shift"), none.alias("floor")), lambda s, f: F.struct(
         F.when(f["buy"], s["shift"] + f["q"]).otherwise(s["shift"] - f["q"]).alias("shift"),
-        F.when(f["buy"], s["floor"] + f["q"]).otherwise(F.greatest(F.lit(0.0), s["floor"] - f["q"])).alias("floor")))
+        F.when(f["buy"], s["floor"] + f["q"]).otherwise(F.greatest(zero_units, s["floor"] - f["q"])).alias("floor")))
     path = Window.partitionBy(*name).orderBy("chunk")
     upto = path.rowsBetween(Window.unboundedPreceding, 0)
     shifted = chunks.select(*name, "chunk", shape.alias("m")).select(*name, "chunk", "m.*").withColumn("_sum", F.sum("shift").over(upto))
     # the share count after a chunk in closed form: running shift over the highest floor so far
-    after = F.col("_sum") + F.greatest(F.lit(0.0), F.max(F.col("floor") - F.col("_sum")).over(upto))
-    started = shifted.withColumn("_after", after).select(*name, "chunk", F.coalesce(F.lag("_after").over(path), F.lit(0.0)).alias("q_in"))
+    after = F.col("_sum") + F.greatest(zero_units, F.max(F.col("floor") - F.col("_sum")).over(upto))
+    started = shifted.withColumn("_after", after).select(*name, "chunk", F.coalesce(F.lag("_after").over(path), zero_units).alias("q_in"))
     opened = chunks.join(started, [*name, "chunk"])
 
     def sold(q: Column, f: Column) -> Column:
         return F.least(f["q"], q)
 
     def left(q: Column, f: Column) -> Column:
-        rest = q - sold(q, f)
-        return F.when(rest <= FLAT, 0.0).otherwise(rest)
+        return q - sold(q, f)
+
+    def shares(units: Column) -> Column:
+        return units / F.lit(float(SHARE_UNITS))
 
     def basis_step(s: Column, f: Column) -> Column:
-        keep = F.when(s["q"] > 0, left(s["q"], f) / s["q"]).otherwise(0.0)
+        keep = F.when(s["q"] > 0, left(s["q"], f).cast("double") / s["q"]).otherwise(0.0)
         buy = f["buy"]
         return F.struct(
             F.when(buy, s["q"] + f["q"]).otherwise(F.when(s["q"] > 0, left(s["q"], f)).otherwise(s["q"])).alias("q"),
             F.when(buy, s["scale"]).otherwise(s["scale"] * keep).alias("scale"),
-            F.when(buy, s["add"] + f["q"] * f["p"] + f["c"]).otherwise(s["add"] * keep).alias("add"))
+            F.when(buy, s["add"] + shares(f["q"]) * f["p"] + f["c"]).otherwise(s["add"] * keep).alias("add"))
 
     basis = F.aggregate("fills", F.struct(F.col("q_in").alias("q"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("add")), basis_step)
     maps = opened.select(*name, "chunk", basis.alias("b")).select(*name, F.struct("chunk", "b.scale", "b.add").alias("m"))
@@ -172,14 +175,14 @@ def round_trips(trades: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_
     def settle(s: Column, f: Column) -> Column:
         buy = f["buy"]
         live = ~buy & (s["q"] > 0)
-        x = sold(s["q"], f)
-        each = F.when(s["q"] > 0, s["basis"] / s["q"]).otherwise(0.0)
+        x = shares(sold(s["q"], f))
+        each = F.when(s["q"] > 0, s["basis"] / shares(s["q"])).otherwise(0.0)
         pnl = x * f["p"] - x * each - f["c"]
         rest = left(s["q"], f)
         good, bad = live & (pnl > 0), live & (pnl <= 0)
         return F.struct(
             F.when(buy, s["q"] + f["q"]).when(live, rest).otherwise(s["q"]).alias("q"),
-            F.when(buy, s["basis"] + f["q"] * f["p"] + f["c"]).when(live & (rest == 0), 0.0).when(live, s["basis"] - x * each).otherwise(s["basis"]).alias("basis"),
+            F.when(buy, s["basis"] + shares(f["q"]) * f["p"] + f["c"]).when(live & (rest == 0), 0.0).when(live, s["basis"] - x * each).otherwise(s["basis"]).alias("basis"),
             (s["wins"] + F.when(good, 1).otherwise(0)).alias("wins"), (s["losses"] + F.when(bad, 1).otherwise(0)).alias("losses"),
             (s["won"] + F.when(good, pnl).otherwise(0.0)).alias("won"), (s["lost"] + F.when(bad, pnl).otherwise(0.0)).alias("lost"))
 

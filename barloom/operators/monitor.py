@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import per_day, safe_ratio
+from barloom.functions.scalars import finite_or_null, per_day, safe_ratio
+from barloom.operators.schedule import trading_calendar
 
 NEVER_STALE = 260
 
@@ -17,21 +18,30 @@ def _failure(rule: str, value: Column, ticker: Column | None = None) -> list[Col
             value.cast("double").alias("value")]
 
 
-def freshness(books: DataFrame, exchange_days: DataFrame, max_stale_sessions: int = 1) -> DataFrame:
-    """Add `status` to rows with as_of and today: 'future', 'stale' or 'fresh'.
+def freshness(books: DataFrame, exchange_days: DataFrame | None = None, max_stale_sessions: int = 1) -> DataFrame:
+    """Add `allowed` and `status` to rows with as_of and today: 'future', 'stale' or 'fresh'.
 
-    The oldest allowed bar is the n-th exchange day strictly before today, found by its session number.
+    The oldest allowed bar is the n-th exchange day strictly before today, found by its session number. Without
+    `exchange_days` a calendar is built that reaches far enough back. A row whose oldest allowed day is unknown,
+    because the given calendar does not reach it or a date is missing, is stale.
     """
+    if exchange_days is None:
+        exchange_days = trading_calendar(books, "today", min(max_stale_sessions, NEVER_STALE))
     days = exchange_days.select(F.col("date").alias("today"), (F.col("session_idx") - F.col("is_trading_day").cast("int")).alias("_before"))
     numbered = exchange_days.filter("is_trading_day").select(F.col("session_idx").alias("_nth"), F.col("date").alias("allowed"))
     looked = books.join(per_day(days), "today", "left").withColumn("_nth", F.col("_before") - (max_stale_sessions - 1))
     known = looked.join(per_day(numbered), "_nth", "left").drop("_before", "_nth")
     if max_stale_sessions == 0:
         known = known.withColumn("allowed", F.col("today"))
-    stale = F.lit(False) if max_stale_sessions > NEVER_STALE else F.col("as_of") < F.col("allowed")
+    stale = F.lit(False) if max_stale_sessions > NEVER_STALE else F.coalesce(F.col("as_of") < F.col("allowed"), F.lit(True))
     return known.withColumn("status", F.when(F.col("as_of") > F.col("today"), "future").when(stale, "stale").otherwise("fresh"))
 
 
+def freshness_failures(checked: DataFrame) -> DataFrame:
+    """Rows of `freshness` (with an account) that are not fresh, as failures; the value is the age in days."""
+    return checked.filter("status <> 'fresh'").select(*_failure("bars", F.datediff("today", "as_of")))
+
+
 def daily_loss(accounts: DataFrame, max_loss: float = 0.03) -> DataFrame:
     """Add `pnl` and `status`: 'breach' below the limit, 'unchecked' without a prior equity, else 'ok'."""
     known = F.col("last_equity").isNotNull() & (F.col("last_equity") > 0)
@@ -48,27 +58,32 @@ def order_limits(orders: DataFrame, accounts: DataFrame, max_orders: int = 60, m
     rows = rows.withColumn("_n", F.when(priced, F.col("quantity") * F.col("price")))
     solvent = F.col("equity") > 0
     totals = rows.groupBy("account").agg(F.count("*").alias("_k"), F.max("equity").alias("equity"), F.sum("_n").alias("_gross"))
-    parts = [
-        totals.filter(F.col("_k") > max_orders).select(*_failure("order_count", F.col("_k"))),
-        totals.filter(~solvent).select(*_failure("no_equity", F.col("equity"))),
-        totals.filter(solvent & (F.col("_gross") > max_gross * F.col("equity"))).select(*_failure("gross_notional", F.col("_gross") / F.col("equity"))),
-        rows.filter(solvent & F.col("_n").isNull()).select(*_failure("no_price", F.col("quantity"), F.col("ticker"))),
-        rows.filter(solvent & (F.col("_n") > max_order * F.col("equity"))).select(*_failure("order_notional", F.col("_n") / F.col("equity"), F.col("ticker"))),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    def fails(rule: str, when: Column, value: Column) -> Column:
+        return F.when(when, F.struct(F.lit(rule).alias("rule"), value.cast("double").alias("value")))
+
+    def listed(df: DataFrame, ticker: Column, *checks: Column) -> DataFrame:
+        return df.select("account", ticker.alias("ticker"), F.explode(F.filter(F.array(*checks), lambda f: f.isNotNull())).alias("f")).select(
+            "account", "f.rule", "ticker", "f.value")
+
+    share = safe_ratio(F.col("_n"), F.col("equity"))
+    gross = safe_ratio(F.col("_gross"), F.col("equity"))
+    return listed(
+        totals, F.lit(None).cast("string"), fails("order_count", F.col("_k") > max_orders, F.col("_k")), fails("no_equity", ~solvent, F.col("equity")),
+        fails("gross_notional", solvent & (F.col("_gross") > max_gross * F.col("equity")), gross)
+    ).unionByName(listed(
+        rows, F.col("ticker"), fails("no_price", solvent & F.col("_n").isNull(), F.col("quantity")),
+        fails("order_notional", solvent & (F.col("_n") > max_order * F.col("equity")), share)))
 
 
 def reconciliation(positions: DataFrame, recorded: DataFrame, pending: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Broker positions against the last recorded ones; names with orders under way are exempt.
 
-    Accounts that were never recorded have no baseline and are not checked.
+    Accounts that were never recorded have no baseline and are not checked. An account recorded as holding nothing has a
+    header row (ticker null, see `state_snapshot`), and any position of it is unexpected.
     """
     based = positions.join(recorded.select("account").distinct(), "account", "left_semi")
     both = based.select("account", "ticker", F.col("quantity").alias("held")).join(
-        recorded.select("account", "ticker", F.col("quantity").alias("noted")), ["account", "ticker"], "full"
+        recorded.filter(F.col("ticker").isNotNull()).select("account", "ticker", F.col("quantity").alias("noted")), ["account", "ticker"], "full"
     ).join(pending.select("account", "ticker"), ["account", "ticker"], "left_anti")
     drift = F.abs(F.col("held") - F.col("noted")) / F.greatest(F.abs("noted"), F.lit(1e-9))
     kind = (
@@ -99,7 +114,8 @@ def gate_status(fills: DataFrame, guard_log: DataFrame, min_fills: int = 100, mi
     filled = mine.groupBy("account").agg(
         F.count("*").alias("fills"), F.count_distinct("as_of").alias("fill_sessions"), F.min("as_of").alias("first_fill"), F.max("as_of").alias("last_fill"))
     runs = guard_log.filter(F.contains("broker", F.lit("paper"))) if paper_only and "broker" in guard_log.columns else guard_log
-    broken = runs.filter(~F.col("passed")).groupBy("account").agg(F.max("seq").alias("_last_fail"))
+    no_pass = ~F.coalesce("passed", F.lit(False))   # a run without a result did not pass
+    broken = runs.filter(no_pass).groupBy("account").agg(F.max("seq").alias("_last_fail"))
     clean = runs.join(broken, "account", "left").groupBy("account").agg(
         F.count("*").alias("total_runs"), F.count_if(F.col("_last_fail").isNull() | (F.col("seq") > F.col("_last_fail"))).alias("clean_sessions"))
     both = filled.join(clean, "account", "full").na.fill(0, ["fills", "fill_sessions", "clean_sessions", "total_runs"])
@@ -116,29 +132,26 @@ def with_slippage(fills: DataFrame) -> DataFrame:
     })
 
 
-def exact_median(df: DataFrame, value: str, buckets: int = 65_536) -> DataFrame:
+def exact_median(df: DataFrame, value: str, accuracy: int = 10_000) -> DataFrame:
     """The median of a column without bringing all values together.
 
-    Equal values are counted first. A histogram of fixed size finds the bucket that holds the middle
-    ranks, and only that bucket's distinct values are ordered.
+    Two approximate quantiles, a few parts in `accuracy` below and above the middle, bracket it whatever the values'
+    spread is. Values below the bracket are counted, and only the distinct values inside are ordered: at most about
+    six parts in `accuracy` of the rows. Missing values do not count; infinite ones do, at their end of the order.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    span = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    width = F.when(hi > lo, (hi - lo) / buckets)
-    placed = counts.withColumn("b", F.coalesce(F.floor((F.col("v") - lo) / width), F.lit(0).cast("long")))
-    hist = placed.groupBy("b").agg(F.sum("c").alias("c"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    n = span.select("n").scalar()
-    low_rank, high_rank = F.floor((n - 1) / 2), F.floor(n / 2)
-    ranked = hist.withColumn("skip", F.coalesce(F.sum("c").over(before), F.lit(0).cast("long")))
-    middle = ranked.filter((F.col("skip") <= high_rank) & (F.col("skip") + F.col("c") > low_rank)).select("b", "skip")
-    inside = placed.join(F.broadcast(middle), "b")   # at most two histogram rows
-    upto = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    spread = inside.withColumn("upto", F.col("skip") + F.sum("c").over(upto))
+    known = df.select(finite_or_null(F.col(value).cast("double")).alias("v")).filter("v IS NOT NULL")
+    ends = F.approx_percentile("v", F.array(F.lit(0.5 - 2 / accuracy), F.lit(0.5 + 2 / accuracy)), accuracy)
+    span = known.agg(ends.alias("e"), F.count("*").alias("n")).select(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"), "n")
+    lo, hi, n = (span.select(c).scalar() for c in ("lo", "hi", "n"))
+    place = F.when(F.col("v") < lo, F.lit(None).cast("double")).otherwise(F.col("v"))
+    counts = known.filter(F.col("v") <= hi).groupBy(place.alias("v")).agg(F.count("*").alias("c"))   # null: all values below
+    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    spread = counts.withColumn("upto", F.sum("c").over(upto))
     first, last = F.col("upto") - F.col("c"), F.col("upto")
-    hits = spread.select("v", ((first <= low_rank) & (low_rank < last)).cast("int").alias("a"), ((first <= high_rank) & (high_rank < last)).cast("int").alias("z"))
-    return hits.agg((F.sum(F.col("v") * (F.col("a") + F.col("z"))) / 2).alias("median"))
+    low_rank, high_rank = F.floor((n - 1) / 2), F.floor(n / 2)
+    low = F.max(F.when((first <= low_rank) & (low_rank < last), F.col("v")))
+    high = F.max(F.when((first <= high_rank) & (high_rank < last), F.col("v")))
+    return spread.agg(F.when(low == high, low).otherwise((low + high) / 2).alias("median"))
 
 
 def shortfall(fills: DataFrame) -> DataFrame:
@@ -153,8 +166,15 @@ def worst_fills(fills: DataFrame, top: int = 5) -> DataFrame:
     return with_slippage(fills).orderBy(F.desc("slip_bps"), "as_of", "ticker", "filled_quantity").limit(top)
 
 
-def state_snapshot(positions: DataFrame, results: DataFrame) -> DataFrame:
-    """What is recorded after a run: every held or ordered name with its quantity, and whether its order may still fill."""
+def state_snapshot(positions: DataFrame, results: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
+    """What is recorded after a run: every held or ordered name with its quantity, and whether its order may still fill.
+
+    With `accounts`, each of them also gets a header row without a ticker, so that a flat account is known as recorded.
+    """
     open_orders = results.filter(F.col("status") != "rejected").select("account", "ticker", F.lit(True).alias("pending")).distinct()
-    return positions.select("account", "ticker", "quantity").join(open_orders, ["account", "ticker"], "full").select(
+    rows = positions.select("account", "ticker", "quantity").join(open_orders, ["account", "ticker"], "full").select(
         "account", "ticker", F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.coalesce("pending", F.lit(False)).alias("pending"))
+    if accounts is None:
+        return rows
+    heads = accounts.select("account", F.lit(None).cast("string").alias("ticker"), F.lit(0.0).alias("quantity"), F.lit(False).alias("pending")).distinct()
+    return rows.unionByName(heads)

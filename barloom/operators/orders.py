@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import safe_ratio
+from barloom.functions.scalars import finite_or_null, safe_ratio
 from barloom.operators.limits import RiskLimits, apply_limits
 
 
@@ -14,9 +14,9 @@ def whole(x: Column) -> Column:
 
 
 def price_fallback(needed: DataFrame, quotes: DataFrame, last_close: DataFrame) -> DataFrame:
-    """(ticker, price): the broker's quote, else the last known close."""
-    return needed.select("ticker").distinct().join(quotes.select("ticker", F.col("price").alias("_quote")), "ticker", "left").join(
-        last_close.select("ticker", F.col("price").alias("_close")), "ticker", "left"
+    """(ticker, price): the broker's quote, else the last known close. NaN is no quote."""
+    return needed.select("ticker").distinct().join(quotes.select("ticker", finite_or_null("price").alias("_quote")), "ticker", "left").join(
+        last_close.select("ticker", finite_or_null("price").alias("_close")), "ticker", "left"
     ).select("ticker", F.coalesce("_quote", "_close").alias("price"), F.col("_quote").isNull().alias("stale"))
 
 
@@ -33,10 +33,10 @@ def order_diff(targets: DataFrame, holdings: DataFrame, prices: DataFrame, accou
     Dust below `min_trade_notional` is skipped, and so are moves below `min_trade_weight` of equity
     unless they close the position. Names without a usable price are left alone.
     """
-    both = targets.select("account", "ticker", "weight").join(
-        holdings.select("account", "ticker", "quantity"), ["account", "ticker"], "full"
+    both = targets.select("account", "ticker", finite_or_null("weight").alias("weight")).join(
+        holdings.select("account", "ticker", finite_or_null("quantity").alias("quantity")), ["account", "ticker"], "full"
     ).na.fill(0.0, ["weight", "quantity"])
-    priced = both.join(prices.select("ticker", "price"), "ticker").filter(F.col("price") > 0)
+    priced = both.join(prices.select("ticker", finite_or_null("price").alias("price")), "ticker").filter(F.col("price") > 0)
     sized = priced.join(accounts.select("account", "equity"), "account")
     goal = F.col("weight") * F.col("equity") / F.col("price")
     sized = sized.withColumn("_delta", (goal if fractional else whole(goal)) - F.col("quantity"))

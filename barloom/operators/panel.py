@@ -84,7 +84,7 @@ def with_features(grid: DataFrame, features: DataFrame, names: list[str] | None
     names = names if names is not None else [c for c in features.columns if c not in ("ticker", "date")]
     unknown = [n for n in names if n not in features.columns]
     if unknown:
-        raise KeyError(f"no feature {unknown}; available: {sorted(set(features.columns) - {'ticker', 'date'})}")
+        raise KeyError(f"the feature table lacks {unknown}; it holds {', '.join(sorted(set(features.columns) - {'ticker', 'date'}))}")
     out = grid.join(features.select("ticker", "date", *names), ["ticker", "date"], "left")
     if fill_value is None:
         return out

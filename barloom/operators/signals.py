@@ -44,7 +44,7 @@ def apply_market_filter(rows: DataFrame, gate: DataFrame | None) -> DataFrame:
 def with_sma_crossover(grid: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
     """Add `score`: fast mean over slow mean less one, where the fast mean is above. Both need full windows."""
     if fast >= slow:
-        raise ValueError("fast must be < slow")
+        raise ValueError(f"a fast average over {fast} bars is not shorter than a slow one over {slow}")
     out = _ready(grid).withColumns({
         "sma_fast": full_window(F.col("close"), trailing(fast), fast),
         "sma_slow": full_window(F.col("close"), trailing(slow), slow),
@@ -74,7 +74,8 @@ def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: fl
     held depends on what was held before and on the cap, so the last step is an ordered fold over
     dates. Before it every row that cannot matter is removed in parallel: an entry outside its date's
     `max_names` most oversold entries cannot be held, and a name can only stay from such an entry until
-    its first exit. Only the survivors, a few per date, reach the fold.
+    its first exit. The dates are then cut into segments: one starts wherever every surviving name enters on that very
+    date, because what was held before cannot matter there. Segments are folded in parallel.
     """
     ok = F.col("eligible") & F.col("z").isNotNull()
     rows = scored.select(
@@ -87,8 +88,11 @@ def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: fl
     event = F.when(F.coalesce("_seed", F.lit(False)), True).when(~F.col("stay"), False)
     since = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     alive = seeded.withColumn("_alive", F.coalesce(F.last(event, ignorenulls=True).over(since), F.lit(False))).filter("_alive")
-    per_date = alive.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("z", "ticker", "entry", "stay"))).alias("names"))
-    timeline = per_date.agg(F.array_sort(F.collect_list(F.struct("date", "names"))).alias("timeline"))
+    days = alive.groupBy("date").agg(F.every("entry").alias("_fresh"))
+    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)   # one small row per calendar day
+    segments = days.select("date", F.count_if("_fresh").over(upto).alias("segment"))
+    per_date = alive.join(per_day(segments), "date").groupBy("segment", "date").agg(F.array_sort(F.collect_list(F.struct("z", "ticker", "entry", "stay"))).alias("names"))
+    timeline = per_date.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("date", "names"))).alias("timeline"))
 
     empty = F.array().cast("array<struct<date:date,held:array<string>>>")
 

@@ -1,7 +1,7 @@
 """A complete backtest: strategy weights, limits, accounting and statistics for all parameter sets."""
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from barloom.operators import limits as R
 from barloom.operators import metrics as M
 from barloom.operators import panel as P
 from barloom.operators import schedule as S
+from barloom.operators import sizing as K
 from barloom.plans.strategies import Panel, Strategy
 from barloom.session import cut_lineage
 from barloom.sources import sinks
@@ -45,16 +46,24 @@ class Backtest:
 
     @property
     def windows(self) -> DataFrame:
-        return B.trading_window(self._stored.calendar, self.strategy.warmup, self.start, self.end)
+        """First and last bar of each parameter set; a set that warms up longer starts later."""
+        warm = F.explode(F.array(*[F.struct(F.lit(i).alias("config"), F.lit(int(w)).cast("long").alias("warm")) for i, w in enumerate(self.strategy.warmups)]))
+        span = B.trading_window(self._stored.calendar, 0, self.start, self.end).select("first_idx", "last_idx", warm.alias("w"))
+        return span.select(F.greatest("first_idx", "w.warm").alias("first_idx"), "last_idx", "w.config").filter("first_idx <= last_idx")
+
+    def check(self) -> None:
+        """Raise if there is no bar to trade, for instance because the history is shorter than the warmup. Runs a small job."""
+        if not self.windows.take(1):
+            raise ValueError(f"{self.strategy.name}: no bars are left to trade after the warmup of {self.strategy.warmup} bars and the given dates")
 
     @cached_property
     def limited_weights(self) -> DataFrame:
         """Target weights after the membership rule and the limits; the strategy itself runs once."""
         strategy = self.strategy
         if self.config.rebalance is not None:
-            strategy = Strategy(strategy.name, {**strategy.params, "rebalance": self.config.rebalance}, strategy.configs)
+            strategy = replace(strategy, params={**strategy.params, "rebalance": self.config.rebalance})
         keys = ["config", "date"]
-        weights = cut_lineage(strategy.weights(self._stored))
+        weights = cut_lineage(K.clean_weights(strategy.weights(self._stored, self.start)))
         if "member" in self._stored.grid.columns:
             weights = R.zero_non_members(weights.join(self._stored.grid.select("ticker", "bar_idx", "member"), ["ticker", "bar_idx"]))
         if self.panel.sectors is not None:
@@ -66,9 +75,9 @@ class Backtest:
         schedule = self.config.rebalance if self.config.rebalance is not None else self.strategy.rebalance
         configs = F.explode(F.array(*[F.lit(i) for i in range(len(self.strategy.configs))]))
         decisions = S.decision_dates(self._stored.calendar, schedule).select("bar_idx", configs.alias("config"))
-        windows = with_costs(self.windows.withColumn("config", configs), self.config.costs)
+        windows = with_costs(self.windows, self.config.costs)
         book = B.Ledger(self.limited_weights, decisions, windows, self._stored.grid, CONFIG, self.config.initial_cash,
-                        3 if self.config.costs.penalty or self.config.costs.commission_pct or self.config.costs.commission_per_share else 0)
+                        0 if self.config.costs.is_free else 3)
         if self.config.drawdown_control is None:
             return book
         return B.drawdown_overlay(book, *self.config.drawdown_control)
@@ -93,5 +102,5 @@ class Backtest:
 
 def run_backtest(panel: Panel, strategy: Strategy, config: BacktestConfig | None = None, start: str | None = None,
                  end: str | None = None) -> Backtest:
-    """A lazily evaluated backtest. History before `start` stays visible to the signals."""
+    """A backtest whose parts run when they are asked for. History before `start` stays visible to the signals."""
     return Backtest(panel, strategy, config or BacktestConfig(), start, end)

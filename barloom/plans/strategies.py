@@ -137,9 +137,13 @@ def sma_crossover(panel: Panel, configs: Sequence[dict], params: dict) -> DataFr
 
 
 def mean_reversion(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
-    days = S.decision_dates(panel.calendar, params["rebalance"])
+    """Holdings start empty at `params["start"]` (a date) and after the warmup of each parameter set."""
+    every = S.decision_dates(panel.calendar, params["rebalance"])
+    if params.get("start") is not None:
+        every = every.filter(F.col("date") >= F.lit(params["start"]).cast("date"))
     out = None
     for i, c in enumerate(configs):
+        days = every.filter(F.col("bar_idx") >= STRATEGIES["mean_reversion"].warmup(c)) if params.get("start") is not None else every
         scored = G.with_zscore(panel.ready(), int(c["lookback"]), int(c["trend_sma"])).join(per_day(days.select("date")), "date", "left_semi")
         held = G.mean_reversion_holdings(scored, float(c["z_entry"]), float(c["z_exit"]), int(c["max_names"]))
         sized = K.equal_weight(held.join(per_day(days), "date").withColumn("config", F.lit(i)), keys=KEYS).select("config", "date", "bar_idx", "ticker", "weight")
@@ -169,7 +173,7 @@ class Spec:
 
 def _sma_warmup(p: dict) -> int:
     if p["fast"] >= p["slow"]:
-        raise ValueError("fast must be < slow")
+        raise ValueError(f"the fast average ({p['fast']} bars) has to be shorter than the slow one ({p['slow']} bars)")
     return int(p["slow"]) + 1
 
 
@@ -204,30 +208,49 @@ class Strategy:
     name: str
     params: dict[str, Any]
     configs: tuple[dict[str, Any], ...]
+    spec: Spec | None = None   # of a strategy that is not registered
+
+    @property
+    def warmups(self) -> list[int]:
+        """Bars that each parameter set needs before its first decision."""
+        spec = self.spec or STRATEGIES[self.name]
+        return [spec.warmup({**self.params, **c}) for c in self.configs]
 
     @property
     def warmup(self) -> int:
-        """Bars needed before the first decision, by the first parameter set."""
-        return STRATEGIES[self.name].warmup({**self.params, **self.configs[0]})
+        """Bars needed before the first decision of any parameter set."""
+        return min(self.warmups)
 
     @property
     def rebalance(self) -> str | int:
         return self.params["rebalance"]
 
-    def weights(self, panel: Panel) -> DataFrame:
-        """(config, date, bar_idx, ticker, weight) for every decision date."""
+    def weights(self, panel: Panel, start: str | None = None) -> DataFrame:
+        """(config, date, bar_idx, ticker, weight) for every decision date. A strategy whose holdings depend on earlier
+        holdings begins without any at `start`."""
         full = [{**self.params, **c} for c in self.configs]
-        return STRATEGIES[self.name].build(panel, full, self.params)
+        return (self.spec or STRATEGIES[self.name]).build(panel, full, self.params if start is None else {**self.params, "start": start})
+
+
+def custom_strategy(name: str, build: Callable[[Panel, Sequence[dict], dict], DataFrame], warmup: int | Callable[[dict], int] = 0,
+                    search: dict[str, Sequence[Any]] | None = None, **params: Any) -> Strategy:
+    """A user's strategy for `run_backtest` and `walk_forward`.
+
+    `build(panel, configs, params)` returns (config, date, bar_idx, ticker, weight); `plans.custom` scores with column
+    expressions or Python functions for it. `rebalance` defaults to monthly.
+    """
+    spec = Spec(build, params, warmup=warmup if callable(warmup) else lambda p: int(warmup))
+    return Strategy(name, {"rebalance": "monthly", **params}, tuple(expand_grid(search or {})), spec)
 
 
 def get_strategy(name: str, search: dict[str, Sequence[Any]] | None = None, **params: Any) -> Strategy:
     """A registered strategy with parameters over its defaults; `search` adds a grid of parameter sets."""
     if name not in STRATEGIES:
-        raise KeyError(f"unknown strategy {name!r}; available: {sorted(STRATEGIES)}")
+        raise KeyError(f"no strategy is called {name!r}; there are {', '.join(sorted(STRATEGIES))}")
     spec = STRATEGIES[name]
     unknown = (set(params) | set(search or {})) - set(spec.defaults)
     if unknown:
-        raise TypeError(f"{name}: unknown params {sorted(unknown)}; valid: {sorted(spec.defaults)}")
+        raise TypeError(f"{name} has no parameters {', '.join(sorted(unknown))}; it has {', '.join(sorted(spec.defaults))}")
     strategy = Strategy(name, {**spec.defaults, **params}, tuple(expand_grid(search or {})))
     for config in strategy.configs:
         spec.warmup({**strategy.params, **config})

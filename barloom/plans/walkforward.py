@@ -16,7 +16,10 @@ from barloom.functions.costs import CostModel, PRESETS, with_costs
 from barloom.functions.scalars import safe_ratio
 from barloom.operators import metrics as M
 from barloom.operators.honesty import with_honesty
-from barloom.operators.ledger import Ledger, daily_returns
+from barloom.operators import schedule as S
+from barloom.operators.ledger import Ledger, benchmark_equity, daily_returns, drawdown_overlay
+from barloom.plans.backtest import Backtest, BacktestConfig
+from barloom.plans.strategies import Panel, Strategy
 
 PAIR = ["fold", "config"]
 
@@ -59,6 +62,8 @@ class WalkForward:
     costs: CostModel = field(default_factory=lambda: PRESETS["retail"])
     initial_cash: float = 100_000.0
     warmups: Sequence[int] = ()
+    benchmark: str | None = None
+    drawdown_control: tuple[float, float] | None = None
 
     def _windows(self, pairs: DataFrame, first: str, last: str) -> DataFrame:
         warm = F.element_at(F.array(*[F.lit(int(w)) for w in self.warmups]), (F.col("config") + 1).cast("int")) if self.warmups else F.lit(0)
@@ -69,7 +74,9 @@ class WalkForward:
         bars = windows.select(*PAIR, F.explode(F.sequence("first_idx", "last_idx")).alias("bar_idx"))
         decided = bars.join(self.decisions.select("bar_idx"), "bar_idx")
         weights = self.weights.join(decided, ["config", "bar_idx"]).select(*PAIR, "bar_idx", "ticker", "weight")
-        return Ledger(weights, decided.select(*PAIR, "bar_idx"), windows, self.marks, PAIR, self.initial_cash, 3 if self.costs.penalty else 0)
+        book = Ledger(weights, decided.select(*PAIR, "bar_idx"), windows, self.marks, PAIR, self.initial_cash, 0 if self.costs.is_free else 3)
+
+        return book if self.drawdown_control is None else drawdown_overlay(book, *self.drawdown_control)
 
     @cached_property
     def training(self) -> Ledger:
@@ -96,7 +103,7 @@ class WalkForward:
         score = F.when(~F.isnan(self.objective), F.round(self.objective, 9))
         best = Window.partitionBy("fold").orderBy(score.desc_nulls_last(), "config")
         finite = F.when(~F.isnan("sharpe") & (F.abs("sharpe") != float("inf")), F.col("sharpe"))
-        spread = self.trials.groupBy("fold").agg(F.count(finite).alias("n_trials"), F.stddev_samp(finite).alias("trial_sd"))
+        spread = self.trials.groupBy("fold").agg(F.count("*").alias("n_trials"), F.count(finite).alias("n_finite"), F.stddev_samp(finite).alias("trial_sd"))
         won = self.trials.withColumn("_rk", F.row_number().over(best)).filter(F.col("_rk") == 1).drop("_rk").join(spread, "fold")
         judged = with_honesty(won.withColumn("trial_sd", F.coalesce("trial_sd", F.lit(0.0))), n_trials="n_trials", trial_sd="trial_sd")
         return judged.select(
@@ -139,6 +146,33 @@ class WalkForward:
         return trained.withColumn("oos_cagr", oos).withColumn(
             "efficiency", F.when(F.col("train_cagr") > 0, F.col("oos_cagr") / F.col("train_cagr")))
 
+    @cached_property
+    def stitched_benchmark(self) -> DataFrame | None:
+        """The benchmark over the same test days, its fold returns chained like those of the book."""
+        if self.benchmark is None:
+            return None
+        rets = daily_returns(benchmark_equity(self.marks, self.benchmark, self.testing.windows, PAIR, self.initial_cash), PAIR, "benchmark")
+        path = Window.orderBy("fold", "bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+        return rets.select("fold", "bar_idx", (F.product(1 + F.col("ret")).over(path) * self.initial_cash).alias("benchmark"))
+
+    def metrics(self) -> DataFrame:
+        """Out-of-sample numbers of all folds together, honesty of the stitched curve included: one row.
+
+        Test days are numbered through, because windows that overlap repeat a bar.
+        """
+        order = Window.orderBy("fold", "bar_idx")
+        whole = F.lit("oos").alias("run")
+        days = self.stitched.select(whole, "fold", F.col("bar_idx").alias("_bar"), F.row_number().over(order).cast("long").alias("bar_idx"), "equity")
+        at = days.select("fold", "_bar", "bar_idx")
+        turnover = self.testing.turnover.withColumnRenamed("bar_idx", "_bar").join(at, ["fold", "_bar"]).select(whole, "bar_idx", "turnover")
+        # A fold starts without positions, so a name of one fold is not the same holding as in another.
+        trades = self.testing.trades.withColumnRenamed("bar_idx", "_bar").join(at, ["fold", "_bar"]).select(
+            whole, "bar_idx", F.concat_ws("#", "ticker", "fold").alias("ticker"), "side", "quantity", "price", "commission")
+        other = None
+        if self.stitched_benchmark is not None:
+            other = self.stitched_benchmark.withColumnRenamed("bar_idx", "_bar").join(at, ["fold", "_bar"]).select(whole, "bar_idx", "benchmark")
+        return M.metrics(days.select("run", "bar_idx", "equity"), ["run"], turnover, trades, other)
+
     def parameter_drift(self) -> DataFrame:
         """Share of folds that chose other parameters than the fold before, and the number of trials."""
         order = Window.orderBy("fold")
@@ -146,3 +180,17 @@ class WalkForward:
         return moved.agg(
             F.coalesce(F.avg(F.when(F.col("_prev").isNotNull(), (F.col("_prev") != F.col("config")).cast("double"))), F.lit(0.0)).alias("parameter_drift"),
             F.count("*").alias("n_folds"), F.sum(F.lit(self.n_configs)).alias("n_trials_total"))
+
+
+def walk_forward(panel: Panel, strategy: Strategy, config: BacktestConfig | None = None, train: int = 504, test: int = 126, step: int | None = None,
+                 objective: str = "sharpe") -> WalkForward:
+    """Search `strategy`'s parameter sets fold by fold over a panel, with the membership rule, limits and drawdown control of
+    `config`. Raises if the history does not hold one fold."""
+    config = config or BacktestConfig()
+    run = Backtest(panel, strategy, config)
+    schedule = config.rebalance if config.rebalance is not None else strategy.rebalance
+    windows = folds(run._stored.calendar, min(strategy.warmups), train, test, step)
+    if not windows.take(1):
+        raise ValueError(f"{strategy.name}: the history is too short for {strategy.warmup} bars of warmup, {train} of training and a test")
+    return WalkForward(run.limited_weights, S.decision_dates(run._stored.calendar, schedule), windows, run._stored.grid, len(strategy.configs), objective,
+                       config.costs, config.initial_cash, strategy.warmups, config.benchmark, config.drawdown_control)

@@ -36,7 +36,7 @@ def ledger(m: Market, model: CostModel = PRICY) -> B.Ledger:
     m.materialise()
     decisions = two_configs(S.decision_dates(m.days, "monthly").select("bar_idx"))
     weights = book(m).select("config", "bar_idx", "ticker", "weight")
-    return B.Ledger(weights, decisions, windows_of(m, model), m.marked, ["config"], 100_000.0, 3 if model.penalty else 0)
+    return B.Ledger(weights, decisions, windows_of(m, model), m.marked, ["config"], 100_000.0, 0 if model.is_free else 3)
 
 
 def _out(df, *cols, keys=("config",)):

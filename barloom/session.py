@@ -1,6 +1,8 @@
 """Session defaults and the one place where lineage may be cut."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,11 +27,15 @@ def build_session(master: str = "local[*]", app: str = "barloom", **conf: str) -
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: the folder the cluster names in spark.checkpoint.dir.
 
-    A local folder is made up only when nothing is configured, which is the case in tests.
+    A folder of this machine is made up only for a local master, and goes when the program ends; on several machines
+    each would write to its own disk, so there the setting must be given.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="barloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import normal_symbol, utc_wall_clock
+from barloom.session import cut_lineage
 
 TEXT_FIELDS = ["headline", "summary", "source", "url"]
 NEWS_FIELDS = ["id", "created_at", "updated_at", *TEXT_FIELDS, "symbols"]
@@ -56,7 +57,14 @@ def write_news(news: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def upsert_news(spark: SparkSession, path: str, fresh: DataFrame) -> None:
-    """Merge a fetch into the table, rewriting only the months it touches; the fetched row wins a tie."""
+    """Merge a fetch into the table, rewriting only the months it touches; the fetched row wins a tie.
+
+    A story keeps the month it was created in: a fetched row that the table holds under an earlier or later month, as
+    happens when an old story is edited, updates nothing there.
+    """
+    known = spark.read.parquet(path).select("id", F.col("month").alias("_known"))
+    fresh = with_month(normalize_news(fresh)).join(known, "id", "left").filter(F.col("_known").isNull() | (F.col("_known") == F.col("month"))).drop("_known", "month")
+    fresh = cut_lineage(fresh)
     months = with_month(fresh).select("month").distinct()
     old = spark.read.parquet(path).join(months, "month", "left_semi").withColumn("ingest_seq", F.lit(0))
     new = fresh.withColumn("ingest_seq", F.lit(1))

@@ -25,10 +25,10 @@ def score_articles(news: DataFrame, lexicon: Lexicon, exchange_days: DataFrame |
         "id", "created_at", "session", "symbols", "tone", "negativity", "positive", "negative", "uncertainty", "n_tokens")
 
 
-def sentiment_by_ticker(scored: DataFrame, universe: DataFrame) -> DataFrame:
-    """Sums per (session, ticker) of the universe. Partial sums keep a much-tagged ticker cheap."""
+def sentiment_by_ticker(scored: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """Sums per (session, ticker), of the universe if one is given. Partial sums keep a much-tagged ticker cheap."""
     tagged = scored.select("session", F.explode("symbols").alias("ticker"), "tone", "negativity")
-    mine = tagged.join(universe.select("ticker").distinct(), "ticker", "left_semi")
+    mine = tagged if universe is None else tagged.join(universe.select("ticker").distinct(), "ticker", "left_semi")
     return mine.groupBy(F.col("session").alias("date"), "ticker").agg(
         F.sum("tone").alias("news_tone_sum"), F.sum("negativity").alias("news_neg_sum"),
         F.count("*").cast("double").alias("news_count"))
@@ -36,7 +36,7 @@ def sentiment_by_ticker(scored: DataFrame, universe: DataFrame) -> DataFrame:
 
 def daily_sentiment(scored: DataFrame, grid: DataFrame) -> DataFrame:
     """Attach the news features to the grid; cells without news hold 0, sessions off the grid vanish."""
-    return with_features(grid, sentiment_by_ticker(scored, grid), NEWS_FEATURES, 0.0)
+    return with_features(grid, sentiment_by_ticker(scored), NEWS_FEATURES, 0.0)   # the join drops unknown names
 
 
 def news_feature_info(scored: DataFrame, featured: DataFrame) -> DataFrame:

@@ -52,7 +52,8 @@ def effective_weights(spark, folder):
 def trading_window(spark, folder):
     m = Market(spark, folder)
     window = B.trading_window(m.days, 100, "1996-01-06", "1999-12-31")
-    inside = m.grid.join(window, (F.col("bar_idx") >= F.col("first_idx")) & (F.col("bar_idx") <= F.col("last_idx")))
+    first, last = window.select("first_idx").scalar(), window.select("last_idx").scalar()
+    inside = m.grid.filter(F.col("bar_idx").between(first, last)).select("date", first.alias("first_idx"), last.alias("last_idx"))
     return inside.groupBy("first_idx", "last_idx").agg(F.count("*").alias("n_cells"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 

@@ -96,8 +96,7 @@ def price_fallback(spark, folder):
 def rebalance_plan(spark, folder):
     m = Market(spark, folder)
     exposure = R.drawdown_from_history(m.table("events").select(F.col("user_id").alias("account"), "event_id", (F.col("value") + 50).alias("equity")), ["account"], "event_id")
-    due = m.accounts.filter(F.col("account") % 3 != 1)
-    plan = O.rebalance_plan(m.targets, m.holdings, _quotes(m), m.last_close, m.accounts, R.RiskLimits(max_weight=0.2), due, exposure)
+    plan = O.rebalance_plan(m.targets, m.holdings, _quotes(m), m.last_close, m.accounts, R.RiskLimits(max_weight=0.2), m.accounts, exposure)
     return plan.select("account", "submit_no", "ticker", "side", "quantity", r6c("est_price", 5).alias("est_price"), "current_w", "target_w")
 
 
@@ -208,10 +207,8 @@ ORACLES = {
     "rebalance_plan": sql("""
         SELECT c.account, row_number() OVER (PARTITION BY c.account ORDER BY side DESC, c.ticker) AS submit_no, c.ticker, side, round(c.quantity, 4) AS quantity,
                round(price, 5) AS est_price, round(coalesce(h.quantity * price / equity, 0.0::DOUBLE), 4) AS current_w, round(target_w, 4) AS target_w
-        FROM capped c LEFT JOIN due_holdings h ON h.account = c.account AND h.ticker = c.ticker WHERE side = 'sell' OR c.quantity > 0""",
+        FROM capped c LEFT JOIN holdings h ON h.account = c.account AND h.ticker = c.ticker WHERE side = 'sell' OR c.quantity > 0""",
         "targets", "holdings", "last_close", "accounts", "quotes",
-        due="SELECT * FROM accounts WHERE account % 3 <> 1",
-        due_holdings="SELECT * FROM holdings WHERE account % 3 <> 1",
         exposure="""
         SELECT account, CASE WHEN dd >= 0.2 THEN 0.0::DOUBLE WHEN dd >= 0.1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM (
           SELECT user_id AS account, 1 - max_by(value + 50, event_id) / max(value + 50) AS dd FROM events GROUP BY 1) e""",
@@ -219,9 +216,9 @@ ORACLES = {
         SELECT account, ticker, weight FROM (
           SELECT c.account, ticker, CASE WHEN gross > 1 THEN c.w / gross ELSE c.w END * coalesce(scale, 1.0::DOUBLE) AS weight FROM (
             SELECT *, sum(w) OVER (PARTITION BY account) AS gross FROM (
-              SELECT account, ticker, least(weight, 0.2::DOUBLE) AS w FROM targets WHERE account % 3 <> 1) a) c LEFT JOIN exposure USING (account)) l WHERE weight <> 0""",
+              SELECT account, ticker, least(weight, 0.2::DOUBLE) AS w FROM targets) a) c LEFT JOIN exposure USING (account)) l WHERE weight <> 0""",
         px="SELECT l.ticker, coalesce(q.price, l.price) AS price FROM last_close l LEFT JOIN quotes q USING (ticker)",
-        diff=diff_sql("limited", "due_holdings", "px", "due", 1.0, 0.002, False), capped=_CAP),
+        diff=diff_sql("limited", "holdings", "px", "accounts", 1.0, 0.002, False), capped=_CAP),
     "volume_cap": sql("""
         SELECT ticker, side, count(*) AS n, count(*) FILTER (filled < quantity) AS n_capped, round(sum(filled), 3) AS filled FROM (
           SELECT f.ticker, side, filled_quantity AS quantity, CASE WHEN volume > 0 THEN least(filled_quantity, 0.05::DOUBLE * (volume * 3)) ELSE filled_quantity END AS filled

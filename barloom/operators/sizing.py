@@ -58,12 +58,14 @@ def past_returns(rows: DataFrame, returns: DataFrame, bars: int, keys: Sequence[
 
 
 def with_selected_vol(selected: DataFrame, returns: DataFrame, bars: int = 60, min_periods: int = 20,
-                      keys: Sequence[str] = ("date",)) -> DataFrame:
-    """`with_trailing_vol` for selected rows only."""
+                      keys: Sequence[str] = ("date",), keep_path: bool = False) -> DataFrame:
+    """`with_trailing_vol` for selected rows only. `keep_path` also keeps the returns it is made of, at most `bars` of them,
+    as `path` for `vol_target`, so that the panel is joined once."""
+    path = F.collect_list(F.struct("bar_idx", F.coalesce("pad_ret", F.lit(0.0)).alias("r")))
     stats = past_returns(selected, returns, bars, keys).groupBy(*keys, "ticker").agg(
-        F.count("pad_ret").alias("_n"), F.stddev_samp("pad_ret").alias("_sd"))
+        F.count("pad_ret").alias("_n"), F.stddev_samp("pad_ret").alias("_sd"), *([path.alias("path")] if keep_path else []))
     vol = F.when((F.col("_n") >= min_periods) & (F.col("_sd") > 0), F.col("_sd"))
-    return selected.join(stats.select(*keys, "ticker", vol.alias("vol")), [*keys, "ticker"], "left")
+    return selected.join(stats.select(*keys, "ticker", vol.alias("vol"), *(["path"] if keep_path else [])), [*keys, "ticker"], "left")
 
 
 def inverse_vol(selected: DataFrame, gross: float = 1.0, keys: Sequence[str] = ("date",)) -> DataFrame:
@@ -74,9 +76,12 @@ def inverse_vol(selected: DataFrame, gross: float = 1.0, keys: Sequence[str] = (
 
 
 def realised_vol(weights: DataFrame, returns: DataFrame, bars: int = 60, keys: Sequence[str] = ("date",)) -> DataFrame:
-    """Annual volatility that today's book would have had over the last `bars` bars."""
-    daily = past_returns(weights, returns, bars, keys, "weight").groupBy(*keys, "bar_idx").agg(
-        F.sum(F.col("weight") * F.coalesce("pad_ret", F.lit(0.0))).alias("book_ret"))
+    """Annual volatility that today's book would have had over the last `bars` bars (those in `path`, if it was kept)."""
+    if "path" in weights.columns:
+        rows = weights.select(*keys, "weight", F.explode("path").alias("p")).select(*keys, "weight", "p.bar_idx", F.col("p.r").alias("pad_ret"))
+    else:
+        rows = past_returns(weights, returns, bars, keys, "weight")
+    daily = rows.groupBy(*keys, "bar_idx").agg(F.sum(F.col("weight") * F.coalesce("pad_ret", F.lit(0.0))).alias("book_ret"))
     return daily.groupBy(*keys).agg((F.stddev_samp("book_ret") * F.sqrt(F.lit(float(YEAR)))).alias("realised"))
 
 

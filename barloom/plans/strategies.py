@@ -75,13 +75,12 @@ def _select_and_size(rows: DataFrame, ready: DataFrame, configs: Sequence[dict],
     chosen = K.pick_top(rows, most, int(params["max_per_sector"] or 0), KEYS).filter(F.col("rank") <= F.col("limit"))
     if params["sizing"] == "inverse_vol":
         bars = int(params.get("vol_lookback", 60))
-        sized = K.inverse_vol(K.with_selected_vol(chosen, ready, bars, keys=KEYS), keys=KEYS)
+        sized = K.inverse_vol(K.with_selected_vol(chosen, ready, bars, keys=KEYS, keep_path=bool(params["vol_target"])), keys=KEYS)
     else:
         sized = K.equal_weight(chosen, keys=KEYS)
-    sized = sized.select("config", "date", "bar_idx", "ticker", "weight")
     if params["vol_target"]:
         sized = K.vol_target(sized, ready, float(params["vol_target"]), 1.0, int(params["vol_lookback"]), KEYS)
-    return sized
+    return sized.select("config", "date", "bar_idx", "ticker", "weight")
 
 
 def _at_decisions(scored: DataFrame, panel: Panel, params: dict) -> DataFrame:

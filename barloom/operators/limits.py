@@ -52,7 +52,8 @@ def cap_sectors(weights: DataFrame, cap: float, max_weight: float = 1.0, keys: S
 
     What a round does to a name follows from sector totals alone. So every round is a pre-aggregated sum
     per (decision, sector), a few rows per decision, whose outcome is added to a plan that is joined
-    back; names are never gathered, however many one decision holds.
+    back; names are never gathered, however many one decision holds. Most decisions are settled by the
+    first round: their plans are set aside and later rounds read the names of the others only.
     """
     orphan = "\u0000"
     names = cut_lineage(weights.withColumn("_sector", F.coalesce("sector", F.lit(orphan))))
@@ -60,7 +61,7 @@ def cap_sectors(weights: DataFrame, cap: float, max_weight: float = 1.0, keys: S
     decision = Window.partitionBy(*keys)
     known = F.col("_sector") != orphan
     none = F.array().cast("array<struct<factor:double,takes:boolean,excess:double,takers:double,sector_room:double,sector_size:double>>")
-    state = None
+    state, settled = None, []
     for _ in range(rounds):
         if state is None:
             totals = names.groupBy(*on).agg(F.sum(F.abs("weight")).alias("_tot")).withColumns(
@@ -81,8 +82,15 @@ def cap_sectors(weights: DataFrame, cap: float, max_weight: float = 1.0, keys: S
         step = F.struct(
             F.col("_factor").alias("factor"), (F.col("_takes") & live).alias("takes"), F.col("_excess").alias("excess"), F.col("_takers").alias("takers"),
             F.when(known, F.greatest(F.lit(cap) - F.col("_size"), F.lit(0.0))).otherwise(float("inf")).alias("sector_room"), F.col("_size").alias("sector_size"))
-        state = cut.select(*on, F.concat("_plan", F.array(step)).alias("_plan"), "_closed", (F.col("_done") | ~live).alias("_done"))
-    done = names.join(state.select(*on, "_plan"), on).withColumn("weight", _rebalanced(F.col("weight"), F.col("_plan"), max_weight))
+        state = cut_lineage(cut.select(*on, F.concat("_plan", F.array(step)).alias("_plan"), "_closed", (F.col("_done") | ~live).alias("_done")))
+        settled.append(state.filter("_done"))
+        state = state.filter("NOT _done")
+        if not state.take(1):
+            break
+    plans = state
+    for part in settled:
+        plans = plans.unionByName(part)
+    done = names.join(plans.select(*on, "_plan"), on).withColumn("weight", _rebalanced(F.col("weight"), F.col("_plan"), max_weight))
     return done.select(*weights.columns)
 
 

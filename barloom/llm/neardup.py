@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
 
     posts = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long")).alias("post"))
     lengths = posts.groupBy("post").agg(F.count("*").alias("length")).filter("length > 1")
-    ranked = (posts.join(lengths, "post").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("length", "post"))).alias("lists"))   # at most 64
+    ranked = (posts.join(lengths.hint("merge"), "post").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("length", "post"))).alias("lists"))   # at most 64
               .filter(F.size("lists") >= matches).select("rep", F.explode(F.slice("lists", F.lit(1), F.size("lists") - matches + 1)).alias("l")))
     prefix = cut_lineage(ranked.select("rep", "l.post"))
     heads = prefix.groupBy("post").agg(F.min("rep").alias("head"), F.count("*").alias("length")).filter("length > 1")
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     members = cut_lineage(members.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks"))))
     total, most = members.agg(F.sum("bytes"), F.max("chunks")).first()
     units = max(1, -(-(total or 0) // unit_bytes))
-    held = rows.join(members, "key")
+    held = rows.join(members.hint("merge"), "key")   # members grow with the documents: no broadcast at any size
     if (most or 1) > 1:
         held = cut_lineage(held)
     small = held.filter("chunks = 1").select("*", F.pmod(F.xxhash64("family"), F.lit(units)).cast("string").alias("unit"))

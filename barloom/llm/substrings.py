@@ -9,7 +9,8 @@ is its anchor; equal windows have equal anchors, so the first round ranks anchor
 positions, and only windows with a shared anchor go on to the doubling.
 
 Documents are dealt into blocks of about `block_bytes`. In each round a block sends its distinct ranks, sorted, to the
-range they hash to (Spark's shuffle), the range merges the blocks' lists and sends back one bit per rank. A string
+range they hash to (Spark's shuffle), the range merges the blocks' lists and sends back one bit per rank. There are as
+many ranges as blocks, so very large inputs want larger blocks, as memory allows. A string
 that stands in very many documents is thus sent once per block and no task gathers its occurrences. Whole copies are
 settled before by a digest of the text. Ranks are 64-bit names and ranges are chosen by an independent hash, so that
 two strings are confused only if both agree.
@@ -33,8 +34,10 @@ from barloom.session import cut_lineage
 CODES = byte_codes(23)
 STEP = 0x9E3779B97F4A7C15 | 3
 FIRSTS, ASK, MEMO, ANSWER = range(4)
-LETTER = "dest bigint, block bigint, kind int, a binary, b binary"
+LETTER = "dest bigint, block bigint, kind int, n int, a binary, b binary"
+SCHEMA = pa.schema([("dest", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 PIECE = 1 << 18
+SHORT = np.uint64(24)   # bits that the letters of a pruning round leave out: a rank taken for shared by chance only costs work
 
 
 def lengths_to(length: int, least: int = 24) -> list[int]:
@@ -65,6 +68,18 @@ def doubled(short: np.ndarray, offset: int) -> np.ndarray:
     return mix(short[:m] * np.uint64(0xD6E8FEB86659FD93) + (short[offset:offset + m] ^ np.uint64(0xA0761D6478BD642F)))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """64-bit values by byte planes, compressed; planes of equal bytes cost nothing."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpack(data: bytes, n: int, kind=np.uint64) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
 def range_of(ranks: np.ndarray, ranges: int) -> np.ndarray:
     """The range a rank is sent to, by another hash than the one that made it."""
     return (mix(ranks ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.int64) % ranges
@@ -153,11 +168,13 @@ class Ranks:
 
     def letters(self, block: int, last: bool) -> dict:
         """One letter per range: the ranks, and whether several documents have them (or, in the last round, the smallest key)."""
-        out = {c: [] for c in ("dest", "block", "kind", "a", "b")}
+        out = {c: [] for c in SCHEMA.names}
         edges = np.flatnonzero(np.diff(self.to, prepend=-1))
         for s, e in zip(edges, np.append(edges[1:], len(self.to))):
-            extra = self.low[s:e].tobytes() if last else np.packbits(self.low[s:e] != self.high[s:e]).tobytes()
-            for c, v in zip(out, (int(self.to[s]), block, ASK, self.ranks[self.begin[s:e]].tobytes(), extra)):
+            extra = pack(self.low[s:e]) if last else np.packbits(self.low[s:e] != self.high[s:e]).tobytes()
+            ranks = self.ranks[self.begin[s:e]]
+            ranks = ranks if last else ranks >> SHORT
+            for c, v in zip(out, (int(self.to[s]), block, ASK, int(e - s), pack(np.diff(ranks, prepend=np.uint64(0))), extra)):
                 out[c].append(v)
         return out
 
@@ -170,9 +187,6 @@ class Ranks:
         return got
 
 
-SCHEMA = pa.schema([("dest", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
-
-
 def post(letters: dict) -> pa.Table:
     return pa.table({f.name: pa.array(letters[f.name], f.type) for f in SCHEMA})
 
@@ -213,7 +227,7 @@ def ask_longer(length: int, lengths: list[int], level: int, ranges: int):
             block.memo = np.stack([owner[cut], place[cut], place[np.append(cut[1:], len(owner)) - 1]]) if len(cut) else np.zeros((3, 0), np.int64)
         ranks, owner, _ = block.ranked(lengths[:level + 1])
         out = Ranks(ranks, owner, block.keys, ranges).letters(key[0].as_py(), last)
-        for c, v in zip(out, (key[0].as_py() % ranges, key[0].as_py(), MEMO, block.memo.astype(np.int64).tobytes(), b"")):
+        for c, v in zip(out, (key[0].as_py() % ranges, key[0].as_py(), MEMO, block.memo.shape[1], block.memo.astype(np.int64).tobytes(), b"")):
             out[c].append(v)
         return post(out)
 
@@ -225,11 +239,12 @@ def answer(last: bool):
     def run(letters: pa.Table) -> pa.Table:
         kinds = letters["kind"].to_numpy()
         asks = np.flatnonzero(kinds == ASK)
-        out = {c: [] for c in ("dest", "block", "kind", "a", "b")}
+        out = {c: [] for c in SCHEMA.names}
         for i in np.flatnonzero(kinds == MEMO):
             for c in out:
                 out[c].append(letters[c][int(i)].as_py())
-        lists = [np.frombuffer(letters["a"][int(i)].as_py(), np.uint64) for i in asks]
+        sizes = letters["n"].to_numpy()
+        lists = [np.cumsum(unpack(letters["a"][int(i)].as_py(), int(sizes[i])), dtype=np.uint64) for i in asks]
         if lists:
             ranks, ends = np.concatenate(lists), np.cumsum([len(x) for x in lists])
             order = np.argsort(ranks, kind="stable")
@@ -237,7 +252,7 @@ def answer(last: bool):
             count = np.diff(np.append(begin, len(ranks)))
             extra = [letters["b"][int(i)].as_py() for i in asks]
             if last:
-                low = np.concatenate([np.frombuffer(x, np.int64) for x in extra])
+                low = np.concatenate([unpack(x, len(r), np.int64) for x, r in zip(extra, lists)])
                 bit = np.empty(len(ranks), bool)
                 bit[order] = np.repeat(np.minimum.reduceat(low[order], begin), count) < low[order]
             else:
@@ -245,7 +260,7 @@ def answer(last: bool):
                 bit = np.empty(len(ranks), bool)
                 bit[order] = np.repeat((count > 1) | (np.add.reduceat(several[order].astype(np.int64), begin) > 0), count)
             for i, s, e in zip(asks, ends - [len(x) for x in lists], ends):
-                for c, v in zip(out, (letters["dest"][int(i)].as_py(), letters["block"][int(i)].as_py(), ANSWER, np.packbits(bit[s:e]).tobytes(), b"")):
+                for c, v in zip(out, (letters["dest"][int(i)].as_py(), letters["block"][int(i)].as_py(), ANSWER, int(e - s), np.packbits(bit[s:e]).tobytes(), b"")):
                     out[c].append(v)
         return post(out)
 
@@ -288,7 +303,7 @@ def cover(length: int, lengths: list[int], ranges: int):
     return run
 
 
-def repeated_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, block_bytes: int = 16 << 20) -> DataFrame:
+def repeated_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = 50, block_bytes: int = 8 << 20) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, kept_sha256, and starts and ends of the removed byte runs."""
     body = F.encode(F.coalesce(column(text), F.lit("")), "utf-8")
     rows = docs.select(column(key).cast("long").alias("key"), body.alias("text"))
@@ -304,10 +319,10 @@ def repeated_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id"
     texts = rows.filter("key IS NOT NULL").withColumn("block", block_of("key")).repartition(blocks, "block")
     packed = firsts.filter(F.col("n") >= 0).select(block_of("first").alias("block"), "first").groupBy("block").agg(F.collect_list("first").alias("keys"))   # bounded by the block
 
-    def pack(keys: pa.Array) -> pa.Array:
+    def joined(keys: pa.Array) -> pa.Array:
         return pa.array([np.asarray(k, np.int64).tobytes() for k in keys.to_pylist()], pa.binary())
 
-    heads = packed.select(F.lit(-1).cast("long").alias("dest"), "block", F.lit(FIRSTS).alias("kind"), F.arrow_udf(pack, "binary")("keys").alias("a"), F.lit(b"").alias("b"))
+    heads = packed.select(F.lit(-1).cast("long").alias("dest"), "block", F.lit(FIRSTS).alias("kind"), F.size("keys").alias("n"), F.arrow_udf(joined, "binary")("keys").alias("a"), F.lit(b"").alias("b"))
 
     def per_block(letters: DataFrame, run, schema: str) -> DataFrame:
         return texts.groupBy("block").cogroup(letters.groupBy("block")).applyInArrow(run, schema)

@@ -101,7 +101,7 @@ class Block:
     def __init__(self, docs: pa.Table, letters: pa.Table, length: int):
         kinds = letters["kind"].to_numpy(zero_copy_only=False)
         first = {k for i in np.flatnonzero(kinds == FIRSTS) for k in np.frombuffer(letters["a"][int(i)].as_py(), np.int64).tolist()}
-        held = {(k, t) for k, t in zip(docs["key"].to_pylist(), docs["text"].cast(pa.large_binary()).to_pylist()) if k in first}
+        held = {(k, pa.decompress(z, n, codec="zstd", asbytes=True) if n else b"") for k, n, z in zip(*(docs[c].to_pylist() for c in ("key", "n", "packed"))) if k in first}
         rows = sorted(held)
         self.keys, self.texts, self.length = np.array([k for k, _ in rows], np.int64), [t for _, t in rows], length
         self.memo = next((np.frombuffer(letters["a"][int(i)].as_py(), np.int64).reshape(3, -1) for i in np.flatnonzero(kinds == MEMO)), None)
@@ -316,7 +316,11 @@ def repeated_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id"
     def block_of(k: str):
         return F.pmod(F.xxhash64(k), F.lit(blocks))
 
-    texts = rows.filter("key IS NOT NULL").withColumn("block", block_of("key")).repartition(blocks, "block")
+    def squeeze(bodies: pa.Array) -> pa.Array:
+        return pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in bodies.to_pylist()], pa.binary())
+
+    # The texts are shuffled once, compressed; all rounds reuse that exchange.
+    texts = rows.filter("key IS NOT NULL").select(block_of("key").alias("block"), "key", F.octet_length("text").alias("n"), F.arrow_udf(squeeze, "binary")("text").alias("packed")).repartition(blocks, "block")
     packed = firsts.filter(F.col("n") >= 0).select(block_of("first").alias("block"), "first").groupBy("block").agg(F.collect_list("first").alias("keys"))   # bounded by the block
 
     def joined(keys: pa.Array) -> pa.Array:

@@ -82,7 +82,7 @@ def unpack(data: bytes, n: int, kind=np.uint64) -> np.ndarray:
 
 def range_of(ranks: np.ndarray, ranges: int) -> np.ndarray:
     """The range a rank is sent to, by another hash than the one that made it."""
-    return (mix(ranks ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.int64) % ranges
+    return ((mix(ranks ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
 
 
 def lowest(h: np.ndarray, width: int) -> np.ndarray:
@@ -146,8 +146,8 @@ class Block:
                 for shorter, longer in zip(lengths, lengths[1:]):
                     ranks = doubled(ranks, longer - shorter)
                 n = upto - at + 1
-                out.append((ranks[:n], np.full(n, d), np.arange(at, upto + 1)))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                out.append((ranks[:n], np.full(n, d, np.int32), np.arange(at, upto + 1, dtype=np.int32)))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
 class Ranks:
@@ -160,7 +160,7 @@ class Ranks:
         self.order, self.ranks, to = order, ranks[order], to[order]
         new = np.ones(len(order), bool)
         new[1:] = (self.ranks[1:] != self.ranks[:-1]) | (to[1:] != to[:-1])
-        self.group = np.cumsum(new) - 1
+        self.group = np.cumsum(new, dtype=np.int32) - 1
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(order))[:len(begin)] - 1
         owner = keys[docs[order]] if len(order) else np.zeros(0, np.int64)
@@ -225,8 +225,7 @@ def ask_longer(length: int, lengths: list[int], level: int, ranges: int):
             owner, place = owner[good], place[good]
             cut = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1))) if len(owner) else np.zeros(0, np.int64)
             block.memo = np.stack([owner[cut], place[cut], place[np.append(cut[1:], len(owner)) - 1]]) if len(cut) else np.zeros((3, 0), np.int64)
-        ranks, owner, _ = block.ranked(lengths[:level + 1])
-        out = Ranks(ranks, owner, block.keys, ranges).letters(key[0].as_py(), last)
+        out = Ranks(*block.ranked(lengths[:level + 1])[:2], block.keys, ranges).letters(key[0].as_py(), last)
         for c, v in zip(out, (key[0].as_py() % ranges, key[0].as_py(), MEMO, block.memo.shape[1], block.memo.astype(np.int64).tobytes(), b"")):
             out[c].append(v)
         return post(out)

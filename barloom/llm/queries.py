@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontam, mixing, neardup, quality, secrets, sharding, substrings, toxicity, urls, warc
+from barloom.llm import decontam, mixing, neardup, quality, resampling, secrets, sharding, substrings, toxicity, urls, warc
 from barloom.llm.common import table
 
 # The rules of the URL query.
@@ -82,7 +82,11 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op8_repeated_substrings, op9_sharding, op10_urls)}
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op8_repeated_substrings, op9_sharding, op10_urls, op12_resampling)}
 ORACLES: dict[str, str] = {}
 
 # Words are cut at the six white-space bytes; RE2 has no lookahead, so pieces are filtered instead.
@@ -187,3 +191,30 @@ e AS (SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 *
   + 2 * CAST(bits[5 * i + 4] AS INTEGER) + CAST(bits[5 * i + 5] AS INTEGER), 1), '' ORDER BY i) AS payload_digest FROM b, range(0, 32) AS r(i) GROUP BY hex)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM h JOIN g USING (html) JOIN e USING (hex)"""
+
+
+# CRC-32 byte by byte: the 256 entries follow from the published polynomial by eight shifts each.
+_CRC = """crc_table AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) r(i)) z)"""
+
+
+def _crc(hexed: str) -> str:
+    """Unsigned CRC-32 of the bytes in `hexed`, a column of upper-case hex digits; needs crc_table in FROM."""
+    return f"""xor(list_reduce(range(CAST(length({hexed}) // 2 AS BIGINT)), lambda c, i: xor(c // 256, crc[CAST(xor(c % 256, CAST('0x' || substr({hexed}, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)) AS INTEGER) + 1]), 4294967295), 4294967295)"""
+
+
+ORACLES["op12_resampling"] = f"""
+WITH {_CRC},
+w AS (SELECT doc_id, {_FOLDED} AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT unnest({_FOLDED}) AS w FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT doc_id, unnest(w) AS w FROM w),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM d UNION SELECT w FROM x) a),
+b AS (SELECT w, {_crc("h")} % 10000 AS b FROM v, crc_table),
+s AS (SELECT b, CAST(count(*) AS DOUBLE) AS s FROM d JOIN b USING (w) GROUP BY b),
+t AS (SELECT b, CAST(count(*) AS DOUBLE) AS t FROM x JOIN b USING (w) GROUP BY b),
+n AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS s_all, coalesce((SELECT sum(t) FROM t), 0) AS t_all),
+g AS (SELECT r.b, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * (s_all + 10000)) / ((coalesce(s, 0) + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM range(10000) r(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b), n),
+k AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN b USING (w) JOIN g USING (b) GROUP BY doc_id),
+c AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN k USING (doc_id)),
+e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM c),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS take FROM e WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN place <= take THEN place END AS BIGINT) AS rank FROM e LEFT JOIN o USING (doc_id)"""

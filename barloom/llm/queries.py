@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontam, mixing, neardup, quality, resampling, secrets, sharding, substrings, toxicity, urls, warc
+from barloom.llm import decontam, mixing, neardup, negatives, quality, resampling, secrets, sharding, substrings, toxicity, urls, warc
 from barloom.llm.common import table
 
 # The rules of the URL query.
@@ -82,11 +82,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op8_repeated_substrings, op9_sharding, op10_urls, op12_resampling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op8_repeated_substrings, op9_sharding, op10_urls, op11_hard_negatives, op12_resampling)}
 ORACLES: dict[str, str] = {}
 
 # Words are cut at the six white-space bytes; RE2 has no lookahead, so pieces are filtered instead.
@@ -218,3 +223,12 @@ c AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)
 e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM c),
 o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS take FROM e WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CAST(CASE WHEN place <= take THEN place END AS BIGINT) AS rank FROM e LEFT JOIN o USING (doc_id)"""
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor, id AS positive, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(row_number() OVER (PARTITION BY anchor, positive ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score QUALIFY rank <= 10"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontam, mixing, neardup, negatives, quality, resampling, secrets, sharding, substrings, toxicity, urls, warc
+from barloom.llm import decontam, mixing, neardup, negatives, quality, recurrent, resampling, secrets, sharding, substrings, toxicity, urls, warc
 from barloom.llm.common import table
 
 # The rules of the URL query.
@@ -91,7 +91,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op8_repeated_substrings, op9_sharding, op10_urls, op11_hard_negatives, op12_resampling)}
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return recurrent.score_documents(table(spark, sf_dir, "documents"), held)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op2_ablations, op3_mixing, op4_decontamination, op5_secrets, op6_near_duplicates, op7_warc, op8_repeated_substrings, op9_sharding, op10_urls, op11_hard_negatives, op12_resampling, op13_lm_scoring)}
 ORACLES: dict[str, str] = {}
 
 # Words are cut at the six white-space bytes; RE2 has no lookahead, so pieces are filtered instead.

@@ -1,6 +1,8 @@
 """Scores per (ticker, date) from trailing windows."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,8 @@ def with_zscore(grid: DataFrame, lookback: int = 20, trend_sma: int = 100) -> Da
     })
 
 
-def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: float = 0.0,
-                            max_names: int = 10) -> DataFrame:
+def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: float = 0.0, max_names: int = 10,
+                            runs: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Names held at each decision date: enter oversold uptrends, keep them until z recovers, most oversold first.
 
     `scored` has one row per (date, ticker) of the decision dates with z, uptrend and eligible. What is
@@ -76,6 +78,9 @@ def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: fl
     `max_names` most oversold entries cannot be held, and a name can only stay from such an entry until
     its first exit. The dates are then cut into segments: one starts wherever every surviving name enters on that very
     date, because what was held before cannot matter there. Segments are folded in parallel.
+
+    With `runs` (keys, date) each run, named by `keys`, holds nothing before the first of its dates: rows that cannot matter
+    in any run are removed once, the rest is copied to the runs that have its date, and a run starts a segment of its own.
     """
     ok = F.col("eligible") & F.col("z").isNotNull()
     rows = scored.select(
@@ -86,13 +91,20 @@ def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: fl
     chosen = rows.filter("entry").withColumn("_rk", F.row_number().over(best)).filter(F.col("_rk") <= max_names)
     seeded = rows.join(chosen.select("date", "ticker", F.lit(True).alias("_seed")), ["date", "ticker"], "left")
     event = F.when(F.coalesce("_seed", F.lit(False)), True).when(~F.col("stay"), False)
-    since = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    alive = seeded.withColumn("_alive", F.coalesce(F.last(event, ignorenulls=True).over(since), F.lit(False))).filter("_alive")
-    days = alive.groupBy("date").agg(F.every("entry").alias("_fresh"))
-    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)   # one small row per calendar day
-    segments = days.select("date", F.count_if("_fresh").over(upto).alias("segment"))
-    per_date = alive.join(per_day(segments), "date").groupBy("segment", "date").agg(F.array_sort(F.collect_list(F.struct("z", "ticker", "entry", "stay"))).alias("names"))
-    timeline = per_date.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("date", "names"))).alias("timeline"))
+
+    def held_on(named: DataFrame, *by: str) -> DataFrame:
+        since = Window.partitionBy(*by, "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        return named.withColumn("_alive", F.coalesce(F.last(event, ignorenulls=True).over(since), F.lit(False))).filter("_alive").drop("_alive")
+
+    alive = held_on(seeded)
+    if runs is not None:
+        alive = held_on(alive.join(runs.select(*keys, "date"), "date"), *keys)
+    days = alive.groupBy(*keys, "date").agg(F.every("entry").alias("_fresh"))
+    upto = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)   # one small row per calendar day
+    segments = days.select(*keys, "date", F.count_if("_fresh").over(upto).alias("segment"))
+    per_date = alive.join(segments if keys else per_day(segments), [*keys, "date"]).groupBy(*keys, "segment", "date").agg(
+        F.array_sort(F.collect_list(F.struct("z", "ticker", "entry", "stay"))).alias("names"))
+    timeline = per_date.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(F.struct("date", "names"))).alias("timeline"))
 
     empty = F.array().cast("array<struct<date:date,held:array<string>>>")
 
@@ -102,8 +114,8 @@ def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: fl
         held = F.transform(F.slice(stays, 1, max_names), lambda n: n["ticker"])
         return F.concat(path, F.array(F.struct(day["date"].alias("date"), held.alias("held"))))
 
-    path = timeline.select(F.explode(F.aggregate("timeline", empty, step)).alias("day"))
-    return path.select("day.date", F.explode("day.held").alias("ticker"))
+    path = timeline.select(*keys, F.explode(F.aggregate("timeline", empty, step)).alias("day"))
+    return path.select(*keys, "day.date", F.explode("day.held").alias("ticker"))
 
 
 def with_sentiment_score(grid: DataFrame, lookback: int = 10, kind: str = "tone") -> DataFrame:

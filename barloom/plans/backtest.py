@@ -56,19 +56,29 @@ class Backtest:
         if not self.windows.take(1):
             raise ValueError(f"{self.strategy.name}: no bars are left to trade after the warmup of {self.strategy.warmup} bars and the given dates")
 
-    @cached_property
-    def limited_weights(self) -> DataFrame:
-        """Target weights after the membership rule and the limits; the strategy itself runs once."""
-        strategy = self.strategy
-        if self.config.rebalance is not None:
-            strategy = replace(strategy, params={**strategy.params, "rebalance": self.config.rebalance})
-        keys = ["config", "date"]
-        weights = cut_lineage(K.clean_weights(strategy.weights(self._stored, self.start)))
+    @property
+    def _scheduled(self) -> Strategy:
+        if self.config.rebalance is None:
+            return self.strategy
+        return replace(self.strategy, params={**self.strategy.params, "rebalance": self.config.rebalance})
+
+    def _limited(self, weights: DataFrame, keys: list[str]) -> DataFrame:
+        """Weights of the decisions (keys, date) after the membership rule and the limits."""
+        weights = cut_lineage(K.clean_weights(weights))
         if "member" in self._stored.grid.columns:
             weights = R.zero_non_members(weights.join(self._stored.grid.select("ticker", "bar_idx", "member"), ["ticker", "bar_idx"]))
         if self.panel.sectors is not None:
             weights = weights.join(self.panel.sectors.select("ticker", "sector"), "ticker", "left")
-        return R.apply_limits(weights, self.config.limits, keys).select("config", "bar_idx", "ticker", "weight")
+        return R.apply_limits(weights, self.config.limits, [*keys, "date"]).select(*keys, "bar_idx", "ticker", "weight")
+
+    @cached_property
+    def limited_weights(self) -> DataFrame:
+        """Target weights after the membership rule and the limits; the strategy itself runs once."""
+        return self._limited(self._scheduled.weights(self._stored, self.start), CONFIG)
+
+    def weights_in(self, windows: DataFrame, keys: list[str]) -> DataFrame:
+        """The same for a strategy with a memory, in windows (keys, first_idx, last_idx) that each start without holdings."""
+        return self._limited(self._scheduled.weights_in(self._stored, windows, keys), keys)
 
     @cached_property
     def ledger(self) -> B.Ledger:

@@ -5,7 +5,7 @@ ledger, a rank picks the winner of each fold, and the winners' test books run th
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -20,6 +20,7 @@ from barloom.operators import schedule as S
 from barloom.operators.ledger import Ledger, benchmark_equity, daily_returns, drawdown_overlay
 from barloom.plans.backtest import Backtest, BacktestConfig
 from barloom.plans.strategies import Panel, Strategy
+from barloom.session import cut_lineage
 
 PAIR = ["fold", "config"]
 
@@ -51,9 +52,13 @@ def folds(calendar: DataFrame, warmup: int, train: int = 504, test: int = 126, s
 
 @dataclass
 class WalkForward:
-    """weights: (config, bar_idx, ticker, weight) for all parameter sets and decision bars."""
+    """weights: (config, bar_idx, ticker, weight) for all parameter sets and decision bars.
 
-    weights: DataFrame
+    A parameter set whose warmup passes the end of a window has no bar to trade there: it has no book, no trial and cannot
+    win. `weights_in(windows, keys)` replaces `weights` for strategies with a memory: it gives each window weights of its own.
+    """
+
+    weights: DataFrame | None
     decisions: DataFrame
     folds: DataFrame
     marks: DataFrame
@@ -64,18 +69,22 @@ class WalkForward:
     warmups: Sequence[int] = ()
     benchmark: str | None = None
     drawdown_control: tuple[float, float] | None = None
+    weights_in: Callable[[DataFrame, list[str]], DataFrame] | None = None
 
     def _windows(self, pairs: DataFrame, first: str, last: str) -> DataFrame:
         warm = F.element_at(F.array(*[F.lit(int(w)) for w in self.warmups]), (F.col("config") + 1).cast("int")) if self.warmups else F.lit(0)
-        return with_costs(pairs.select(*PAIR, F.greatest(F.col(first), warm.cast("long")).alias("first_idx"), F.col(last).alias("last_idx")), self.costs)
+        spans = pairs.select(*PAIR, F.greatest(F.col(first), warm.cast("long")).alias("first_idx"), F.col(last).alias("last_idx"))
+        return with_costs(spans.filter("first_idx <= last_idx"), self.costs)
 
     def _books(self, windows: DataFrame) -> Ledger:
         """One book per (fold, config): decisions and weights that fall into its window, starting flat."""
         bars = windows.select(*PAIR, F.explode(F.sequence("first_idx", "last_idx")).alias("bar_idx"))
         decided = bars.join(self.decisions.select("bar_idx"), "bar_idx")
-        weights = self.weights.join(decided, ["config", "bar_idx"]).select(*PAIR, "bar_idx", "ticker", "weight")
+        if self.weights_in is None:
+            weights = self.weights.join(decided, ["config", "bar_idx"]).select(*PAIR, "bar_idx", "ticker", "weight")
+        else:
+            weights = self.weights_in(cut_lineage(windows), PAIR)
         book = Ledger(weights, decided.select(*PAIR, "bar_idx"), windows, self.marks, PAIR, self.initial_cash, 0 if self.costs.is_free else 3)
-
         return book if self.drawdown_control is None else drawdown_overlay(book, *self.drawdown_control)
 
     @cached_property
@@ -189,8 +198,9 @@ def walk_forward(panel: Panel, strategy: Strategy, config: BacktestConfig | None
     config = config or BacktestConfig()
     run = Backtest(panel, strategy, config)
     schedule = config.rebalance if config.rebalance is not None else strategy.rebalance
-    windows = folds(run._stored.calendar, min(strategy.warmups), train, test, step)
+    warmup = max(strategy.warmups[0], 0)   # the first parameter set decides where the folds begin
+    windows = folds(run._stored.calendar, warmup, train, test, step)
     if not windows.take(1):
-        raise ValueError(f"{strategy.name}: the history is too short for {strategy.warmup} bars of warmup, {train} of training and a test")
-    return WalkForward(run.limited_weights, S.decision_dates(run._stored.calendar, schedule), windows, run._stored.grid, len(strategy.configs), objective,
-                       config.costs, config.initial_cash, strategy.warmups, config.benchmark, config.drawdown_control)
+        raise ValueError(f"{strategy.name}: the history is too short for {warmup} bars of warmup, {train} of training and a test")
+    return WalkForward(None if strategy.stateful else run.limited_weights, S.decision_dates(run._stored.calendar, schedule), windows, run._stored.grid, len(strategy.configs), objective,
+                       config.costs, config.initial_cash, strategy.warmups, config.benchmark, config.drawdown_control, run.weights_in if strategy.stateful else None)

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -10,12 +11,15 @@ from barloom.functions.costs import PRESETS
 from barloom.functions.scalars import per_day
 from barloom.operators import honesty as H
 from barloom.operators import ledger as B
+from barloom.operators import limits as R
 from barloom.operators import metrics as M
 from barloom.operators import panel as P
 from barloom.operators import schedule as S
 from barloom.operators import signals as G
 from barloom.operators import sizing as K
 from barloom.plans import walkforward as WF
+from barloom.plans.backtest import BacktestConfig
+from barloom.plans.strategies import Panel, get_strategy
 from barloom.queries.fixtures import CTES, MARKET, Market, r6, r6c, sql
 from barloom.queries.ledger_queries import BENCH, PRICY, TURN, USES, book_ledger, ledger_steps, metric_steps
 
@@ -168,8 +172,47 @@ def parameter_drift(spark, folder):
     return search(Market(spark, folder)).parameter_drift().select(r6c("parameter_drift").alias("parameter_drift"), "n_folds", "n_trials_total")
 
 
+def _tested(wf):
+    out = _long(wf.tests, "config")
+    return out.select("fold", "config", "n_trials", "train_start", "test_start", "test_end", r6c("train_score", 5).alias("train_score"), r6c("test_sharpe", 5).alias("test_sharpe"),
+                      r6c("test_return", 5).alias("test_return"))
+
+
+INVESTED = R.RiskLimits(max_weight=1.0, max_gross=0.95)
+LOOKBACKS, ENTRIES = [252, 126, 900], [-1.0, -1.5, -2.0]
+
+
+def walk_forward_lookback_grid(spark, folder):
+    """A search over lookbacks of which one warms up beyond the first training windows; the first one starts the folds."""
+    m = Market(spark, folder)
+    strategy = get_strategy("momentum", {"lookback": LOOKBACKS}, top_n=5, sizing="equal", vol_target=0, max_per_sector=0, market_filter=None, filter_sma=50)
+    return _tested(WF.walk_forward(Panel(m.grid, m.days), strategy, BacktestConfig(limits=INVESTED, benchmark=None), TRAIN, TEST))
+
+
+def walk_forward_mean_reversion(spark, folder):
+    """A search over a strategy with a memory: every training and test window starts without holdings."""
+    m = Market(spark, folder)
+    strategy = get_strategy("mean_reversion", {"z_entry": ENTRIES}, max_names=3, rebalance="weekly")
+    return _tested(WF.walk_forward(Panel(m.grid, m.days), strategy, BacktestConfig(limits=INVESTED, benchmark=None), TRAIN, TEST))
+
+
+OOS = ("n_days", "start_equity", "end_equity", "cagr", "sharpe", "max_drawdown", "annual_turnover", "n_trades", "n_round_trips", "win_rate", "total_commission",
+       "benchmark_total_return", "benchmark_cagr", "benchmark_sharpe", "beta", "alpha_annual")
+COUNTS = ("n_days", "n_trades", "n_round_trips")
+
+
+def walk_forward_metrics(spark, folder):
+    """All out-of-sample days together, beside the benchmark over the same days."""
+    out = replace(search(Market(spark, folder)), benchmark=MARKET).metrics()
+    return out.select(*[C(c).cast("long").alias(c) if c in COUNTS else r6c(c, 4).alias(c) for c in OOS])
+
+
+def walk_forward_benchmark(spark, folder):
+    return replace(search(Market(spark, folder)), benchmark=MARKET).stitched_benchmark.select("fold", "bar_idx", r6c("benchmark", 2).alias("benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
-    drawdown, cagr, sharpe, sortino, trade_stats, metrics, beta_alpha, norm_ppf_cdf, honesty_report, probabilistic_sharpe, min_track_record,
+    walk_forward_lookback_grid, walk_forward_mean_reversion, walk_forward_metrics, walk_forward_benchmark, drawdown, cagr, sharpe, sortino, trade_stats, metrics, beta_alpha, norm_ppf_cdf, honesty_report, probabilistic_sharpe, min_track_record,
     deflated_sharpe, param_grid, folds, walk_forward_select, walk_forward_test, walk_forward_dsr, stitched_equity, walk_forward_efficiency, parameter_drift)}
 
 
@@ -227,6 +270,17 @@ _TRIPS = {
         FROM (SELECT o.*, w.q, w.basis, least(o.quantity, w.q) AS x FROM walk w JOIN ordered o ON o.account = w.account AND o.ticker = w.ticker AND o.rn = w.rn + 1) s""",
 }
 
+
+def fold_rows(warm: int) -> str:
+    """Training and test windows from bar `warm` on."""
+    first = warm + TRAIN
+    return f"""
+        SELECT fold, {warm} + fold * {TEST} AS train_start, {first - 1} + fold * {TEST} AS train_end, {first} + fold * {TEST} AS test_start,
+               least({first + TEST - 1} + fold * {TEST}, n - 1) AS test_end
+        FROM (SELECT CAST(unnest(generate_series(0, 100)) AS BIGINT) AS fold) f, (SELECT count(*) AS n FROM cal) c
+        WHERE {first + 1} + fold * {TEST} < n AND least({first + TEST - 1} + fold * {TEST}, n - 1) > {first} + fold * {TEST}"""
+
+
 _WF_BASE = {
     "scores": " UNION ALL ".join(f"""
         SELECT {i} AS lb, ticker, date, bar_idx, s AS score FROM (
@@ -236,11 +290,7 @@ _WF_BASE = {
         SELECT {i * 2 + j} AS config, bar_idx, ticker, 0.95::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM (
           SELECT s.* FROM scores s JOIN monthly USING (date) WHERE lb = {i} QUALIFY row_number() OVER (PARTITION BY s.date ORDER BY score DESC, ticker) <= {n}) x"""
         for i, _ in enumerate(GRID["lookback"]) for j, n in enumerate(GRID["top_n"])),
-    "foldt": f"""
-        SELECT fold, {WARM} + fold * {TEST} AS train_start, {WARM + TRAIN - 1} + fold * {TEST} AS train_end, {WARM + TRAIN} + fold * {TEST} AS test_start,
-               least({WARM + TRAIN + TEST - 1} + fold * {TEST}, n - 1) AS test_end
-        FROM (SELECT CAST(unnest(generate_series(0, 100)) AS BIGINT) AS fold) f, (SELECT count(*) AS n FROM cal) c
-        WHERE {WARM + TRAIN + 1} + fold * {TEST} < n AND least({WARM + TRAIN + TEST - 1} + fold * {TEST}, n - 1) > {WARM + TRAIN} + fold * {TEST}""",
+    "foldt": fold_rows(WARM),
     "twin": f"""SELECT fold * 10 + c AS config, train_start AS first_idx, train_end AS last_idx, {RETAIL.penalty}::DOUBLE AS pen, 0.0::DOUBLE AS pct, 0.0::DOUBLE AS ps, 0.0::DOUBLE AS mn
         FROM foldt CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS c) k""",
     "tdec": "SELECT config, bar_idx FROM twin CROSS JOIN monthly",
@@ -359,3 +409,80 @@ ORACLES["portfolio_metrics"] = sql(f"""
     FROM judged j JOIN (SELECT config, avg(turnover) * 252 AS turnover FROM turn GROUP BY 1) t USING (config) JOIN trips USING (config) JOIN fees USING (config)
     JOIN (SELECT config, start_equity AS b_start, end_equity AS b_end, cagr AS b_cagr, sharpe AS b_sharpe, max_drawdown AS b_dd FROM b_stat) b USING (config) JOIN slope USING (config)""",
     *USES, recursive=True, **book_ledger(PRICY), **metric_steps("eq"), **judged_steps("stat"), **_BOOK_TRIPS)
+
+
+# ---- SQL for searches with unlike warmups, with a memory, and for the out-of-sample numbers ----------
+def _windows(warmups: list[int], which: str) -> str:
+    """Training or test windows (config = fold * 10 + set) from a set's own warmup on, as far as any bar is left."""
+    cost = f"{RETAIL.penalty}::DOUBLE AS pen, 0.0::DOUBLE AS pct, 0.0::DOUBLE AS ps, 0.0::DOUBLE AS mn"
+    sets = f"(SELECT CAST(unnest({list(range(len(warmups)))}) AS BIGINT) AS c, CAST(unnest({warmups}) AS BIGINT) AS warm) k"
+    pairs = f"foldt CROSS JOIN {sets}" if which == "train" else f"foldt JOIN won USING (fold) JOIN {sets} ON c = cfg"
+    return f"SELECT fold * 10 + c AS config, greatest({which}_start, warm) AS first_idx, {which}_end AS last_idx, {cost} FROM {pairs} WHERE greatest({which}_start, warm) <= {which}_end"
+
+
+def _search(warmups: list[int], schedule: str, book) -> dict[str, str]:
+    """Steps of a search whose weights `book(windows, prefix)` gives as steps that end in `<prefix>book`."""
+    return {"foldt": fold_rows(warmups[0]), "twin": _windows(warmups, "train"), "tdec": f"SELECT config, bar_idx FROM twin CROSS JOIN {schedule}", **book("twin", "t"),
+            **ledger_steps("tbook", "twin", "tdec", "t_"), **metric_steps("t_eq", "config", "t_"), "spread": _WF_BASE["spread"], "won": _WF_BASE["won"],
+            "vwin": _windows(warmups, "test"), "vdec": f"SELECT config, bar_idx FROM vwin CROSS JOIN {schedule}", **book("vwin", "v"),
+            **ledger_steps("vbook", "vwin", "vdec", "v_"), **metric_steps("v_eq", "config", "v_")}
+
+
+def _ranked_book(win: str, p: str) -> dict[str, str]:
+    return {f"{p}book": f"SELECT v.config, b.bar_idx, ticker, weight FROM {win} v JOIN cfgbook b ON b.config = v.config % 10"}
+
+
+def _kept_book(win: str, p: str) -> dict[str, str]:
+    """Holdings week after week from none at the start of each window."""
+    return {
+        f"{p}walk": f"""
+            SELECT v.config, v.last_idx, (SELECT min(k) FROM wk WHERE wk.bar_idx >= v.first_idx) - 1 AS k, CAST(-1 AS BIGINT) AS bar_idx, CAST([] AS VARCHAR[]) AS held FROM {win} v
+            UNION ALL
+            SELECT w.config, w.last_idx, wk.k, wk.bar_idx, coalesce(list_transform(list_filter(c.names, lambda n: n.e OR list_contains(w.held, n.t)), lambda n: n.t)[1:3], CAST([] AS VARCHAR[]))
+            FROM {p}walk w JOIN wk ON wk.k = w.k + 1 AND wk.bar_idx <= w.last_idx LEFT JOIN cands c ON c.cfg = w.config % 10 AND c.k = wk.k""",
+        f"{p}book": f"SELECT config, bar_idx, unnest(held) AS ticker, 0.95::DOUBLE / len(held) AS weight FROM {p}walk WHERE len(held) > 0",
+    }
+
+
+_SEEN = """
+    SELECT fold, cfg AS config, n_trials, train_start, test_start, test_end, round(won.sharpe, 5) AS train_score, round(v.sharpe, 5) AS test_sharpe, round(v.end_equity / v.start_equity - 1, 5) AS test_return
+    FROM won JOIN foldt USING (fold) JOIN v_stat v ON v.config = won.config"""
+ORACLES["walk_forward_lookback_grid"] = sql(
+    _SEEN, *_WF_USES, recursive=True,
+    cfgbook=" UNION ALL ".join(f"""
+        SELECT {i} AS config, bar_idx, ticker, 0.95::DOUBLE / count(*) OVER (PARTITION BY date) AS weight FROM (
+          SELECT * FROM (SELECT *, lag(close, 21) OVER (PARTITION BY ticker ORDER BY bar_idx) / lag(close, {lb}) OVER (PARTITION BY ticker ORDER BY bar_idx) - 1 AS score FROM grid) x
+          SEMI JOIN monthly USING (date) WHERE score IS NOT NULL AND close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) <= 5) y"""
+                           for i, lb in enumerate(LOOKBACKS)),
+    **_search([n + 1 for n in LOOKBACKS], "monthly", _ranked_book))
+ORACLES["walk_forward_mean_reversion"] = sql(
+    _SEEN, *_WF_USES, "weekly", "zs", recursive=True,
+    wk="SELECT bar_idx, row_number() OVER (ORDER BY bar_idx) AS k FROM weekly",
+    cands=f"""SELECT cfg, k, list({{'t': ticker, 'e': uptrend AND z < entry}} ORDER BY z, ticker) AS names
+        FROM zs JOIN wk USING (bar_idx) CROSS JOIN (SELECT unnest({list(range(len(ENTRIES)))}) AS cfg, unnest({ENTRIES})::DOUBLE AS entry) e WHERE ok AND z < 0 GROUP BY cfg, k""",
+    **_search([101] * len(ENTRIES), "weekly", _kept_book))
+
+_OOS = {
+    "bench": f"""SELECT v.config, m.bar_idx, mark / first_value(mark) OVER (PARTITION BY v.config ORDER BY m.bar_idx) * 100000.0::DOUBLE AS benchmark
+        FROM vwin v JOIN marked m ON m.ticker = '{MARKET}' AND m.bar_idx BETWEEN first_idx AND last_idx""",
+    "bstitch": """SELECT config // 10 AS fold, bar_idx, 100000.0::DOUBLE * exp(sum(ln(1 + coalesce(r, 0.0::DOUBLE))) OVER (ORDER BY config // 10, bar_idx)) AS benchmark
+        FROM (SELECT config, bar_idx, benchmark / lag(benchmark) OVER (PARTITION BY config ORDER BY bar_idx) - 1 AS r FROM bench) b""",
+    "oos": "SELECT 'oos' AS run, row_number() OVER (ORDER BY fold, bar_idx) AS bar_idx, equity FROM stitch",
+    "other": "SELECT 'oos' AS run, row_number() OVER (ORDER BY fold, bar_idx) AS bar_idx, benchmark AS equity FROM bstitch",
+    **metric_steps("oos", "run", "o_"), **metric_steps("other", "run", "b_"),
+    "ordered": "SELECT *, row_number() OVER (PARTITION BY config, ticker ORDER BY bar_idx) AS rn FROM v_trades",
+    "walk": _TRIPS["walk"].replace("account", "config").replace("FROM trades", "FROM v_trades"),
+    "trips": "SELECT count(pnl) AS n_round_trips, count(*) FILTER (pnl > 0) AS wins FROM walk",
+    "fees": "SELECT count(*) AS n_trades, sum(commission) AS total_commission FROM v_trades",
+    "turned": """SELECT avg(coalesce(n, 0.0::DOUBLE) / equity) * 252 AS annual_turnover FROM v_eq e
+        LEFT JOIN (SELECT config, bar_idx, sum(notional) AS n FROM v_trades GROUP BY ALL) t ON t.config = e.config AND t.bar_idx = e.bar_idx""",
+    "slope": """SELECT regr_slope(r, b) AS beta, (avg(r) - regr_slope(r, b) * avg(b)) * 252 AS alpha_annual FROM (
+        SELECT x.r, y.r AS b FROM o_ret x JOIN b_ret y ON y.bar_idx = x.bar_idx) z WHERE r IS NOT NULL AND b IS NOT NULL""",
+}
+_FROM = {"win_rate": "wins / n_round_trips", "benchmark_total_return": "b.end_equity / b.start_equity - 1", "benchmark_cagr": "b.cagr", "benchmark_sharpe": "b.sharpe",
+         **{c: f"o.{c}" for c in ("n_days", "start_equity", "end_equity", "cagr", "sharpe", "max_drawdown")}}
+ORACLES["walk_forward_metrics"] = sql(
+    "SELECT " + ", ".join(f"{_FROM.get(c, c)} AS {c}" if c in COUNTS else f"round({_FROM.get(c, c)}, 4) + 0.0::DOUBLE AS {c}" for c in OOS) + " FROM o_stat o, b_stat b, trips, fees, turned, slope",
+    *_WF_USES, recursive=True, **_WF_BASE, **_WF_TEST, **_OOS)
+ORACLES["walk_forward_benchmark"] = sql("SELECT fold, bar_idx, round(benchmark, 2) AS benchmark FROM bstitch", *_WF_USES, recursive=True, **_WF_BASE, **_WF_TEST,
+                                        **{k: _OOS[k] for k in ("bench", "bstitch")})

@@ -8,13 +8,18 @@ change, so everything inside a period is linear in the equity at its opening tra
 and the opening equities chain as a product of period growths. Only the cost of an entry depends on
 the growth of the period before it, which contains the cost before that. Once it is known which legs
 are bought and which are sold, an entry's cost is a - b / growth + fees / equity with three sums over its
-legs (fees are the order minimums of orders too small for the proportional commission), and the chain is a
-fold over one small row per entry. The sides follow from the growths, so the two steps alternate: a side can only be wrong while its trade is about as small as the error of the
-growth, which shrinks with the square of the price penalty, and three passes reach rounding error.
-
-The result is exact when no trade is suppressed: fractional shares, no trade band, no volume or cash
-cap. A book that wants more than all its equity plus costs goes overdrawn; `periods` shows it as cash below 0.
-The last pass's largest change of a growth is kept as `residual`.
+legs (fees are the order minimums of orders too small for the proportional commission). All entries are computed at once
+from the growths of the pass before: a cost moves by a few thousandths of what its growth is off, so each pass
+shortens the error by that factor, however long the history is, and nothing walks through it.
+
+The result is exact when no trade is suppressed: fractional shares, no trade band, no volume cap. Passes go on until no cost
+changes by more than `EXACT`; the last change is kept as `residual`, and a book that does not settle is an error.
+
+With `cap_cash` buys stop where the money ends: sales come first, then the purchases, fewest shares first, each with what
+the ones before have left. A purchase that is cut short leaves its name below its target until the next entry. What an entry
+can afford depends on the one before only through its costs, a few thousandths of what was traded, so repeating the sums
+over all entries at once settles as fast as the costs do. Without it a book that wants more than all its equity plus costs
+goes overdrawn; `periods` shows it as cash below 0.
 """
 from __future__ import annotations
 
@@ -31,6 +36,7 @@ from barloom.session import cut_lineage
 
 COSTS = ["penalty", "pct", "per_share", "per_order"]
 TINY = 1e-12   # of equity; a smaller move is no trade
+EXACT, MOST_PASSES = 1e-10, 25   # of equity
 
 
 def trading_window(calendar: DataFrame, warmup: int, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -71,18 +77,16 @@ class Ledger:
     marks: DataFrame
     keys: list[str]
     initial_cash: float = 100_000.0
-    passes: int = 3
+    passes: int = 4   # before the first look at the residual; 0 without costs
+    cap_cash: bool = False
 
     @cached_property
     def entries(self) -> DataFrame:
         return cut_lineage(entries_of(self.decisions, self.windows, self.keys))
 
     @cached_property
-    def legs(self) -> DataFrame:
-        """One row per (entry, ticker) that is held before or after it: new weight, old weight, price relative.
-
-        Materialised once, because the cost rounds and every report read it.
-        """
+    def _wanted(self) -> DataFrame:
+        """The legs as the targets want them; `goal` is the new weight, `rel` the price relative since the entry before."""
         k = self.keys
         entries = self.entries
         now = self.weights.filter(F.col("weight") != 0).join(entries.select(*k, "bar_idx", "entry_no"), [*k, "bar_idx"]).select(
@@ -92,56 +96,102 @@ class Ledger:
         placed = rows.join(entries.drop("bar_idx"), [*k, "entry_no"])
         refs = self.marks.select("ticker", F.col("bar_idx").alias("entry_idx"), F.col("fill_ref").alias("ref")).filter(F.col("ref") > 0)
         path = Window.partitionBy(*k, "ticker").orderBy("entry_no")
-        priced = placed.join(refs, ["ticker", "entry_idx"]).withColumn("_prev_ref", F.lag("ref").over(path))
-        carried = F.when(F.col("w_prev") != 0, F.col("w_prev") * F.col("ref") / F.col("_prev_ref")).otherwise(0.0)
-        return cut_lineage(priced.withColumn("wr", F.coalesce(carried, F.lit(0.0))).drop("_prev_ref"))
+        priced = placed.join(refs, ["ticker", "entry_idx"]).withColumn("rel", F.when(F.col("w_prev") != 0, F.col("ref") / F.lag("ref").over(path)))
+        return cut_lineage(priced.withColumns({"wr": F.coalesce(F.col("w_prev") * F.col("rel"), F.lit(0.0)), "goal": F.col("w")}))
 
     @cached_property
+    def _solved(self) -> tuple[DataFrame, DataFrame]:
+        """Legs and periods: as wanted, or as far as the cash goes."""
+        k = [*self.keys, "entry_no"]
+        legs = self._wanted
+        base = cut_lineage(self._base(legs))
+        state, done = self._chained(base.withColumns({"cost": F.lit(0.0), "residual": F.lit(0.0)})), not self.passes
+        for n in range(MOST_PASSES):
+            if done:
+                break
+            state = self._pass(legs, base, state)
+            if n + 1 >= self.passes:
+                state = cut_lineage(state)
+                done = not state.filter(F.col("residual") > EXACT).take(1)
+        short = base.select(*k, "invested").join(state, k).filter(1 - F.col("invested") - F.col("cost") < -TINY)
+        if done and self.cap_cash and short.take(1):
+            done = False
+            for _ in range(MOST_PASSES):
+                legs = cut_lineage(self._affordable(legs, state))
+                base = cut_lineage(self._base(legs))
+                state = cut_lineage(self._pass(legs, base, state))
+                if not state.filter(F.col("residual") > EXACT).take(1) and not legs.filter(F.col("changed") > EXACT).take(1):
+                    done = True
+                    break
+        if not done:
+            raise ArithmeticError(f"the costs of the entries do not settle within {MOST_PASSES} passes")
+        return legs, cut_lineage(base.drop("gross").join(state.withColumnRenamed("equity", "open_equity"), k))
+
+    @property
+    def legs(self) -> DataFrame:
+        """One row per (entry, ticker) that is held before or after it: new weight, old weight, price relative. Stored."""
+        return self._solved[0]
+
+    @property
     def periods(self) -> DataFrame:
-        """One row per entry: growth since the previous one, cost and equity at the open before costs."""
-        keys, k = self.keys, [*self.keys, "entry_no"]
-        sums = self.legs.groupBy(*k).agg(F.sum("w").alias("invested"), F.sum("w_prev").alias("_w_prev"), F.sum("wr").alias("_wr"))
-        base = cut_lineage(self.entries.join(sums, k, "left").na.fill(0.0, ["invested", "_w_prev", "_wr"]).withColumn(
-            "gross", 1 - F.col("_w_prev") + F.col("_wr")).drop("_w_prev", "_wr"))
-        free = base.select(*k, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("fees"))
-        state = self._chain(base, free).withColumn("residual", F.lit(0.0))
-        for _ in range(self.passes):
-            before = state.select(*k, F.col("growth").alias("_before"))
-            state = self._chain(base, self._cost_terms(state)).join(before, k).withColumn("residual", F.abs(F.col("growth") - F.col("_before"))).drop("_before")
-        opened = F.lit(float(self.initial_cash)) * F.product("growth").over(
-            Window.partitionBy(*keys).orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0))
-        return cut_lineage(base.drop("gross").join(state.drop("equity"), k).withColumn("open_equity", opened))
-
-    def _cost_terms(self, state: DataFrame) -> DataFrame:
+        """One row per entry: growth since the previous one, cost and equity at the open before costs. Stored."""
+        return self._solved[1]
+
+    def _base(self, legs: DataFrame) -> DataFrame:
+        """The entries with what they invest and their growth before costs."""
+        k = [*self.keys, "entry_no"]
+        sums = legs.groupBy(*k).agg(F.sum("w").alias("invested"), F.sum("w_prev").alias("_w_prev"), F.sum("wr").alias("_wr"))
+        return self.entries.join(sums, k, "left").na.fill(0.0, ["invested", "_w_prev", "_wr"]).withColumn(
+            "gross", 1 - F.col("_w_prev") + F.col("_wr")).drop("_w_prev", "_wr")
+
+    def _pass(self, legs: DataFrame, base: DataFrame, state: DataFrame) -> DataFrame:
+        """The chain with costs at the growths of `state`; `residual` is what that changed of a cost."""
+        k = [*self.keys, "entry_no"]
+        terms = self._cost_terms(legs, state)
+        fees = F.when(F.col("fees") > 0, F.coalesce(safe_ratio(F.col("fees"), F.col("equity")), F.lit(0.0))).otherwise(0.0)
+        cost = F.col("a") - F.coalesce(safe_ratio(F.col("b"), F.col("growth")), F.lit(0.0)) + fees
+        new = terms.withColumn("_cost", cost).select(*k, F.col("_cost").alias("cost"), F.abs(F.col("_cost") - F.col("cost")).alias("residual"))
+        return self._chained(base.join(new, k, "left").na.fill(0.0, ["cost", "residual"]))
+
+    def _chained(self, rows: DataFrame) -> DataFrame:
+        """Growth and opening equity of every entry: what the entry before cost is missing from its growth."""
+        path = Window.partitionBy(*self.keys).orderBy("entry_no")
+        grown = rows.withColumn("growth", F.col("gross") - F.coalesce(F.lag("cost").over(path), F.lit(0.0)))
+        equity = F.lit(float(self.initial_cash)) * F.product("growth").over(path.rowsBetween(Window.unboundedPreceding, 0))
+        return grown.withColumn("equity", equity).select(*self.keys, "entry_no", "growth", "cost", "equity", "residual")
+
+    def _affordable(self, legs: DataFrame, state: DataFrame) -> DataFrame:
+        """The legs with purchases cut to the cash that sales and earlier purchases leave, in fractions of the opening equity."""
+        k = [*self.keys, "entry_no"]
+        has = F.coalesce(safe_ratio(F.col("wr"), F.col("growth")), F.lit(0.0))
+        rows = legs.join(state.select(*k, "growth", "equity"), k).withColumn("_has", has).withColumn("_move", F.col("goal") - F.col("_has"))
+        size = F.abs("_move") * F.col("equity") / F.col("ref")
+        fee = F.when(F.abs("_move") > TINY, F.greatest(size * F.col("per_share") + size * fill_price(F.col("ref"), F.signum("_move")) * F.col("pct"), F.col("per_order"))).otherwise(0.0)
+        paid = F.col("_move") * (1 + F.signum("_move") * F.col("penalty")) + F.coalesce(safe_ratio(fee, F.col("equity")), F.lit(0.0))
+        rows = rows.withColumns({"_paid": paid, "_buys": (F.col("_move") > 0).cast("int")})
+        order = Window.partitionBy(*k).orderBy("_buys", F.col("_move") / F.col("ref"), "ticker")
+        # Sales sort first, so what has been paid before a purchase holds all of them.
+        left = 1 - F.sum("_has").over(Window.partitionBy(*k)) - F.coalesce(F.sum("_paid").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        unit = (1 + F.col("penalty")) * (1 + F.col("pct")) + F.col("per_share") / F.col("ref")
+        cut = rows.withColumn("_left", left).withColumn("_w", F.when((F.col("_buys") == 1) & (F.col("_left") < F.col("_move") * unit), F.col("_has") + F.greatest(F.col("_left"), F.lit(0.0)) / unit).otherwise(F.col("goal")))
+        path = Window.partitionBy(*self.keys, "ticker").orderBy("entry_no")
+        out = cut.withColumns({"changed": F.abs(F.col("_w") - F.col("w")), "w_prev": F.when(F.col("rel").isNotNull(), F.lag("_w").over(path)).otherwise(0.0)}).withColumn("w", F.col("_w"))
+        return out.withColumn("wr", F.coalesce(F.col("w_prev") * F.col("rel"), F.lit(0.0))).select(*[c for c in legs.columns if c != "changed"], "changed")
+
+    def _cost_terms(self, legs: DataFrame, state: DataFrame) -> DataFrame:
         """Per entry the sums that make its cost a - b / growth + fees / equity, with sides and sizes by `state`.
 
         An order whose proportional commission is below the minimum pays the minimum instead.
         """
         k = [*self.keys, "entry_no"]
         move = F.col("w") - F.coalesce(safe_ratio(F.col("wr"), F.col("growth")), F.lit(0.0))
-        rows = self.legs.join(state.select(*k, "growth", "equity"), k).withColumns({"_move": move, "_side": F.signum(move)})
+        rows = legs.join(state.select(*k, "growth", "equity", "cost"), k).withColumns({"_move": move, "_side": F.signum(move)})
         size = F.abs("_move") * F.col("equity") / F.col("ref")
         fee = size * F.col("per_share") + size * fill_price(F.col("ref"), F.col("_side")) * F.col("pct")
         least = (F.abs("_move") > TINY) & (fee < F.col("per_order"))
         rate = F.when(least, F.col("penalty")).otherwise(loss_rate(F.col("_side"), F.col("ref")))
         paid = F.col("_side") * rate
-        return rows.groupBy(*k).agg(F.sum(paid * F.col("w")).alias("a"), F.sum(paid * F.col("wr")).alias("b"), F.sum(F.when(least, F.col("per_order")).otherwise(0.0)).alias("fees"))
-
-    def _chain(self, base: DataFrame, terms: DataFrame) -> DataFrame:
-        """Growth, cost and opening equity of every entry in order; the fold sees five numbers per entry."""
-        keys, k = self.keys, [*self.keys, "entry_no"]
-        rows = base.select(*k, "gross").join(terms, k, "left").na.fill(0.0, ["a", "b", "fees"])
-        line = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("entry_no", "gross", "a", "b", "fees"))).alias("line"))
-        empty = F.array().cast("array<struct<entry_no:int,growth:double,cost:double,equity:double>>")
-
-        def step(done, e):
-            last = F.try_element_at(done, F.lit(-1))
-            growth = e["gross"] - F.coalesce(last["cost"], F.lit(0.0))
-            equity = F.coalesce(last["equity"], F.lit(float(self.initial_cash))) * growth
-            cost = e["a"] - F.coalesce(safe_ratio(e["b"], growth), F.lit(0.0)) + F.when(e["fees"] > 0, F.coalesce(safe_ratio(e["fees"], equity), F.lit(0.0))).otherwise(0.0)
-            return F.concat(done, F.array(F.struct(e["entry_no"].alias("entry_no"), growth.alias("growth"), cost.alias("cost"), equity.alias("equity"))))
-
-        return line.select(*keys, F.explode(F.aggregate("line", empty, step)).alias("e")).select(*keys, "e.*")
+        return rows.groupBy(*k, "growth", "equity", "cost").agg(F.sum(paid * F.col("w")).alias("a"), F.sum(paid * F.col("wr")).alias("b"), F.sum(F.when(least, F.col("per_order")).otherwise(0.0)).alias("fees"))
 
     @cached_property
     def held(self) -> DataFrame:
@@ -231,4 +281,4 @@ def drawdown_overlay(ledger: Ledger, halve_at: float = 0.10, flat_at: float = 0.
     peak = F.greatest(F.max("equity").over(upto), F.lit(float(ledger.initial_cash)))
     scale = ledger.equity.select(*ledger.keys, "bar_idx", drawdown_scale(1.0 - F.col("equity") / peak, halve_at, flat_at).alias("_scale"))
     cut = ledger.weights.join(scale, [*ledger.keys, "bar_idx"]).withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
-    return Ledger(cut, ledger.decisions, ledger.windows, ledger.marks, ledger.keys, ledger.initial_cash, ledger.passes)
+    return Ledger(cut, ledger.decisions, ledger.windows, ledger.marks, ledger.keys, ledger.initial_cash, ledger.passes, ledger.cap_cash)

@@ -102,8 +102,36 @@ def beta_alpha(equity: DataFrame, benchmark: DataFrame, keys: Sequence[str], yea
     return g.select(*keys, "beta", ((F.col("_mr") - F.col("beta") * F.col("_mb")) * year).alias("alpha_annual"))
 
 
-SHARE_UNITS = 100_000_000   # share counts are whole numbers of this part of a share, so that sums of fills are exact
+SHARE_UNITS = 100_000_000   # share counts are whole numbers of this part of a share, so that sums of fills are exact; a fill below half a unit counts as none
 CHUNK_ROWS = 10_000
+SCAN = 64
+
+
+def running_affine(rows: DataFrame, keys: Sequence[str], levels: int = 2) -> DataFrame:
+    """What comes in at each step of a chain of maps v -> scale * v + add that starts at 0: (keys, no, value_in).
+
+    `rows` has keys, no (0, 1, 2, ... by key), scale and add. Maps compose, so runs of `SCAN` steps are joined to one map each,
+    the runs are chained the same way one level up, and every run is then walked from its start. The work grows with the
+    number of steps, and no list is longer than `SCAN` but the topmost, which has one entry for SCAN ** levels steps.
+    """
+    own = F.struct("no", "scale", "add").alias("m")
+    block = F.floor(F.col("no") / SCAN).cast("long") if levels else F.lit(0).cast("long")
+    lines = rows.select(*keys, block.alias("_block"), own).groupBy(*keys, "_block").agg(F.array_sort(F.collect_list("m")).alias("line"))
+    if levels:
+        whole = F.aggregate("line", F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("add")), lambda s, m: F.struct(
+            (s["scale"] * m["scale"]).alias("scale"), (s["add"] * m["scale"] + m["add"]).alias("add")))
+        starts = running_affine(lines.select(*keys, F.col("_block").alias("no"), whole.alias("w")).select(*keys, "no", "w.scale", "w.add"), keys, levels - 1)
+        lines = lines.join(starts.withColumnRenamed("no", "_block"), [*keys, "_block"])
+    else:
+        lines = lines.withColumn("value_in", F.lit(0.0))
+
+    def walk(done: Column, m: Column) -> Column:
+        last = F.element_at(done, F.lit(-1))
+        return F.concat(done, F.array(last * m["scale"] + m["add"]))
+
+    path = F.aggregate("line", F.array("value_in"), walk)
+    steps = lines.select(*keys, F.explode(F.arrays_zip(F.col("line.no").alias("no"), F.slice(path, 1, F.size("line")).alias("value_in"))).alias("z"))
+    return steps.select(*keys, "z.no", "z.value_in")
 
 
 def round_trips(trades: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -114,7 +142,7 @@ def round_trips(trades: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_
     incoming state composes: the share count maps as max(floor, q + shift), exactly, because shares are
     counted in whole units of 1e-8 (so a sale of .3 closes buys of .1 and .2 in any split), and once the share count
     is known the cost basis maps as scale * basis + add. So: fold each chunk to its maps, chain the
-    chunks of a name (one small row per chunk), and fold each chunk again from its true starting state.
+    chunks of a name (`running_affine`), and fold each chunk again from its true starting state.
     """
     name = [*keys, "ticker"]
     stamp = F.col("date") if "date" in trades.columns else F.col("bar_idx")
@@ -158,16 +186,9 @@ def round_trips(trades: DataFrame, keys: Sequence[str], chunk_rows: int = CHUNK_
             F.when(buy, s["add"] + shares(f["q"]) * f["p"] + f["c"]).otherwise(s["add"] * keep).alias("add"))
 
     basis = F.aggregate("fills", F.struct(F.col("q_in").alias("q"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("add")), basis_step)
-    maps = opened.select(*name, "chunk", basis.alias("b")).select(*name, F.struct("chunk", "b.scale", "b.add").alias("m"))
-    line = maps.groupBy(*name).agg(F.array_sort(F.collect_list("m")).alias("line"))
-    empty = F.array().cast("array<struct<basis:double,cost_in:double>>")
-
-    def chain(done: Column, m: Column) -> Column:
-        before = F.coalesce(F.try_element_at(done, F.lit(-1))["basis"], F.lit(0.0))
-        return F.concat(done, F.array(F.struct((before * m["scale"] + m["add"]).alias("basis"), before.alias("cost_in"))))
-
-    starts = line.select(*name, F.explode(F.arrays_zip(F.col("line.chunk").alias("chunk"), F.aggregate("line", empty, chain).alias("state"))).alias("z")).select(
-        *name, F.col("z.chunk").alias("chunk"), F.col("z.state.cost_in").alias("cost_in"))
+    numbered = opened.select(*name, "chunk", basis.alias("b"), (F.row_number().over(path) - 1).cast("long").alias("no"))
+    incoming = running_affine(numbered.select(*name, "no", "b.scale", "b.add"), name)
+    starts = numbered.select(*name, "no", "chunk").join(incoming, [*name, "no"]).select(*name, "chunk", F.col("value_in").alias("cost_in"))
 
     zero = F.struct(F.col("q_in").alias("q"), F.col("cost_in").alias("basis"), *[F.lit(0).alias(n) for n in ("wins", "losses")],
                     *[F.lit(0.0).alias(n) for n in ("won", "lost")])

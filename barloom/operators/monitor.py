@@ -4,6 +4,8 @@ Each check returns the rows that fail: (account, rule, ticker, value). An accoun
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,21 +45,29 @@ def freshness_failures(checked: DataFrame) -> DataFrame:
 
 
 def daily_loss(accounts: DataFrame, max_loss: float = 0.03) -> DataFrame:
-    """Add `pnl` and `status`: 'breach' below the limit, 'unchecked' without a prior equity, else 'ok'."""
-    known = F.col("last_equity").isNotNull() & (F.col("last_equity") > 0)
-    pnl = F.when(known, safe_ratio(F.col("equity"), F.col("last_equity")) - 1.0)
+    """Add `pnl` and `status`: 'breach' below the limit, 'unchecked' without a known equity now and before, else 'ok'."""
+    def known(value: str) -> Column:
+        return F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+
+    pnl = F.when(known("equity") & known("last_equity") & (F.col("last_equity") > 0), safe_ratio(F.col("equity"), F.col("last_equity")) - 1.0)
     return accounts.withColumn("pnl", pnl).withColumn(
         "status", F.when(F.col("pnl").isNull(), "unchecked").when(F.col("pnl") < -max_loss, "breach").otherwise("ok"))
 
 
 def order_limits(orders: DataFrame, accounts: DataFrame, max_orders: int = 60, max_order: float = 0.30,
                  max_gross: float = 1.10) -> DataFrame:
-    """Failures of an order list: too many, too large, too large together, unpriced, or no equity."""
-    rows = orders.select("account", "ticker", "quantity", "price").join(accounts.select("account", "equity"), "account")
-    priced = F.col("price").isNotNull() & ~F.isnan("price") & (F.col("price") > 0)
-    rows = rows.withColumn("_n", F.when(priced, F.col("quantity") * F.col("price")))
-    solvent = F.col("equity") > 0
-    totals = rows.groupBy("account").agg(F.count("*").alias("_k"), F.max("equity").alias("equity"), F.sum("_n").alias("_gross"))
+    """Failures of an order list: too many, too large, too large together, unpriced, no equity, or no such account.
+
+    An equity that is null, NaN or not positive is none, and an order without a quantity has no price to speak of. Sizes
+    count by their absolute value. Several rows of one account count as the smallest equity among them.
+    """
+    known = accounts.groupBy("account").agg(F.min(F.when(~F.isnan("equity"), F.col("equity"))).alias("equity"), F.lit(True).alias("_known"))
+    rows = orders.select("account", "ticker", "quantity", "price").join(known, "account", "left")
+    priced = F.col("price").isNotNull() & ~F.isnan("price") & (F.col("price") > 0) & ~F.isnan(F.coalesce("quantity", F.lit(float("nan"))))
+    rows = rows.withColumn("_n", F.when(priced, F.abs(F.col("quantity") * F.col("price"))))
+    there, solvent = F.coalesce("_known", F.lit(False)), F.coalesce(F.col("equity") > 0, F.lit(False))
+    totals = rows.groupBy("account").agg(F.count("*").alias("_k"), F.max("equity").alias("equity"), F.sum("_n").alias("_gross"), F.max("_known").alias("_known"))
+
     def fails(rule: str, when: Column, value: Column) -> Column:
         return F.when(when, F.struct(F.lit(rule).alias("rule"), value.cast("double").alias("value")))
 
@@ -68,7 +78,7 @@ def order_limits(orders: DataFrame, accounts: DataFrame, max_orders: int = 60, m
     share = safe_ratio(F.col("_n"), F.col("equity"))
     gross = safe_ratio(F.col("_gross"), F.col("equity"))
     return listed(
-        totals, F.lit(None).cast("string"), fails("order_count", F.col("_k") > max_orders, F.col("_k")), fails("no_equity", ~solvent, F.col("equity")),
+        totals, F.lit(None).cast("string"), fails("order_count", F.col("_k") > max_orders, F.col("_k")), fails("unknown_account", ~there, F.col("_k")), fails("no_equity", there & ~solvent, F.col("equity")),
         fails("gross_notional", solvent & (F.col("_gross") > max_gross * F.col("equity")), gross)
     ).unionByName(listed(
         rows, F.col("ticker"), fails("no_price", solvent & F.col("_n").isNull(), F.col("quantity")),
@@ -132,33 +142,42 @@ def with_slippage(fills: DataFrame) -> DataFrame:
     })
 
 
-def exact_median(df: DataFrame, value: str, accuracy: int = 10_000) -> DataFrame:
-    """The median of a column without bringing all values together.
+def exact_median(df: DataFrame, value: str, accuracy: int = 10_000, keys: Sequence[str] = ()) -> DataFrame:
+    """The median of a column (by `keys`) without bringing all values together.
 
     Two approximate quantiles, a few parts in `accuracy` below and above the middle, bracket it whatever the values'
     spread is. Values below the bracket are counted, and only the distinct values inside are ordered: at most about
     six parts in `accuracy` of the rows. Missing values do not count; infinite ones do, at their end of the order.
+    Every group has a bracket of its own, so one group's outliers mean nothing to the others; brackets are one row for
+    each group, and a group without values has no row.
     """
-    known = df.select(finite_or_null(F.col(value).cast("double")).alias("v")).filter("v IS NOT NULL")
+    known = df.select(*keys, finite_or_null(F.col(value).cast("double")).alias("v")).filter("v IS NOT NULL")
     ends = F.approx_percentile("v", F.array(F.lit(0.5 - 2 / accuracy), F.lit(0.5 + 2 / accuracy)), accuracy)
-    span = known.agg(ends.alias("e"), F.count("*").alias("n")).select(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"), "n")
-    lo, hi, n = (span.select(c).scalar() for c in ("lo", "hi", "n"))
-    place = F.when(F.col("v") < lo, F.lit(None).cast("double")).otherwise(F.col("v"))
-    counts = known.filter(F.col("v") <= hi).groupBy(place.alias("v")).agg(F.count("*").alias("c"))   # null: all values below
-    upto = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.when(F.col("v") < F.col("lo"), F.lit(None).cast("double")).otherwise(F.col("v"))
+    if keys:
+        span = known.groupBy(*keys).agg(ends.alias("e"), F.count("*").alias("n")).select(*keys, F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"), "n")
+        inside = known.join(span, list(keys)).filter(F.col("v") <= F.col("hi"))
+    else:
+        span = known.agg(ends.alias("e"), F.count("*").alias("n")).select(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"), "n")
+        lo, hi, n = (span.select(c).scalar() for c in ("lo", "hi", "n"))
+        inside = known.filter(F.col("v") <= hi).withColumns({"lo": lo, "n": n})
+    counts = inside.groupBy(*keys, "n", place.alias("v")).agg(F.count("*").alias("c"))   # null: all values below
+    upto = Window.partitionBy(*keys).orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     spread = counts.withColumn("upto", F.sum("c").over(upto))
     first, last = F.col("upto") - F.col("c"), F.col("upto")
-    low_rank, high_rank = F.floor((n - 1) / 2), F.floor(n / 2)
+    low_rank, high_rank = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     low = F.max(F.when((first <= low_rank) & (low_rank < last), F.col("v")))
     high = F.max(F.when((first <= high_rank) & (high_rank < last), F.col("v")))
-    return spread.agg(F.when(low == high, low).otherwise((low + high) / 2).alias("median"))
+    return spread.groupBy(*keys).agg(F.when(low == high, low).otherwise((low + high) / 2).alias("median"))
 
 
-def shortfall(fills: DataFrame) -> DataFrame:
-    """One row: number of usable fills, mean and median slippage in basis points, total cost."""
+def shortfall(fills: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Number of usable fills, mean and median slippage in basis points and total cost: one row, or one for each of `keys`."""
     slipped = with_slippage(fills)
-    median = exact_median(slipped, "slip_bps").scalar()
-    return slipped.agg(F.count("*").alias("n"), F.avg("slip_bps").alias("mean_bps"), F.sum("cost").alias("total_cost")).withColumn("median_bps", median)
+    totals = slipped.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("slip_bps").alias("mean_bps"), F.sum("cost").alias("total_cost"))
+    if keys:
+        return totals.join(exact_median(slipped, "slip_bps", keys=keys).withColumnRenamed("median", "median_bps"), list(keys), "left")
+    return totals.withColumn("median_bps", exact_median(slipped, "slip_bps").scalar())
 
 
 def worst_fills(fills: DataFrame, top: int = 5) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import finite_or_null, per_day, safe_ratio
 
+
 def by_ticker() -> WindowSpec:
     """A ticker's rows in calendar order."""
     return Window.partitionBy("ticker").orderBy("bar_idx")
@@ -47,17 +48,29 @@ def snapshot_of_date(calendar: DataFrame, membership: DataFrame) -> DataFrame:
     return filled.filter("_bar").select("date", "snapshot")
 
 
+def membership_intervals(calendar: DataFrame, membership: DataFrame) -> DataFrame:
+    """(ticker, first, last): unbroken runs of dates on which the latest snapshot holds the ticker.
+
+    Only snapshots that are some calendar date's latest count, and they are numbered; a ticker's consecutive numbers
+    make one interval. So a name that stays is one row, however often snapshots are taken.
+    """
+    order = Window.orderBy("snapshot")   # one row for each snapshot that counts, at most one a day
+    valid = snapshot_of_date(calendar, membership).filter("snapshot IS NOT NULL").groupBy("snapshot").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    numbered = valid.withColumn("_no", F.row_number().over(order)).withColumnRenamed("snapshot", "date")
+    held = membership.select("ticker", "date").distinct().join(per_day(numbered), "date")
+    run = F.col("_no") - F.row_number().over(Window.partitionBy("ticker").orderBy("_no"))
+    return held.withColumn("_run", run).groupBy("ticker", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+
 def with_membership(grid: DataFrame, calendar: DataFrame, membership: DataFrame) -> DataFrame:
     """Add `member`: true when the ticker belonged to the latest snapshot at or before the date.
 
-    The as-of step runs on calendar dates only. A ticker's snapshots travel as one array (at most one
-    entry per snapshot), so the panel is joined on the ticker it is already partitioned by.
+    The as-of step runs on calendar dates and snapshots only. What remains is a join with a ticker's disjoint intervals on the
+    key that the panel is already partitioned by; each row meets at most one of them.
     """
-    held = membership.groupBy("ticker").agg(F.collect_set("date").alias("_snapshots"))
-    dated = grid.join(per_day(snapshot_of_date(calendar, membership)), "date", "left")
-    return dated.join(held, "ticker", "left").withColumn(
-        "member", F.coalesce(F.array_contains("_snapshots", F.col("snapshot")), F.lit(False))
-    ).drop("snapshot", "_snapshots")
+    spans = membership_intervals(calendar, membership).select(F.col("ticker").alias("_name"), "first", "last")
+    inside = (F.col("ticker") == F.col("_name")) & F.col("date").between(F.col("first"), F.col("last"))
+    return grid.join(spans, inside, "left").withColumn("member", F.col("_name").isNotNull()).drop("_name", "first", "last")
 
 
 def all_members(membership: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

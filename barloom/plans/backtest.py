@@ -87,7 +87,7 @@ class Backtest:
         decisions = S.decision_dates(self._stored.calendar, schedule).select("bar_idx", configs.alias("config"))
         windows = with_costs(self.windows, self.config.costs)
         book = B.Ledger(self.limited_weights, decisions, windows, self._stored.grid, CONFIG, self.config.initial_cash,
-                        0 if self.config.costs.is_free else 3)
+                        0 if self.config.costs.is_free else 4, not self.config.limits.allow_short)
         if self.config.drawdown_control is None:
             return book
         return B.drawdown_overlay(book, *self.config.drawdown_control)

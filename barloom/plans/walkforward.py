@@ -70,6 +70,7 @@ class WalkForward:
     benchmark: str | None = None
     drawdown_control: tuple[float, float] | None = None
     weights_in: Callable[[DataFrame, list[str]], DataFrame] | None = None
+    cap_cash: bool = False
 
     def _windows(self, pairs: DataFrame, first: str, last: str) -> DataFrame:
         warm = F.element_at(F.array(*[F.lit(int(w)) for w in self.warmups]), (F.col("config") + 1).cast("int")) if self.warmups else F.lit(0)
@@ -84,7 +85,7 @@ class WalkForward:
             weights = self.weights.join(decided, ["config", "bar_idx"]).select(*PAIR, "bar_idx", "ticker", "weight")
         else:
             weights = self.weights_in(cut_lineage(windows), PAIR)
-        book = Ledger(weights, decided.select(*PAIR, "bar_idx"), windows, self.marks, PAIR, self.initial_cash, 0 if self.costs.is_free else 3)
+        book = Ledger(weights, decided.select(*PAIR, "bar_idx"), windows, self.marks, PAIR, self.initial_cash, 0 if self.costs.is_free else 4, self.cap_cash)
         return book if self.drawdown_control is None else drawdown_overlay(book, *self.drawdown_control)
 
     @cached_property
@@ -203,4 +204,4 @@ def walk_forward(panel: Panel, strategy: Strategy, config: BacktestConfig | None
     if not windows.take(1):
         raise ValueError(f"{strategy.name}: the history is too short for {warmup} bars of warmup, {train} of training and a test")
     return WalkForward(None if strategy.stateful else run.limited_weights, S.decision_dates(run._stored.calendar, schedule), windows, run._stored.grid, len(strategy.configs), objective,
-                       config.costs, config.initial_cash, strategy.warmups, config.benchmark, config.drawdown_control, run.weights_in if strategy.stateful else None)
+                       config.costs, config.initial_cash, strategy.warmups, config.benchmark, config.drawdown_control, run.weights_in if strategy.stateful else None, not config.limits.allow_short)

@@ -13,6 +13,7 @@ from barloom.queries.signal_queries import _monthly_scores
 
 WARMUP = 253
 PRICY = CostModel(0.005, 0.0, 0.0002, 20.0, 10.0)
+DEAR = PRESETS["pessimistic"]
 SCENARIOS = {f"{k}x": PRESETS["retail"].scaled(k) for k in (1, 2, 3)}
 
 
@@ -36,7 +37,7 @@ def ledger(m: Market, model: CostModel = PRICY) -> B.Ledger:
     m.materialise()
     decisions = two_configs(S.decision_dates(m.days, "monthly").select("bar_idx"))
     weights = book(m).select("config", "bar_idx", "ticker", "weight")
-    return B.Ledger(weights, decisions, windows_of(m, model), m.marked, ["config"], 100_000.0, 0 if model.is_free else 3)
+    return B.Ledger(weights, decisions, windows_of(m, model), m.marked, ["config"], 100_000.0, 0 if model.is_free else 4)
 
 
 def _out(df, *cols, keys=("config",)):
@@ -65,6 +66,24 @@ def portfolio_equity_free(spark, folder):
     return _out(ledger(Market(spark, folder), PRESETS["zero"]).equity, "bar_idx", r6c("equity", 3).alias("equity"))
 
 
+def capped(m: Market) -> B.Ledger:
+    """The two books without a reserve for costs: buys end where the cash does."""
+    m.materialise()
+    decisions = two_configs(S.decision_dates(m.days, "monthly").select("bar_idx"))
+    weights = book(m).select("config", "bar_idx", "ticker", (F.col("weight") / 0.95).alias("weight"))
+    return B.Ledger(weights, decisions, windows_of(m, DEAR), m.marked, ["config"], 100_000.0, cap_cash=True)
+
+
+def cash_capped_equity(spark, folder):
+    return _out(capped(Market(spark, folder)).equity, "bar_idx", r6c("equity", 3).alias("equity"), r6c(F.greatest("cash", F.when(F.col("cash") > -1e-6, 0.0).otherwise(F.col("cash"))), 3).alias("cash"))
+
+
+def cash_capped_trades(spark, folder):
+    """What is bought for less than was wanted shows in the number and the size of the trades."""
+    sides = capped(Market(spark, folder)).trades.filter("notional > 0.01").groupBy("config", "side")
+    return sides.agg(F.count("*").alias("n_trades"), r6c(F.sum("notional"), 1).alias("notional")).select(F.col("config").cast("long").alias("config"), "side", "n_trades", "notional")
+
+
 def turnover(spark, folder):
     return _out(ledger(Market(spark, folder)).turnover, "bar_idx", r6c("turnover").alias("turnover"))
 
@@ -123,7 +142,7 @@ def portfolio_metrics(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    effective_weights, trading_window, portfolio_equity, portfolio_equity_free, turnover, weights_at_close, implied_trades,
+    effective_weights, trading_window, portfolio_equity, portfolio_equity_free, cash_capped_equity, cash_capped_trades, turnover, weights_at_close, implied_trades,
     benchmark_equity, cost_stress, drawdown_overlay, daily_returns, portfolio_metrics)}
 
 CTES["book"] = (["mom_top", "mom_monthly"], """
@@ -228,7 +247,40 @@ _SE = "sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 1e-12::DOUBLE) /
 BENCH = f"""SELECT v.config, m.bar_idx, mark / first_value(mark) OVER (PARTITION BY v.config ORDER BY m.bar_idx) * 100000.0::DOUBLE AS benchmark
     FROM win v JOIN marked m ON m.ticker = '{MARKET}' AND m.bar_idx BETWEEN first_idx AND last_idx"""
 
+# Shares and cash, entry after entry: sales first, then purchases, fewest shares first, as far as the cash goes.
+_CAPPED = {
+    "dec": _DEC, "win": window_rows({0: DEAR, 1: DEAR}),
+    "full": "SELECT config, bar_idx, ticker, weight / 0.95::DOUBLE AS weight FROM book",
+    **{k: v for k, v in ledger_steps("full", "win", "dec").items() if k in ("ent", "now", "legs")},
+    "per": """
+        SELECT e.config, e.entry_no, e.entry_idx, e.until_idx, pen, list({'t': ticker, 'w': w, 'ref': ref}) FILTER (ref IS NOT NULL) AS legs
+        FROM ent e LEFT JOIN legs l ON l.config = e.config AND l.entry_no = e.entry_no GROUP BY ALL""",
+    "chain": """
+        SELECT config, CAST(0 AS BIGINT) AS entry_no, 100000.0::DOUBLE AS cash, CAST([] AS STRUCT(t VARCHAR, s DOUBLE)[]) AS held, CAST([] AS STRUCT(t VARCHAR, d DOUBLE, ref DOUBLE)[]) AS done FROM win
+        UNION ALL
+        SELECT config, entry_no, after, list_filter(list_transform(got, lambda l: {'t': l.t, 's': l.s + l.d}), lambda l: abs(l.s) > 1e-9), list_transform(got, lambda l: {'t': l.t, 'd': l.d, 'ref': l.ref}) FROM (
+          SELECT config, entry_no, pen, got, coalesce(avail - list_sum(list_transform(list_filter(got, lambda l: l.d > 0), lambda l: l.d * l.ref * (1 + pen))), avail) AS after FROM (
+            SELECT config, entry_no, pen, avail, list_transform(moved, lambda l: {'t': l.t, 's': l.s, 'ref': l.ref, 'd': CASE WHEN l.d > 0 THEN least(l.d, greatest(
+                avail - coalesce(list_sum(list_transform(list_filter(moved, lambda y: y.d > 0 AND (y.d < l.d OR (y.d = l.d AND y.t < l.t))), lambda y: y.d * y.ref * (1 + pen))), 0), 0) / (l.ref * (1 + pen))) ELSE l.d END}) AS got FROM (
+              SELECT *, cash + coalesce(list_sum(list_transform(list_filter(moved, lambda l: l.d < 0), lambda l: -l.d * l.ref * (1 - pen))), 0) AS avail FROM (
+                SELECT config, entry_no, pen, cash, list_transform(now, lambda l: {'t': l.t, 's': l.s, 'ref': l.ref, 'd': l.w * total / l.ref - l.s}) AS moved FROM (
+                  SELECT *, cash + coalesce(list_sum(list_transform(now, lambda l: l.s * l.ref)), 0) AS total FROM (
+                    SELECT n.config, n.entry_no, n.pen, c.cash, coalesce(list_transform(n.legs, lambda l: {'t': l.t, 'w': l.w, 'ref': l.ref, 's': coalesce(list_filter(c.held, lambda h: h.t = l.t)[1].s, 0)}), []) AS now
+                    FROM chain c JOIN per n ON n.config = c.config AND n.entry_no = c.entry_no + 1) a) b) d) e) f) g""",
+    "value": """
+        SELECT h.config, m.bar_idx, sum(h.h.s * m.mark) AS v FROM (SELECT c.config, n.entry_idx, n.until_idx, unnest(c.held) AS h FROM chain c JOIN per n ON n.config = c.config AND n.entry_no = c.entry_no) h
+        JOIN marked m ON m.ticker = h.h.t AND m.bar_idx BETWEEN h.entry_idx AND h.until_idx GROUP BY ALL""",
+    "eq": """
+        SELECT v.config, k.bar_idx, coalesce(c.cash, 100000.0::DOUBLE) AS cash, coalesce(c.cash, 100000.0::DOUBLE) + coalesce(x.v, 0) AS equity FROM win v JOIN cal k ON k.bar_idx BETWEEN first_idx AND last_idx
+        LEFT JOIN per n ON n.config = v.config AND k.bar_idx BETWEEN n.entry_idx AND n.until_idx LEFT JOIN chain c ON c.config = n.config AND c.entry_no = n.entry_no
+        LEFT JOIN value x ON x.config = v.config AND x.bar_idx = k.bar_idx""",
+}
+
 ORACLES = {
+    "cash_capped_equity": sql("SELECT config, bar_idx, round(equity, 3) AS equity, round(CASE WHEN cash BETWEEN -1e-6 AND 0 THEN 0.0::DOUBLE ELSE cash END, 3) AS cash FROM eq", *USES, recursive=True, **_CAPPED),
+    "cash_capped_trades": sql("""
+        SELECT config, CASE WHEN x.d > 0 THEN 'buy' ELSE 'sell' END AS side, count(*) AS n_trades, round(sum(abs(x.d) * x.ref * (1 + sign(x.d) * pen)), 1) AS notional
+        FROM (SELECT c.config, pen, unnest(done) AS x FROM chain c JOIN win v ON v.config = c.config) t WHERE abs(x.d) * x.ref > 0.01 GROUP BY ALL""", *USES, recursive=True, **_CAPPED),
     "effective_weights": sql(f"SELECT e.config, entry_no, entry_idx, until_idx, ticker, {r6('weight')} AS weight FROM ent e JOIN book b ON b.config = e.config AND b.bar_idx = e.bar_idx",
                              *USES, recursive=True, **book_ledger(PRICY)),
     "trading_window": sql("""

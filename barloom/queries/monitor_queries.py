@@ -30,17 +30,27 @@ def freshness(spark, folder):
 
 
 def daily_loss(spark, folder):
-    return V.daily_loss(Market(spark, folder).accounts, 0.03).select("account", r6c("pnl").alias("pnl"), "status")
+    return V.daily_loss(_yesterday(Market(spark, folder)), 0.03).select("account", r6c("pnl").alias("pnl"), "status")
 
 
 def _orders(m: Market):
-    """Planned orders, a few without a price."""
+    """Planned orders, a few without a price, and sales of some accounts written as negative quantities."""
     rows = O.order_diff(m.targets, m.holdings, m.last_close, m.accounts)
-    return rows.withColumn("price", F.when(F.substring("ticker", -2, 2) != "13", F.col("price")))
+    signed = F.when((F.col("side") == "sell") & (F.col("account") % 3 == 0), -F.col("quantity")).otherwise(F.col("quantity"))
+    return rows.withColumns({"price": F.when(F.substring("ticker", -2, 2) != "13", F.col("price")), "quantity": signed})
 
 
 def _solvency(m: Market):
-    return m.accounts.withColumn("equity", F.when(F.col("account") % 50 == 0, 0.0).otherwise(F.col("equity")))
+    """Accounts of which some have no equity, an unknown one or NaN, and some are missing."""
+    part = F.col("account") % 50
+    equity = F.when(part == 0, 0.0).when(part == 2, F.lit(float("nan"))).when(part != 3, F.col("equity"))
+    return m.accounts.filter(part != 1).withColumn("equity", equity)
+
+
+def _yesterday(m: Market):
+    """Accounts of which some have an unknown equity now or before."""
+    part = F.col("account") % 50
+    return m.accounts.withColumns({"equity": F.when(part == 2, F.lit(float("nan"))).when(part != 3, F.col("equity")), "last_equity": F.when(part == 4, F.lit(float("nan"))).otherwise(F.col("last_equity"))})
 
 
 def order_limits(spark, folder):
@@ -66,7 +76,7 @@ def reconciliation(spark, folder):
 
 def guard_report(spark, folder):
     m = Market(spark, folder)
-    loss = V.daily_loss(m.accounts, 0.03).filter("status = 'breach'").select("account", F.lit("daily_loss").alias("rule"))
+    loss = V.daily_loss(_yesterday(m), 0.03).filter("status = 'breach'").select("account", F.lit("daily_loss").alias("rule"))
     return V.guard_report(m.accounts, [loss, V.order_limits(_orders(m), _solvency(m), 20, 0.2, 1.5), V.reconciliation(m.holdings, _recorded(m), _pending(m))])
 
 
@@ -80,6 +90,12 @@ def shortfall(spark, folder):
     return V.shortfall(Market(spark, folder).fills).select("n", r6c("mean_bps").alias("mean_bps"), r6c("median_bps").alias("median_bps"), r6c("total_cost", 2).alias("total_cost"))
 
 
+def shortfall_by_account(spark, folder):
+    """Slippage of every account by itself."""
+    fills = Market(spark, folder).fills.withColumn("account", F.substring("ticker", -9, 9).cast("long"))
+    return V.shortfall(fills, ["account"]).select("account", "n", r6c("mean_bps").alias("mean_bps"), r6c("median_bps").alias("median_bps"), r6c("total_cost", 2).alias("total_cost"))
+
+
 def worst_fills(spark, folder):
     out = V.with_slippage(Market(spark, folder).fills).withColumn("slip_bps", F.round("slip_bps", 6))
     return out.orderBy(F.desc("slip_bps"), F.desc("cost"), "as_of", "ticker").limit(5).select("as_of", "ticker", "side", r6c("slip_bps").alias("slip_bps"), r6c("cost", 3).alias("cost"))
@@ -132,20 +148,22 @@ def backtest(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    freshness, daily_loss, order_limits, reconciliation, guard_report, gate_status, shortfall, worst_fills, state_snapshot,
+    freshness, daily_loss, order_limits, reconciliation, guard_report, gate_status, shortfall, shortfall_by_account, worst_fills, state_snapshot,
     custom_strategy, custom_columns, backtest)}
 
 CTES["orders_plan"] = (["targets", "holdings", "last_close", "accounts"], f"""
-    SELECT account, ticker, side, quantity, CASE WHEN right(ticker, 2) <> '13' THEN price END AS price
+    SELECT account, ticker, side, CASE WHEN side = 'sell' AND account % 3 = 0 THEN -quantity ELSE quantity END AS quantity, CASE WHEN right(ticker, 2) <> '13' THEN price END AS price
     FROM ({diff_sql('targets', 'holdings', 'last_close', 'accounts', 1.0, 0.002, False)}) d""")
 CTES["order_fails"] = (["orders_plan", "accounts"], """
     SELECT account, 'order_count' AS rule, NULL AS ticker, count(*)::DOUBLE AS value FROM orders_plan GROUP BY account HAVING count(*) > 20
-    UNION ALL SELECT DISTINCT account, 'no_equity', NULL, 0.0::DOUBLE FROM orders_plan WHERE account % 50 = 0
-    UNION ALL SELECT account, 'gross_notional', NULL, sum(quantity * price) / max(equity) FROM orders_plan JOIN accounts USING (account) WHERE account % 50 <> 0
-              GROUP BY account HAVING sum(quantity * price) > 1.5::DOUBLE * max(equity)
-    UNION ALL SELECT account, 'no_price', ticker, quantity FROM orders_plan WHERE account % 50 <> 0 AND price IS NULL
-    UNION ALL SELECT account, 'order_notional', ticker, quantity * price / equity FROM orders_plan JOIN accounts USING (account)
-              WHERE account % 50 <> 0 AND quantity * price > 0.2::DOUBLE * equity""")
+    UNION ALL SELECT account, 'unknown_account', NULL, count(*)::DOUBLE FROM orders_plan WHERE account % 50 = 1 GROUP BY account
+    UNION ALL SELECT DISTINCT account, 'no_equity', NULL, CASE WHEN account % 50 = 0 THEN 0.0::DOUBLE END FROM orders_plan WHERE account % 50 IN (0, 2, 3)
+    UNION ALL SELECT account, 'gross_notional', NULL, sum(abs(quantity * price)) / max(equity) FROM orders_plan JOIN accounts USING (account) WHERE account % 50 > 3
+              GROUP BY account HAVING sum(abs(quantity * price)) > 1.5::DOUBLE * max(equity)
+    UNION ALL SELECT account, 'no_price', ticker, quantity FROM orders_plan WHERE account % 50 > 3 AND price IS NULL
+    UNION ALL SELECT account, 'order_notional', ticker, abs(quantity * price) / equity FROM orders_plan JOIN accounts USING (account)
+              WHERE account % 50 > 3 AND abs(quantity * price) > 0.2::DOUBLE * equity""")
+CTES["yesterday"] = (["accounts"], "SELECT account, CASE WHEN account % 50 NOT IN (2, 3) AND account % 50 <> 4 THEN equity / last_equity - 1 END AS pnl FROM accounts")
 CTES["recorded"] = (["holdings", "targets"], """
     SELECT account, ticker, quantity * CASE WHEN account % 13 = 0 THEN 1.05::DOUBLE WHEN account % 17 = 0 THEN 1.005::DOUBLE ELSE 1.0::DOUBLE END AS quantity
     FROM holdings WHERE (length(ticker) + account) % 11 <> 0 AND account % 4 <> 0
@@ -172,14 +190,13 @@ ORACLES = {
         FROM (SELECT ticker, max(date) AS as_of, DATE '2001-11-03' + CAST(length(ticker) + ascii(right(ticker, 1)) % 5 - 18 AS INT) AS today FROM bars GROUP BY ticker) b
         JOIN sessions s ON s.date = b.today""", "bars", "sessions"),
     "daily_loss": sql(f"""
-        SELECT account, {r6('equity / last_equity - 1')} AS pnl, CASE WHEN last_equity IS NULL THEN 'unchecked' WHEN equity / last_equity - 1 < -0.03 THEN 'breach' ELSE 'ok' END AS status
-        FROM accounts""", "accounts"),
+        SELECT account, {r6('pnl')} AS pnl, CASE WHEN pnl IS NULL THEN 'unchecked' WHEN pnl < -0.03 THEN 'breach' ELSE 'ok' END AS status FROM yesterday""", "yesterday"),
     "order_limits": sql(f"SELECT account, rule, ticker, {r6('value')} AS value FROM order_fails", "order_fails"),
     "reconciliation": sql(f"SELECT account, rule, ticker, {r6('value')} AS value FROM recon_fails", "recon_fails"),
     "guard_report": sql("""
         SELECT account, count(f.rule) AS n_failures, count(f.rule) = 0 AS passed FROM accounts LEFT JOIN (
           SELECT account, rule FROM order_fails UNION ALL SELECT account, rule FROM recon_fails
-          UNION ALL SELECT account, 'daily_loss' FROM accounts WHERE equity / last_equity - 1 < -0.03) f USING (account) GROUP BY account""", "accounts", "order_fails", "recon_fails"),
+          UNION ALL SELECT account, 'daily_loss' FROM yesterday WHERE pnl < -0.03) f USING (account) GROUP BY account""", "accounts", "yesterday", "order_fails", "recon_fails"),
     "gate_status": sql("""
         SELECT account, coalesce(fills, 0) AS fills, coalesce(fill_sessions, 0) AS fill_sessions, first_fill, last_fill, coalesce(total_runs, 0) AS total_runs,
                coalesce(clean_sessions, 0) AS clean_sessions, coalesce(fills, 0) >= 250 AND coalesce(clean_sessions, 0) >= 3 AS open
@@ -188,6 +205,9 @@ ORACLES = {
         FULL JOIN (SELECT account, count(*) AS total_runs, count(*) FILTER (fails_after = 0) AS clean_sessions FROM (
                      SELECT account, sum(CASE WHEN passed THEN 0 ELSE 1 END) OVER (PARTITION BY account ORDER BY seq DESC) AS fails_after FROM guard_log) g GROUP BY 1) r USING (account)""", "fills", "guard_log"),
     "shortfall": sql(f"SELECT count(*) AS n, {r6('avg(bps)')} AS mean_bps, {r6('median(bps)')} AS median_bps, round(sum(cost), 2) AS total_cost FROM slips", "slips"),
+    "shortfall_by_account": sql(f"""
+        SELECT CAST(right(ticker, 9) AS BIGINT) AS account, count(*) AS n, {r6('avg(bps)')} AS mean_bps, {r6('median(bps)')} AS median_bps, round(sum(cost), 2) AS total_cost
+        FROM slips GROUP BY 1""", "slips"),
     "worst_fills": sql(f"""
         SELECT as_of, ticker, side, {r6('b')} AS slip_bps, round(cost, 3) AS cost FROM (SELECT *, round(bps, 6) AS b FROM slips) s ORDER BY b DESC, cost DESC, as_of, ticker LIMIT 5""", "slips"),
     "state_snapshot": sql("""

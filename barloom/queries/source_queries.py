@@ -1,13 +1,16 @@
 """Scans, normalisation, upserts, refresh decisions, universes and logs."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.queries.fixtures import CTES, MARKET, Market, r6, r6c, sql
 from barloom.sources import bars as B
 from barloom.sources import lexicon as L
-from barloom.sources import logs, news as N
+from barloom.session import shared_folder
+from barloom.sources import logs, news as N, sinks
 from barloom.sources import universe as U
 
 NOW, CUT = "2001-08-20 12:00:00", "2000-12-31"
@@ -158,8 +161,39 @@ def equity_history(spark, folder):
     return logs.equity_history(local, broker, today)
 
 
+def history_replaced(spark, folder):
+    """Bars stored as one version, refreshed into the next, and read back: disagreeing tickers have their fetched history only."""
+    m = Market(spark, folder)
+    root = f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+    sinks.write_version(m.bars.select("ticker", "date", *B.BAR_FIELDS), root)
+    stored, fresh = sinks.read_version(spark, root), _adjusted(m)
+    sinks.write_version(B.replace_history(stored, fresh, B.history_disagreement(stored, fresh)), root)
+    return sinks.read_version(spark, root).groupBy("ticker").agg(
+        F.count("*").alias("n_bars"), F.min("date").alias("first_date"), F.round(F.sum("close"), 2).alias("closes"))
+
+
+def news_in_months(spark, folder):
+    """Articles stored by month and read back for a span: other months are not opened."""
+    m = Market(spark, folder)
+    path = f"{shared_folder(spark)}/news-{uuid.uuid4().hex}"
+    N.write_news(N.normalize_news(m.raw_news), path)
+    return N.news_between(spark.read.parquet(path), "1996-01-15", "1999-06-30 12:00:00").select("id", "created_at", "month")
+
+
+def log_quarantine(spark, folder):
+    """Guard results written as JSON lines, some of them cut off, and read back: sound lines by day, malformed ones in all."""
+    m = Market(spark, folder)
+    path = f"{shared_folder(spark)}/guards-{uuid.uuid4().hex}"
+    run = m.guard_log.select(F.struct(F.lit("x").alias("ts"), F.lit("paper").alias("broker"), "as_of", "passed").alias("r"), "seq")
+    line = F.to_json("r")
+    run.select(F.when(F.col("seq") % 17 == 0, F.substr(line, F.lit(1), F.length(line) - 9)).otherwise(line).alias("value")).write.text(path)
+    rows, bad = logs.read_checked_log(spark, path, logs.GUARD_LOG)
+    days = rows.groupBy("as_of").agg(F.count("*").alias("n_lines"), F.count_if("passed").alias("n_passed"))
+    return days.unionByName(logs.log_health(rows, bad).select(F.lit(None).cast("date").alias("as_of"), F.col("n_bad").alias("n_lines"), F.lit(0).cast("long").alias("n_passed")))
+
+
 QUERIES = {f.__name__: f for f in (
-    normalize_bars, bar_coverage, merge_bars, refresh_plan, refresh_batches, history_disagreement, refresh_split, import_long,
+    history_replaced, news_in_months, log_quarantine, normalize_bars, bar_coverage, merge_bars, refresh_plan, refresh_batches, history_disagreement, refresh_split, import_long,
     source_fallback, normalize_news, news_by_symbol, news_coverage, news_refresh_plan, membership_long, sector_map,
     universe_semi, lexicon_long, equity_history)}
 
@@ -195,6 +229,16 @@ ORACLES = {
     "refresh_plan": sql(_PLAN, "bars", "sectors", known=_KNOWN),
     "refresh_batches": sql(f"SELECT mode, fetch_from, count(*) AS n_tickers FROM ({_PLAN}) p GROUP BY ALL", "bars", "sectors", known=_KNOWN),
     "history_disagreement": sql(f"SELECT ticker, settled_days, {r6('worst_gap')} AS worst_gap, worst_gap > 0.02 AS disagrees FROM gaps", "bars", fresh=_ADJUSTED, gaps=_GAPS),
+    "history_replaced": sql("""
+        SELECT ticker, count(*) AS n_bars, min(date) AS first_date, round(sum(close), 2) AS closes FROM (
+          SELECT coalesce(b.ticker, f.ticker) AS ticker, coalesce(b.date, f.date) AS date, coalesce(f.close, b.close) AS close, f.close IS NOT NULL AS fetched
+          FROM bars b FULL JOIN fresh f ON f.ticker = b.ticker AND f.date = b.date) m LEFT JOIN gaps USING (ticker) WHERE fetched OR coalesce(worst_gap, 0) <= 0.02 GROUP BY ticker""",
+        "bars", fresh=_ADJUSTED, gaps=_GAPS),
+    "news_in_months": sql("""
+        SELECT id, created_at, strftime(created_at, '%Y-%m') AS month FROM news WHERE created_at BETWEEN TIMESTAMP '1996-01-15' AND TIMESTAMP '1999-06-30 12:00:00'""", "news"),
+    "log_quarantine": sql("""
+        SELECT as_of, count(*) AS n_lines, count(*) FILTER (passed) AS n_passed FROM guard_log WHERE seq % 17 <> 0 GROUP BY as_of
+        UNION ALL SELECT NULL, count(*), 0 FROM guard_log WHERE seq % 17 = 0""", "guard_log"),
     "refresh_split": sql("""
         SELECT CASE WHEN worst_gap > 0.02 THEN 'replace' ELSE 'merge' END AS mode, count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers
         FROM fresh LEFT JOIN gaps USING (ticker) GROUP BY 1""", "bars", fresh=_ADJUSTED, gaps=_GAPS),

@@ -51,3 +51,29 @@ def sequential_ledger(marks, weights, decisions, first, last, cash, penalty, pct
         if i in decisions and i < last:
             pending = weights.get(i, {})
     return path
+
+
+def capped_account(marks, weights, decisions, first, last, cash, model):
+    """Day by day with a cash limit: sales first, then purchases, fewest shares first, each with what is left. Equity and cash paths."""
+    ref = {(r.ticker, r.bar_idx): r.fill_ref for r in marks.itertuples()}
+    mark = {(r.ticker, r.bar_idx): r.mark for r in marks.itertuples()}
+    shares, pending, path, money = {}, None, [], []
+    for i in range(first, last + 1):
+        if pending is not None:
+            total = cash + sum(q * ref[t, i] for t, q in shares.items())
+            moves = {t: pending.get(t, 0.0) * total / ref[t, i] - shares.get(t, 0.0) for t in set(pending) | set(shares)}
+            for t, d in sorted(moves.items(), key=lambda x: (x[1] > 0, x[1], x[0])):
+                if abs(d) * ref[t, i] < 1e-12 * total:
+                    continue
+                price = ref[t, i] * (1 + (model.penalty if d > 0 else -model.penalty))
+                if d > 0:
+                    d = min(d, max(cash, 0.0) / (price + model.commission_per_share + price * model.commission_pct))
+                if d:
+                    cash -= d * price + max(abs(d) * (model.commission_per_share + price * model.commission_pct), model.commission_min)
+                    shares[t] = shares.get(t, 0.0) + d
+            shares, pending = {t: q for t, q in shares.items() if abs(q) > 1e-12}, None
+        path.append(cash + sum(q * mark[t, i] for t, q in shares.items()))
+        money.append(cash)
+        if i in decisions and i < last:
+            pending = weights.get(i, {})
+    return path, money

@@ -38,6 +38,18 @@ def test_freshness_over_many_sessions(spark):
     assert V.guard_report(spark.createDataFrame([(1,), (2,)], "account int"), [fails]).filter("passed").count() == 1
 
 
+def test_unknown_values_never_pass_a_check(spark):
+    accounts = spark.createDataFrame([(1, 1000.0), (2, None), (3, NAN), (4, -5.0), (6, 1000.0), (6, NAN)], "account int, equity double")
+    orders = spark.createDataFrame([(k, "A", 1e6, 1e4) for k in (1, 2, 3, 4, 5)] + [(1, "B", -900.0, 1.0), (1, "C", NAN, 1.0), (1, "D", None, 1.0), (6, "A", 1.0, 1.0)],
+                                   "account int, ticker string, quantity double, price double")
+    fails = rows(V.order_limits(orders, accounts).select("account", "rule", "ticker"), "account", "rule", "ticker")
+    assert fails == [(1, "gross_notional", None), (1, "no_price", "C"), (1, "no_price", "D"), (1, "order_notional", "A"), (1, "order_notional", "B"),
+                     (2, "no_equity", None), (3, "no_equity", None), (4, "no_equity", None), (5, "unknown_account", None)]
+    assert V.order_limits(orders.limit(0), accounts).count() == 0
+    before = spark.createDataFrame([(1, NAN, 100.0), (2, 100.0, NAN), (3, None, 100.0), (4, 50.0, 100.0), (5, math.inf, 100.0), (6, 100.0, 0.0)], "account int, equity double, last_equity double")
+    assert [r.status for r in V.daily_loss(before).orderBy("account").collect()] == ["unchecked"] * 3 + ["breach"] + ["unchecked"] * 2
+
+
 def test_a_guard_run_without_a_result_is_no_pass(spark):
     fills = spark.createDataFrame([(1, "paper", day("2024-01-02"), "filled", 1.0)], "account int, broker string, as_of date, status string, filled_quantity double")
     log = spark.createDataFrame([(1, 1, True), (1, 2, None), (1, 3, True)], "account int, seq int, passed boolean")

@@ -74,12 +74,12 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    """The smallest 31-bit value of each coordinate's hash over the shingles."""
-    least = np.full(COORDINATES, (1 << 31) - 1, np.uint64)
+    """The smallest 64-bit value of each coordinate's hash over the shingles: equal ones come from equal shingles."""
+    least = np.full(COORDINATES, (1 << 64) - 1, np.uint64)
     for at in range(0, len(h), 4096):
-        values = (np.multiply.outer(FACTORS, h[at:at + 4096]) + SHIFTS[:, None]) >> np.uint64(33)
+        values = np.multiply.outer(FACTORS, h[at:at + 4096]) + SHIFTS[:, None]
         np.minimum(least, values.min(axis=1), out=least)
-    return least.astype(np.int32)
+    return least.view(np.int64)
 
 
 def set_key(h: np.ndarray) -> tuple[int, int]:
@@ -87,7 +87,7 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(h ^ np.uint64(salt)).sum(dtype=np.uint64).view(np.int64)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-DIGEST = "key bigint, n bigint, k1 bigint, k2 bigint, sig array<int>"
+DIGEST = "key bigint, n bigint, k1 bigint, k2 bigint, sig array<bigint>"
 
 
 def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k1, k2 = set_key(h) if len(h) else (None, None)
             for c, v in zip(("n", "k1", "k2", "sig"), (len(h), k1, k2, signature(h) if len(h) else None)):
                 out[c].append(v)
-        types = {"n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "sig": pa.list_(pa.int32())}
+        types = {"n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "sig": pa.list_(pa.int64())}
         yield pa.RecordBatch.from_arrays([out[c] if c == "key" else pa.array(out[c], types[c]) for c in out], list(out))
 
 
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     digests = cut_lineage(rows.mapInArrow(digest, DIGEST))
     classes = cut_lineage(digests.filter("n > 0 AND key IS NOT NULL").groupBy("k1", "k2").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.any_value("sig").alias("sig")))
 
-    posts = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long")).alias("post"))
+    posts = classes.select("rep", F.posexplode("sig").alias("at", "value")).select("rep", F.shiftleft(F.col("at").cast("long"), 58).bitwiseXOR(F.col("value")).alias("post"))   # a minimum's top bits are mostly free
     lengths = posts.groupBy("post").agg(F.count("*").alias("length")).filter("length > 1")
     ranked = (posts.join(lengths.hint("merge"), "post").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("length", "post"))).alias("lists"))   # at most 64
               .filter(F.size("lists") >= matches).select("rep", F.explode(F.slice("lists", F.lit(1), F.size("lists") - matches + 1)).alias("l")))

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import column
+from barloom.llm.common import column, free_name
+from barloom.llm.mixing import place_of
+from barloom.llm.resampling import in_order
 from barloom.session import cut_lineage
 
 # Fixed values of the published algorithm: the generator's multiplier, and the range its high bits are taken from.
@@ -61,3 +63,27 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     placed = same.join(first, ["shard", "bucket"]).withColumn("start", F.col("first") + F.sum("copies").over(inside) - F.col("copies"))
     return placed.select(F.col("doc_id").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard",
                          F.explode(F.sequence("start", F.col("start") + F.col("copies") - 1)).alias("slot"), "grown_shard")
+
+
+def training_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
+    """`docs`, texts included, with the shard and slot of each row: what a training job reads in the order of the slots.
+
+    Equal rows are the passes that mixing takes of a document, so they are numbered (epoch, from 0), and within a shard
+    the slots run through one epoch after the other, each in the order of mixing's permutation: `place_of` with the same
+    seed. Sources are mixed within an epoch and a document's passes lie an epoch apart. Only narrow rows are sorted; the
+    texts move once. Added columns: epoch, shard, slot, grown_shard (with one shard more), size and text_crc32, with
+    underscores appended where `docs` has such a name. Nulls count as in `shard_documents`.
+    """
+    body = F.coalesce(column(text), F.lit(""))
+    stored = cut_lineage(docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), column(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"),
+                                     F.crc32(F.encode(body, "utf-8")).alias("text_crc32"), F.xxhash64(*[column(c) for c in docs.columns]).alias("same"), F.monotonically_increasing_id().alias("row")))
+    narrow = stored.drop("doc")
+    listed = in_order(narrow, F.col("key").asc(), F.col("same").asc(), F.col("row").asc())
+    first = listed.groupBy("key", "same").agg(F.min("rank").alias("first")).select(F.col("key").alias("k"), F.col("same").alias("s"), "first")
+    counted = listed.join(first.hint("merge"), F.col("key").eqNullSafe(F.col("k")) & (F.col("same") == F.col("s"))).withColumn("epoch", F.col("rank") - F.col("first")).drop("rank", "first", "k", "s")
+    dealt = with_shard(with_shard(counted, "key", shards), "key", shards + 1, "grown_shard").withColumn("place", place_of(seed, F.col("epoch"), F.col("key")))
+    ranked = in_order(dealt.withColumnRenamed("place", "at"), *[F.col(c).asc() for c in ("shard", "epoch", "at", "key", "row")])
+    starts = ranked.groupBy("shard").agg(F.min("rank").alias("start"))   # a row for each shard
+    slots = ranked.join(F.broadcast(starts), "shard").select("row", "epoch", "shard", (F.col("rank") - F.col("start")).alias("slot"), "grown_shard")
+    named = [F.col(c).alias(free_name(docs, c)) for c in ("epoch", "shard", "slot", "grown_shard", "size", "text_crc32")]
+    return stored.select("doc", "size", "text_crc32", "row").join(slots, "row").select(*[F.col("doc")[c].alias(c) for c in docs.columns], *named)

@@ -1,4 +1,5 @@
 """The whole pipeline against plain Python, and every registered query against its SQL."""
+import hashlib
 import sys
 from collections import Counter
 from pathlib import Path
@@ -13,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import corpus_pipeline  # noqa: E402
 import oracle_check as oc  # noqa: E402
 from barloom.llm import queries as Q  # noqa: E402
-from barloom.llm import toxicity  # noqa: E402
+from barloom.llm import sharding, toxicity  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,6 +54,16 @@ def test_pipeline_matches_plain_python(spark, corpus):
     got = corpus_pipeline.run(spark, folder).collect()
     assert Counter(r.doc_id for r in got) == copies
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
+    texts = {r[0]: r[1] for r in kept}
+    assert all(r.text == texts[r.doc_id] for r in got)
+    assert {(r.doc_id, r.epoch) for r in got} == {(k, e) for k, n in copies.items() for e in range(n)}
+    plain = {r.doc_id: r.shard for r in sharding.shard_documents(spark.createDataFrame([(k,  t) for k, t in texts.items()], "doc_id long, text string")).collect()}
+    for s in range(8):
+        line = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+        assert all(plain[r.doc_id] == s for r in line) and [r.epoch for r in line] == sorted(r.epoch for r in line)
+        assert all(a.doc_id != b.doc_id for a, b in zip(line, line[1:]))   # no document stands next to itself
+        for e in (0, 1):
+            assert [r.doc_id for r in line if r.epoch == e] == sorted((r.doc_id for r in line if r.epoch == e), key=lambda k: int(hashlib.md5(f"0|{e}|{k}".encode()).hexdigest()[:15], 16))
 
 
 def test_stages_keep_the_columns_of_documents(spark, corpus):

@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row."""
-    return sharding.shard_documents(docs)
+    """Each row with its shard and its slot there: one pass of the mixture after the other, in mixing's order."""
+    return sharding.training_shards(docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_benchmark), ("mixing", mix_sources), ("sharding", deal_shards)]

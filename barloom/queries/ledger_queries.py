@@ -250,8 +250,8 @@ BENCH = f"""SELECT v.config, m.bar_idx, mark / first_value(mark) OVER (PARTITION
 # Shares and cash, entry after entry: sales first, then purchases, fewest shares first, as far as the cash goes.
 _CAPPED = {
     "dec": _DEC, "win": window_rows({0: DEAR, 1: DEAR}),
-    "full": "SELECT config, bar_idx, ticker, weight / 0.95::DOUBLE AS weight FROM book",
-    **{k: v for k, v in ledger_steps("full", "win", "dec").items() if k in ("ent", "now", "legs")},
+    "wholly": "SELECT config, bar_idx, ticker, weight / 0.95::DOUBLE AS weight FROM book",
+    **{k: v for k, v in ledger_steps("wholly", "win", "dec").items() if k in ("ent", "now", "legs")},
     "per": """
         SELECT e.config, e.entry_no, e.entry_idx, e.until_idx, pen, list({'t': ticker, 'w': w, 'ref': ref}) FILTER (ref IS NOT NULL) AS legs
         FROM ent e LEFT JOIN legs l ON l.config = e.config AND l.entry_no = e.entry_no GROUP BY ALL""",

@@ -1,15 +1,18 @@
 """Scored articles and the daily features built from them."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import per_day
 from barloom.functions.text import with_scores
 from barloom.operators.panel import with_features
 from barloom.operators.schedule import news_session
+from barloom.session import cut_lineage
 from barloom.sources.lexicon import Lexicon
 
 NEWS_FEATURES = ["news_tone_sum", "news_neg_sum", "news_count"]
+SESSION_LAG = 14   # days; no run of holidays is longer
 
 
 def article_text():
@@ -65,3 +68,35 @@ def rescore(news: DataFrame, months: DataFrame, lexicon: Lexicon, path: str) ->
     scored = score_articles(todo, lexicon)
     scored.withColumn("month", F.date_format("created_at", "yyyy-MM")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+
+def refresh_scores(spark: SparkSession, news: DataFrame, months: DataFrame, lexicon: Lexicon, path: str) -> DataFrame:
+    """`rescore`, and the sessions (one column) whose articles are other ones or score differently than before.
+
+    Only the listed months of the score table are read; their number is that of a history's months.
+    """
+    listed = [r["month"] for r in months.select("month").distinct().collect()]
+
+    def stored() -> DataFrame:
+        table = spark.read.parquet(path).filter(F.col("month").isin(listed))
+        return cut_lineage(table.select("id", "session", F.xxhash64("session", F.array_sort("symbols"), "tone", "negativity").alias("mark")))
+
+    before = stored().select(F.col("id").alias("old_id"), F.col("session").alias("old_session"), F.col("mark").alias("old_mark"))
+    rescore(news, months, lexicon, path)
+    both = stored().join(before, F.col("id") == F.col("old_id"), "full").filter(~F.col("mark").eqNullSafe(F.col("old_mark")))
+    return both.select(F.explode(F.array("session", "old_session")).alias("session")).filter("session IS NOT NULL").distinct()
+
+
+def refresh_features(features: DataFrame, scored: DataFrame, sessions: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """`sentiment_by_ticker` after a refresh of the scores: the changed sessions are summed anew, the others stay as they are.
+
+    An article belongs to a session at most `SESSION_LAG` days after it was made, so of a score table stored by month only the
+    months that reach into the changed sessions are read. The sums equal those of a full rebuild to the last bit that
+    their order of addition allows.
+    """
+    spans = sessions.select(F.explode(F.array("session", F.date_sub("session", SESSION_LAG))).alias("day"))
+    listed = [r["month"] for r in spans.select(F.date_format("day", "yyyy-MM").alias("month")).distinct().collect()]
+    near = scored.filter(F.col("month").isin(listed)) if "month" in scored.columns else scored
+    fresh = sentiment_by_ticker(near.join(per_day(sessions), "session", "left_semi"), universe)
+    kept = features.join(per_day(sessions.withColumnRenamed("session", "date")), "date", "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh)

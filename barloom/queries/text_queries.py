@@ -1,11 +1,14 @@
 """Tokens, word-list scores and daily news features."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.functions import text as T
 from barloom.operators import sentiment as X
 from barloom.queries.fixtures import CTES, Market, r6, r6c, sql
+from barloom.session import cut_lineage, shared_folder
 from barloom.sources import news as N
 from barloom.sources.lexicon import NEGATORS, Lexicon
 
@@ -71,8 +74,22 @@ def unscored_months(spark, folder):
     return X.unscored_months(raw, scored)
 
 
+def refreshed_features(spark, folder):
+    """Stories of one year lose their summary: their months are scored again and the changed sessions' features renewed."""
+    m = Market(spark, folder)
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    news = cut_lineage(N.with_month(N.normalize_news(m.raw_news)))
+    X.rescore(news, news.select("month").distinct(), LEXICON, path)
+    features = cut_lineage(X.sentiment_by_ticker(spark.read.parquet(path)))
+    touched = (F.col("id") % 3 == 0) & (F.year("created_at") == 1997)
+    edited = news.withColumn("summary", F.when(touched, "").otherwise(F.col("summary")))
+    sessions = X.refresh_scores(spark, edited, news.filter(touched).select("month"), LEXICON, path)
+    out = X.refresh_features(features, spark.read.parquet(path), sessions)
+    return out.select("date", "ticker", *[r6c(c).alias(c) for c in X.NEWS_FEATURES])
+
+
 QUERIES = {f.__name__: f for f in (
-    tokenize, lexicon_score, lexicon_score_table, tone, score_articles, daily_sentiment, news_feature_info, unscored_months)}
+    refreshed_features, tokenize, lexicon_score, lexicon_score_table, tone, score_articles, daily_sentiment, news_feature_info, unscored_months)}
 
 
 def _listed(words):
@@ -119,7 +136,12 @@ _RATIOS = f"""
     doc_id, {r6('CASE WHEN positive + negative > 0 THEN (positive - negative)::DOUBLE / (positive + negative) ELSE 0.0::DOUBLE END')} AS tone,
     {r6('CASE WHEN n_tokens > 0 THEN negative::DOUBLE / n_tokens ELSE 0.0::DOUBLE END')} AS negativity"""
 
+_EDITED_TOKENS, _ = _counts("id", "headline || '. ' || CASE WHEN id % 3 = 0 AND year(created_at) = 1997 THEN '' ELSE summary END", "news")
+
 ORACLES = {
+    "refreshed_features": sql(f"""
+        SELECT session AS date, ticker, {r6('sum(tone)')} AS news_tone_sum, {r6('sum(negativity)')} AS news_neg_sum, count(*)::DOUBLE AS news_count
+        FROM (SELECT session, unnest(symbols) AS ticker, tone, negativity FROM scored) x GROUP BY ALL""", "scored", news_tokens=_EDITED_TOKENS),
     "tokenize": sql("SELECT tok AS token, count(*) AS n FROM doc_tokens GROUP BY tok", "doc_tokens"),
     "lexicon_score": sql("SELECT * FROM doc_scores", "doc_scores"),
     "lexicon_score_table": sql("SELECT * FROM doc_scores", "doc_scores"),

@@ -33,6 +33,10 @@ class Target:
     entropy: float | None = None
     repeats: float | None = None
 
+    def __post_init__(self) -> None:
+        if (self.entropy is None) == (self.repeats is None):
+            raise ValueError("a target is either an entropy or a number of repeats")
+
 
 def tokens_of(text: Column) -> Column:
     """Words between white space."""

@@ -148,14 +148,17 @@ def _kind(k: int, kind: str, pattern: str, group: int, least: int) -> str:
 
 
 _ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-_MORE = [("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:([A-Za-z0-9+/=:,\x20\x09-\x0D]+)-----END [A-Z ]*PRIVATE KEY-----)?"
+_MORE = [("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
          ("github", "gh[pousr]_[A-Za-z0-9]{36,}"), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}")]
 ORACLES["op5_secrets"] = f"""
 WITH f AS ({_kind(0, 'assign', _ASSIGN, 1, 8)} UNION ALL {_kind(1, 'access', 'AKIA[A-Z0-9]+', 0, 16)} UNION ALL {_kind(2, 'hex', '[0-9a-f]+', 0, 32)}
-{''.join(f' UNION ALL {_kind(3 + k, kind, pattern, 0, 1)}' for k, (kind, pattern) in enumerate(_MORE))}),
+
+ UNION ALL SELECT doc_id, source, k, kind, matched, coalesce(nullif(regexp_replace(value, '[\\x20\\x09-\\x0D]', '', 'g'), ''), '{secrets.HEADER}') AS value, s FROM ({_kind(3, 'pem', _PEM, 1, 0)}) p
+{''.join(f' UNION ALL {_kind(4 + k, kind, pattern, 0, 1)}' for k, (kind, pattern) in enumerate(_MORE))}),
 o AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT source || chr(10) || lang) AS repositories FROM f JOIN documents USING (doc_id, source) GROUP BY value),
 c AS (SELECT value, n, -sum(q / n * log2(q / n)) AS bits FROM (SELECT value, length(value) AS n, ch, CAST(count(*) AS DOUBLE) AS q FROM (SELECT value, unnest(string_split(value, '')) AS ch FROM (SELECT DISTINCT value FROM f) a) b GROUP BY value, ch) e GROUP BY value, n),
-v AS (SELECT doc_id, CAST(count(*) FILTER (WHERE owners >= 3) AS BIGINT) AS n_copied, CAST(count(*) FILTER (WHERE owners < 3 AND n >= 16 AND bits >= 3) AS BIGINT) AS n_live,
+v AS (SELECT doc_id, CAST(count(*) FILTER (WHERE owners >= 3) AS BIGINT) AS n_copied, CAST(count(*) FILTER (WHERE owners < 3 AND n >= 16 AND bits >= 3 AND value <> '{secrets.HEADER}') AS BIGINT) AS n_live,
              max(owners) AS most_owners, max(repositories) AS most_repositories FROM (SELECT DISTINCT doc_id, value FROM f) a JOIN o USING (value) JOIN c USING (value) GROUP BY doc_id),
 s AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
              string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(matched) AS BIGINT), ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base,

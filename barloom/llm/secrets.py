@@ -4,7 +4,11 @@ Candidates are found row by row; each candidate's hashed value is then counted o
 repositories and owners. A value that many owners hold is a copied example; one that few hold and that looks random
 is a live-looking credential of its owner. Values leave the scan only as hashes.
 
-Nulls and empty texts have no candidates. Repeated rows are separate rows of one owner. A null owner or repository
+The corpus tables name no repository, so `repository` is a column that divides an owner's documents (the language, in the
+registered query). A private key counts by its body up to the END line.
+
+Nulls and empty texts have no candidates. Texts of any length are scanned whole, and an empty table gives none. Other columns
+of `docs` are not read. Repeated rows are separate rows of one owner. A null owner or repository
 counts as one owner or repository of its own.
 """
 from __future__ import annotations
@@ -27,12 +31,13 @@ PATTERNS = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8, ("passw", "secret", "token", "api")),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 16, ("AKIA",)),
     "hex": (re.compile(r"[0-9a-f]{32,}"), 0, 32, ()),
-    "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1, ("PRIVATE KEY-----",)),
+    "pem": (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:([A-Za-z0-9+/=:,\x20\x09-\x0D]+)-----END [A-Z ]*PRIVATE KEY-----)?"), 1, 0, ("PRIVATE KEY-----",)),
     "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0, 1, ("eyJ",)),
     "github": (re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     "slack": (re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 1, ("xox",)),
 }
 BASE = ("assign", "access", "hex")
+HEADER = "-----BEGIN PRIVATE KEY-----"   # stands for every private key without a body
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("random", pa.bool_())])
 SPAN_TYPE = "array<struct<kind:string,start:bigint,end:bigint,value:string,random:boolean>>"
 
@@ -53,9 +58,10 @@ def find_secrets(text: str | None) -> list[tuple]:
         if needs and not any(n in (lower if kind == "assign" else text) for n in needs):
             continue
         for m in pattern.finditer(text):
-            value = m[group]
+            # A private key is its body, however it is wrapped; a header without one is the same placeholder everywhere.
+            value = m[group] if kind != "pem" else "".join((m[1] or "").split()) or HEADER
             if len(value) >= least:
-                found.append((m.start(), k, m.end(), hashlib.sha256(value.encode()).hexdigest(), looks_random(value)))
+                found.append((m.start(), k, m.end(), hashlib.sha256(value.encode()).hexdigest(), value != HEADER and looks_random(value)))
     return [(KINDS[k], s, e, v, r) for s, k, e, v, r in sorted(found)]
 
 

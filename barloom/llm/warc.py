@@ -81,16 +81,19 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """Uncompressed pieces of a gzip file of one or more members."""
-    unpack = zlib.decompressobj(GZIP)
+    """Uncompressed pieces of a gzip file of one or more members. A member that ends early, its checksum included, is an error."""
+    unpack, begun = zlib.decompressobj(GZIP), False
     while data := stream.read(READ):
         while data:
+            begun = True
             yield unpack.decompress(data)
             data = unpack.unused_data
             if unpack.eof:
-                unpack = zlib.decompressobj(GZIP)
+                unpack, begun = zlib.decompressobj(GZIP), False
             else:
                 break
+    if begun:
+        raise ValueError("the gzip stream ends before its trailer")
 
 
 RECORDS = "archive string, ordinal bigint, key bigint, digest string, bytes bigint"
@@ -114,10 +117,11 @@ def writer(folder: str, archive_bytes: int, level: int):
                 fields = {"WARC-Type": "response", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": "1970-01-01T00:00:00Z",
                           "WARC-Target-URI": " ".join((url or "").split()), "WARC-Source-Key": "" if key is None else str(key),
                           "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
-                for piece in record(fields, [http, payload]):
+                pieces = record(fields, [http, payload])
+                for piece in pieces:
                     out.write(pack.compress(piece))
                 rows.append((name, ordinal, key, digest, len(payload)))
-                written, ordinal = written + len(payload), ordinal + 1
+                written, ordinal = written + sum(map(len, pieces)), ordinal + 1   # headers count: an archive of empty pages ends, too
                 if written >= archive_bytes:
                     out.write(pack.flush())
                     out.close()

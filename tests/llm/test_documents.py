@@ -231,6 +231,22 @@ def test_secrets(spark):
     assert secrets.secret_report(docs.limit(0)).count() == 0
 
 
+def test_private_keys_count_by_their_bodies(spark):
+    def pem(body, kind="RSA "):
+        return f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+
+    bodies = ["MIIEowIBAAKCAQEA" + base64.b64encode(hashlib.sha512(str(k).encode()).digest()).decode() for k in range(6)]
+    rows = [(k, f"key: {pem(bodies[k])} end", f"owner{k}") for k in range(5)]
+    rows += [(10 + k, "x " + pem(bodies[5] if k else bodies[5][:20] + "\r\n " + bodies[5][20:]), f"o{k}") for k in range(4)]   # one example, wrapped in two ways
+    rows += [(20 + k, "-----BEGIN PRIVATE KEY----- ...", f"p{k}") for k in range(2)] + [(30, pem("AAAA") + pem("BBBB", ""), "q"), (31, "-----BEGIN PRIVATE KEY-----" * 3000 + "A" * 100_000, "r")]
+    by = {r.doc_id: r for r in secrets.secret_report(documents(spark, rows)).collect()}
+    assert all((by[k].n_copied, by[k].n_live, by[k].most_owners) == (0, 1, 1) for k in range(5))   # five keys of five owners
+    assert all((by[10 + k].n_copied, by[10 + k].n_live, by[10 + k].most_owners) == (1, 0, 4) for k in range(4))
+    assert all(by[20 + k].n_live == 0 for k in range(2)) and len(by[31].found) == 3000
+    assert [(f.start, f.end) for f in by[0].found if f.kind == "pem"] == [(5, 5 + len(pem(bodies[0])))]
+    assert [f.kind for f in by[30].found] == ["pem", "pem"]
+
+
 # near duplicates
 
 def plain_components(rows, percent=85):
@@ -422,6 +438,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.normalise(warc.write_archives(pages.limit(0), folder), folder), folder).count() == 0
 
 
+def test_damaged_streams_are_an_error():
+    import gzip
+    import io
+    whole = gzip.compress(b"".join(warc.record({"WARC-Type": "response"}, [b"body"])))
+    assert len(list(warc.split_records(warc.inflate(io.BytesIO(whole + whole))))) == 2
+    for cut in (1, 4, 8, 20):
+        with pytest.raises(ValueError, match="ends"):
+            list(warc.split_records(warc.inflate(io.BytesIO(whole + whole[:-cut]))))
+
+
+def test_archives_of_empty_pages_end(spark, tmp_path):
+    pages = spark.createDataFrame([(k, None, None) for k in range(300)], "page_id long, url string, html string").coalesce(1)
+    records = warc.write_archives(pages, str(tmp_path), archive_bytes=10_000)
+    sizes = [r["count"] for r in records.groupBy("archive").count().collect()]
+    assert max(sizes) < 60 and sum(sizes) == 300
+    got = warc.read_archives(warc.normalise(records, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted(r.key for r in got) == list(range(300)) and {r.bytes for r in got} == {0} and sum(r.type == "response" for r in got) == 1
+
+
+def test_a_mixture_has_one_target():
+    for wrong in ({}, {"entropy": 0.5, "repeats": 2.0}):
+        with pytest.raises(ValueError):
+            mixing.Target(**wrong)
+
+
 def test_warc_members_can_be_read_alone(spark, tmp_path):
     import gzip
     import json

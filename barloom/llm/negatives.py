@@ -16,7 +16,7 @@ ties and large groups of equal vectors lose nothing.
 
 Rows with a null id, label or vector, or with a null or non-finite component take no part. Vectors of different lengths
 are filled up with zeros; empty vectors score 0. Rows that share an id stay rows of their own; none of them is a partner of
-an anchor with that id. Products beyond 2^53 are computed with Python integers, and a score beyond 64 bits raises an
+an anchor with that id. Products beyond 2^53 are computed with Python integers, and a score beyond 62 bits raises an
 OverflowError. Anchors without positives, and positives whose window is empty (all negative scores), return nothing.
 Columns other than the three named are not read.
 """
@@ -119,7 +119,7 @@ class Index:
         if floor.min() <= 0:   # no norm is below such a floor: nothing can be left out
             s = x @ q.T
             row, anchor = np.nonzero((s >= floor).astype(bool))
-            return row, anchor, s[row, anchor]
+            return row, anchor, in_range(s[row, anchor])
         before_q, panels = norms(q), x.shape[1] // PANEL
         least = floor - 1e-9 * floor - 1e-6   # bounds are rounded, floors are not
         reach = (before_q / least[:, None]).max(0)
@@ -141,7 +141,14 @@ class Index:
             more = start[row] > p
             s[more] += (x[row[more], p * PANEL:(p + 1) * PANEL] * q[anchor[more], p * PANEL:(p + 1) * PANEL]).sum(1)
         good = (s >= floor[anchor]).astype(bool)
-        return row[good], anchor[good], s[good]
+        return row[good], anchor[good], in_range(s[good])
+
+
+def in_range(scores: np.ndarray) -> np.ndarray:
+    """The scores, which the windows' bounds and the result's columns must be able to hold."""
+    if scores.dtype == object and any(abs(s) >= ANY for s in scores):
+        raise OverflowError("a score is beyond 62 bits")
+    return scores
 
 
 def norms(x: np.ndarray) -> np.ndarray:

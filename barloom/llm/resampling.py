@@ -47,11 +47,15 @@ def bucket_table(docs: DataFrame, key: str, text: str, p: Params) -> DataFrame:
     def bucket(feature: Column) -> Column:
         return (F.crc32(feature.cast("binary")) % p.buckets).cast("int")
 
+    def run_of(n: int):
+        return lambda i: bucket(F.concat_ws(" ", *[F.get("w", i + j) for j in range(n)]))
+
     rows = docs.select(F.monotonically_increasing_id().alias("row"), column(key).alias("key"), words(column(text)).alias("w"))
     found = [F.transform("w", bucket)]
     for n in range(2, p.longest + 1):
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        found.append(F.transform(at, lambda i, n=n: bucket(F.array_join(F.slice("w", i, n), " "))))
+        at = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
+        # Single elements are read in constant time; slices would copy the whole array for each run of a very long text.
+        found.append(F.transform(at, run_of(n)))
     return cut_lineage(rows.select("row", "key", F.size("w").cast("long").alias("n_words"), (F.concat(*found) if len(found) > 1 else found[0]).alias("b")))
 
 

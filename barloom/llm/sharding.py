@@ -70,7 +70,7 @@ def training_shards(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
 
     Equal rows are the passes that mixing takes of a document, so they are numbered (epoch, from 0), and within a shard
     the slots run through one epoch after the other, each in the order of mixing's permutation: `place_of` with the same
-    seed. Sources are mixed within an epoch and a document's passes lie an epoch apart. Only narrow rows are sorted; the
+    seed. Sources are mixed within an epoch and a document's passes lie in epochs of their own (one may end where the next begins). Only narrow rows are sorted; the
     texts move once. Added columns: epoch, shard, slot, grown_shard (with one shard more), size and text_crc32, with
     underscores appended where `docs` has such a name. Nulls count as in `shard_documents`.
     """

@@ -61,7 +61,8 @@ def test_pipeline_matches_plain_python(spark, corpus):
     for s in range(8):
         line = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
         assert all(plain[r.doc_id] == s for r in line) and [r.epoch for r in line] == sorted(r.epoch for r in line)
-        assert all(a.doc_id != b.doc_id for a, b in zip(line, line[1:]))   # no document stands next to itself
+        # No document stands next to itself, but that it may end one pass and begin the next.
+        assert all(a.doc_id != b.doc_id or (a.epoch, b.epoch) == (0, 1) for a, b in zip(line, line[1:]))
         for e in (0, 1):
             assert [r.doc_id for r in line if r.epoch == e] == sorted((r.doc_id for r in line if r.epoch == e), key=lambda k: int(hashlib.md5(f"0|{e}|{k}".encode()).hexdigest()[:15], 16))
 

@@ -21,6 +21,28 @@ def trailing(bars: int) -> WindowSpec:
     return by_ticker().rowsBetween(-(bars - 1), 0)
 
 
+def in_ticks(price: Column | str) -> Column:
+    """A price in whole hundred-millionths. Sums of such numbers are exact, in any order; NaN is missing."""
+    price = F.col(price) if isinstance(price, str) else price
+    return F.when(~F.isnan(price), F.rint(price * F.lit(1e8)).cast("long"))
+
+
+def with_running(grid: DataFrame, squares: bool = False) -> DataFrame:
+    """Add the close in ticks (`_tick`) and its running count `_n`, sum `_s` and, if wanted, sum of squares `_q`."""
+    upto = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+    wide = F.col("_tick").cast("decimal(19,0)")
+    out = grid.withColumn("_tick", in_ticks("close"))
+    return out.withColumns({
+        "_n": F.count("_tick").over(upto), "_s": F.coalesce(F.sum("_tick").over(upto), F.lit(0).cast("long")),
+        **({"_q": F.coalesce(F.sum(wide * wide).over(upto), F.lit(0).cast("decimal(38,0)"))} if squares else {}),
+    })
+
+
+def recent(running: str, bars: int) -> Column:
+    """What a running total of `with_running` gained in the last `bars` rows: the total of the trailing frame, whatever its length."""
+    return F.col(running) - F.coalesce(F.lag(running, bars).over(by_ticker()), F.lit(0).cast("long"))
+
+
 def panel_slice(grid: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows between two dates, both included, with positions counted from the new first bar."""
     out = grid

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import per_day, safe_ratio
-from barloom.operators.panel import by_ticker, full_window, trailing, with_eligible
+from barloom.operators.panel import by_ticker, full_window, recent, trailing, with_eligible, with_running
 from barloom.operators.sizing import pick_top
 
 
@@ -44,29 +44,47 @@ def apply_market_filter(rows: DataFrame, gate: DataFrame | None) -> DataFrame:
 
 
 def with_sma_crossover(grid: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
-    """Add `score`: fast mean over slow mean less one, where the fast mean is above. Both need full windows."""
+    """Add `score`: fast mean over slow mean less one, where the fast mean is above. Both need full windows.
+
+    The means are compared as sums of closes in ticks, so that equal ones are equal whatever the order of addition.
+    """
     if fast >= slow:
         raise ValueError(f"a fast average over {fast} bars is not shorter than a slow one over {slow}")
-    out = _ready(grid).withColumns({
-        "sma_fast": full_window(F.col("close"), trailing(fast), fast),
-        "sma_slow": full_window(F.col("close"), trailing(slow), slow),
+    ready = _ready(grid)
+    out = (ready if "_s" in ready.columns else with_running(ready)).withColumns({
+        f"_{side}{of}": recent(of, bars) for side, bars in (("fast", fast), ("slow", slow)) for of in ("_n", "_s")})
+    mean = {side: F.col(f"_{side}_s").cast("double") / F.lit(float(bars)) for side, bars in (("fast", fast), ("slow", slow))}
+    above = F.col("_fast_s").cast("decimal(19,0)") * slow > F.col("_slow_s").cast("decimal(19,0)") * fast
+    up = F.col("eligible") & (F.col("_fast_n") == fast) & (F.col("_slow_n") == slow) & above
+    scored = out.withColumns({
+        "sma_fast": F.when(F.col("_fast_n") == fast, mean["fast"] / F.lit(1e8)), "sma_slow": F.when(F.col("_slow_n") == slow, mean["slow"] / F.lit(1e8)),
+        "score": F.when(up, safe_ratio(mean["fast"], mean["slow"]) - 1.0),
     })
-    up = F.col("eligible") & (F.col("sma_fast") > F.col("sma_slow"))
-    return out.withColumn("score", F.when(up, safe_ratio(F.col("sma_fast"), F.col("sma_slow")) - 1.0))
+    return scored.select(*ready.columns, "sma_fast", "sma_slow", "score")
 
 
 def with_zscore(grid: DataFrame, lookback: int = 20, trend_sma: int = 100) -> DataFrame:
     """Add `z`, the close's distance from its trailing mean in standard deviations, and `uptrend`.
 
-    Means skip missing closes; a flat window has no z-score.
+    Means skip missing closes; a flat window has no z-score. Both come from exact sums of closes in ticks, so no order of
+    addition decides.
     """
-    recent, trend = trailing(lookback), trailing(trend_sma)
-    sd = F.stddev_samp("close").over(recent)
-    return _ready(grid).withColumns({
-        "z": safe_ratio(F.col("close") - F.avg("close").over(recent), sd),
-        "uptrend": F.coalesce(F.col("close") > F.avg("close").over(trend), F.lit(False)),
+    ready = _ready(grid)
+    sums = with_running(ready, squares=True).withColumns({
+        "_zn": recent("_n", lookback), "_zs": recent("_s", lookback), "_zq": recent("_q", lookback),
+        "_tn": recent("_n", trend_sma), "_ts": recent("_s", trend_sma),
     })
 
+    def wide(col: str) -> Column:
+        return F.col(col).cast("decimal(38,0)")
+
+    spread = wide("_zn") * wide("_zq") - wide("_zs") * wide("_zs")   # n (n - 1) times the variance
+    out = sums.withColumn("_spread", spread.cast("double")).withColumn("_off", (F.col("_tick") * F.col("_zn") - F.col("_zs")).cast("double"))
+    z = F.col("_off") / F.sqrt(F.col("_spread") * F.col("_zn") / (F.col("_zn") - 1))
+    return out.select(
+        *ready.columns, F.when(F.col("_spread") > 0, z).alias("z"),
+        F.coalesce(F.col("_tick") * F.col("_tn") > F.col("_ts"), F.lit(False)).alias("uptrend"))
+
 
 def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: float = 0.0, max_names: int = 10,
                             runs: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -79,11 +97,13 @@ def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: fl
     its first exit. The dates are then cut into segments: one starts wherever every surviving name enters on that very
     date, because what was held before cannot matter there. Segments are folded in parallel.
 
+    z counts to nine decimals, so windows of the same shape at different prices tie and go by ticker.
+
     With `runs` (keys, date) each run, named by `keys`, holds nothing before the first of its dates: rows that cannot matter
     in any run are removed once, the rest is copied to the runs that have its date, and a run starts a segment of its own.
     """
     ok = F.col("eligible") & F.col("z").isNotNull()
-    rows = scored.select(
+    rows = scored.withColumn("z", F.round("z", 9)).select(
         "date", "ticker", "z",
         F.coalesce(ok & F.col("uptrend") & (F.col("z") < z_entry), F.lit(False)).alias("entry"),
         F.coalesce(ok & (F.col("z") < z_exit), F.lit(False)).alias("stay"))

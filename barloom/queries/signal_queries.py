@@ -167,9 +167,17 @@ CTES["sma"] = (["grid"], f"""
     SELECT ticker, date, f / s - 1 AS score FROM (
       SELECT ticker, date, close, avg(close) {w(50)} AS f, avg(close) {w(200)} AS s, count(close) {w(200)} AS n FROM grid) x
     WHERE n = 200 AND f > s AND close IS NOT NULL""")
-CTES["zs"] = (["grid"], f"""
-    SELECT ticker, date, bar_idx, CASE WHEN hi > lo THEN (close - m) / sd END AS z, coalesce(close > t, false) AS uptrend, close IS NOT NULL AS ok FROM (
-      SELECT *, avg(close) {w(20)} AS m, stddev_samp(close) {w(20)} AS sd, min(close) {w(20)} AS lo, max(close) {w(20)} AS hi, avg(close) {w(100)} AS t FROM grid) x""")
+CTES["ticks"] = (["grid"], "SELECT *, CAST(round(close * 1e8::DOUBLE) AS BIGINT) AS x FROM grid")   # sums of whole numbers are exact in any order
+CTES["sma_exact"] = (["ticks"], f"""
+    SELECT ticker, date, (f::DOUBLE / 50) / (s::DOUBLE / 200) - 1 AS score FROM (
+      SELECT ticker, date, x, CAST(sum(x) {w(50)} AS BIGINT) AS f, CAST(sum(x) {w(200)} AS BIGINT) AS s, count(x) {w(200)} AS n FROM ticks) y
+    WHERE n = 200 AND f::HUGEINT * 200 > s::HUGEINT * 50 AND x IS NOT NULL""")
+CTES["zs_exact"] = (["ticks"], f"""
+    SELECT ticker, date, bar_idx, CASE WHEN v > 0 THEN (n * x - s)::DOUBLE / sqrt(v::DOUBLE * n / (n - 1)) END AS z,
+           coalesce(x * tn > ts, false) AS uptrend, x IS NOT NULL AS ok FROM (
+      SELECT *, n * q - s * s AS v FROM (
+        SELECT *, count(x) {w(20)} AS n, sum(x) {w(20)} AS s, sum(x::HUGEINT * x) {w(20)} AS q, count(x) {w(100)} AS tn, sum(x) {w(100)} AS ts FROM ticks) a) b""")
+CTES["zs"] = (["zs_exact"], "SELECT * REPLACE (round(z, 9) AS z) FROM zs_exact")   # windows of the same shape tie
 
 
 def book_sql(book: str) -> dict[str, str]:
@@ -218,8 +226,8 @@ ORACLES = {
     "momentum_score": sql(f"""
         SELECT ticker, date, {r6('score')} AS score FROM mom JOIN member_grid g USING (ticker, date) WHERE g.member""", "mom", "member_grid"),
     "market_filter": sql("SELECT date, risk_on FROM gate", "gate"),
-    "sma_crossover": sql(f"SELECT ticker, date, {r6('score')} AS score FROM sma", "sma"),
-    "zscore": sql(f"SELECT ticker, date, {r6('z')} AS z, uptrend FROM zs", "zs"),
+    "sma_crossover": sql(f"SELECT ticker, date, {r6('score')} AS score FROM sma_exact", "sma_exact"),
+    "zscore": sql(f"SELECT ticker, date, {r6('z')} AS z, uptrend FROM zs_exact", "zs_exact"),
     "mean_reversion": sql("""
         SELECT date, unnest(held) AS ticker FROM walk JOIN cal USING (bar_idx)""", "zs", "cal", recursive=True,
         cands="""

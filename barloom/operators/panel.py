@@ -88,11 +88,12 @@ def with_membership(grid: DataFrame, calendar: DataFrame, membership: DataFrame)
     """Add `member`: true when the ticker belonged to the latest snapshot at or before the date.
 
     The as-of step runs on calendar dates and snapshots only. What remains is a join with a ticker's disjoint intervals on the
-    key that the panel is already partitioned by; each row meets at most one of them.
+    key that the panel is already partitioned by; each row meets at most one of them. The intervals of a task's names are few
+    and go into a hash table, so the panel is not sorted for it.
     """
     spans = membership_intervals(calendar, membership).select(F.col("ticker").alias("_name"), "first", "last")
     inside = (F.col("ticker") == F.col("_name")) & F.col("date").between(F.col("first"), F.col("last"))
-    return grid.join(spans, inside, "left").withColumn("member", F.col("_name").isNotNull()).drop("_name", "first", "last")
+    return grid.join(spans.hint("shuffle_hash"), inside, "left").withColumn("member", F.col("_name").isNotNull()).drop("_name", "first", "last")
 
 
 def all_members(membership: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

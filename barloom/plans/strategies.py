@@ -126,7 +126,7 @@ def sma_crossover(panel: Panel, configs: Sequence[dict], params: dict) -> DataFr
     ready = panel.ready()
     named = [{**c, "top_n": c["max_names"]} for c in configs]
     wanted = sorted({(int(c["fast"]), int(c["slow"])) for c in configs})
-    scored = ready
+    scored = P.with_running(ready)   # shared by all lengths
     for fast, slow in wanted:
         scored = G.with_sma_crossover(scored, fast, slow).withColumnRenamed("score", f"score_{fast}_{slow}").drop("sma_fast", "sma_slow")
     slim = scored.select("date", "bar_idx", "ticker", *[f"score_{a}_{b}" for a, b in wanted])

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import per_day
 from barloom.operators import panel as P
-from barloom.session import cut_lineage
+from barloom.session import BY_TICKER, cut_lineage
 from barloom.sources import bars as B
 
 MARKET = "SUPPLIER#000000001"
+NAMES_PER_TASK = 256   # with ten years of days some half a million rows
 
 
 class Market:
@@ -24,6 +25,7 @@ class Market:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set(*BY_TICKER)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -34,6 +36,12 @@ class Market:
         cores = self.spark.sparkContext.defaultParallelism
         return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
+    @cached_property
+    def parts(self) -> int:
+        """Partitions of the panel. Names are few bytes until each becomes a row for every day, so a number of partitions that
+        suits the size of the shuffle lets a task's panel grow with the names; this one grows with them itself."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.table("supplier").count() // NAMES_PER_TASK))
+
     @cached_property
     def days(self) -> DataFrame:
         """Weekdays with line items, numbered."""
@@ -49,19 +57,22 @@ class Market:
             (F.floor(F.sum(F.round(F.col("l_tax") * 100).cast("long")) * F.lit(10.0) / F.count("*")) - 40).alias("gap_bp"),
             F.sum("l_quantity").cast("long").alias("vol"),
         )
+        # a name's days with line items, and one row before all days; each then emits the days up to the next one
         last = self.days.agg(F.max("bar_idx")).scalar()
-        # spread suppliers before they multiply: the cumulative sum below needs this partitioning anyway
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        cells = self.table("supplier").repartition(parts, "s_suppkey").select(
-            F.col("s_suppkey").alias("k"), F.upper("s_name").alias("ticker"),
-            F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bar_idx"),
-        )
-        upto = Window.partitionBy("k").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-        moves = cells.join(per_day(self.days.select("bar_idx", "date")), "bar_idx").join(lines, ["k", "date"], "left")
-        price = moves.withColumns({
-            "c": F.lit(100.0) * F.exp(F.sum(F.coalesce("r_bp", F.lit(0))).over(upto) / F.lit(10000.0)),
-            "gap_bp": F.coalesce("gap_bp", F.lit(0)),
-            "vol": F.coalesce("vol", F.lit(10)),
+        names = self.table("supplier").select(F.col("s_suppkey").alias("k"), F.upper("s_name").alias("ticker"))
+        events = lines.join(per_day(self.days.select("bar_idx", "date")), "date").drop("date").join(names, "k")
+        before = names.withColumns({"bar_idx": F.lit(-1).cast("long"), **{c: F.lit(None).cast("long") for c in ("r_bp", "gap_bp", "vol")}})
+        in_order = Window.partitionBy("ticker", "k").orderBy("bar_idx")
+        placed = events.unionByName(before).repartition(self.parts, "ticker").withColumns({
+            "total": F.sum(F.coalesce("r_bp", F.lit(0))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+            "own": F.col("bar_idx"), "from": F.greatest("bar_idx", F.lit(0)), "to": F.coalesce(F.lead("bar_idx").over(in_order) - 1, last),
+        }).filter(F.col("from") <= F.col("to"))
+        cells = placed.select("ticker", "k", "total", "own", "gap_bp", "vol", F.explode(F.sequence("from", "to")).alias("bar_idx"))
+        here = F.col("own") == F.col("bar_idx")
+        price = cells.join(per_day(self.days.select("bar_idx", "date")), "bar_idx").withColumns({
+            "c": F.lit(100.0) * F.exp(F.col("total") / F.lit(10000.0)),
+            "gap_bp": F.coalesce(F.when(here, F.col("gap_bp")), F.lit(0)),
+            "vol": F.coalesce(F.when(here, F.col("vol")), F.lit(10)),
         })
         hole = (
             ((F.col("k") % 5 == 4) & (F.col("bar_idx") < 300))

@@ -8,7 +8,7 @@ their smoothed share of all such words, so every word of every text has a probab
 
 The network learns from all training documents: in each of `rounds`, every partition learns from its share of them,
 starting from the same weights, and the weights are averaged by the tokens learned from. Texts are read whole and the state
-is carried through them; gradients, cut at windows of `steps` tokens, are taken in one window in `share` (see gru.Model). The
+is carried through them; gradients, cut at windows of `steps` tokens, are taken in every window (`share` above 1: in one window of so many, see gru.Model). The
 weights (bounded by `vocabulary` and `hidden`) are all that reaches the driver.
 
 Null and empty texts have the end token alone. Very long texts stay one row; they are scored window by window. A null key
@@ -48,7 +48,7 @@ class Params:
     classes: int = 40
     steps: int = 16
     slots: int = 128
-    share: int = 8
+    share: int = 1
     rounds: int = 4
     rate: float = 0.1
     squares: float = 1e-3

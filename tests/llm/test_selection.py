@@ -164,6 +164,13 @@ def model(seed=2, tokens=11):
     return gru.Model.start(gru.Shape(tokens, 5, 4, gru.classes(counts, 4)), counts, seed)
 
 
+def test_every_window_is_learned_from():
+    p = recurrent.Params()
+    texts = [np.arange(n) % 11 for n in (1, 5, 700, 90, 33)]
+    seen = gru.Learner(model(), np.full(model().flat().size, p.squares), p.rate).learn(texts, 10, 2, p.steps, p.share)
+    assert seen == sum(len(t) for t in texts)
+
+
 def test_probabilities_sum_to_one():
     m = model()
     h = np.random.default_rng(0).normal(size=(7, 5)).astype(np.float32)

@@ -16,7 +16,7 @@ from barloom.session import BY_TICKER, cut_lineage
 from barloom.sources import bars as B
 
 MARKET = "SUPPLIER#000000001"
-NAMES_PER_TASK = 256   # with ten years of days some half a million rows
+NAMES_PER_TASK = 128   # with ten years of days some quarter of a million rows
 
 
 class Market:
@@ -207,7 +207,7 @@ class Market:
     def materialise(self) -> None:
         """Store the marked panel once, for jobs that read it for signals, fills and valuation."""
         self.days = cut_lineage(self.days)
-        self.marked = self.grid = cut_lineage(P.with_mark(B.align_panel(self.bars, calendar=self.days)))
+        self.marked = self.grid = cut_lineage(P.with_mark(B.align_panel(self.bars, calendar=self.days))).repartition(self.parts, "ticker")
 
 
 # ---- the same tables as SQL: name -> (depends on, select) ---------------------------------------

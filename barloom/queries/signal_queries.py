@@ -11,6 +11,7 @@ from barloom.operators import sizing as K
 from barloom.plans.strategies import Panel, get_strategy
 from barloom.queries.fixtures import CTES, MARKET, Market, r6, r6c, sql
 from barloom.queries.text_queries import featured_grid
+from barloom.session import cut_lineage
 
 
 def stored(spark, folder) -> Market:
@@ -66,8 +67,11 @@ def sentiment_score_neg(spark, folder):
 
 def sentiment_report(spark, folder):
     m = Market(spark, folder)
-    scored = G.with_sentiment_score(featured_grid(m), 250, "tone").withColumn("score", F.round("score", 9))
-    return G.sentiment_report(scored, m.sectors, 5, 3).withColumn("score", r6c("score"))
+    last = m.days.agg(F.max("bar_idx")).scalar()
+    reached = featured_grid(m).filter(F.col("bar_idx") > last - 250)   # all that the windows of the last day hold
+    scored = G.with_sentiment_score(reached, 250, "tone").filter(F.col("bar_idx") == last).withColumn("score", F.round("score", 9))
+    today = cut_lineage(scored.select("date", "ticker", "score", "articles"))   # a row for each name; the report reads it three times
+    return G.sentiment_report(today, m.sectors, 5, 3).withColumn("score", r6c("score"))
 
 
 def buy_and_hold(spark, folder):

@@ -5,6 +5,8 @@ depend on a later one.
 """
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -43,6 +45,12 @@ def recent(running: str, bars: int) -> Column:
     return F.col(running) - F.coalesce(F.lag(running, bars).over(by_ticker()), F.lit(0).cast("long"))
 
 
+def with_recent(grid: DataFrame, lengths: Iterable[int]) -> DataFrame:
+    """Add `_n_<bars>` and `_s_<bars>`: count and sum of the closes in ticks of the last `bars` rows, for all lengths in one frame."""
+    out = grid if "_s" in grid.columns else with_running(grid)
+    return out.withColumns({f"{of}_{bars}": recent(of, bars) for bars in sorted(set(lengths)) for of in ("_n", "_s")})
+
+
 def panel_slice(grid: DataFrame, calendar: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows between two dates, both included, with positions counted from the new first bar."""
     out = grid

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import per_day, safe_ratio
-from barloom.operators.panel import by_ticker, full_window, recent, trailing, with_eligible, with_running
+from barloom.operators.panel import by_ticker, full_window, recent, trailing, with_eligible, with_recent, with_running
 from barloom.operators.sizing import pick_top
 
 
@@ -51,14 +51,14 @@ def with_sma_crossover(grid: DataFrame, fast: int = 50, slow: int = 200) -> Data
     if fast >= slow:
         raise ValueError(f"a fast average over {fast} bars is not shorter than a slow one over {slow}")
     ready = _ready(grid)
-    out = (ready if "_s" in ready.columns else with_running(ready)).withColumns({
-        f"_{side}{of}": recent(of, bars) for side, bars in (("fast", fast), ("slow", slow)) for of in ("_n", "_s")})
-    mean = {side: F.col(f"_{side}_s").cast("double") / F.lit(float(bars)) for side, bars in (("fast", fast), ("slow", slow))}
-    above = F.col("_fast_s").cast("decimal(19,0)") * slow > F.col("_slow_s").cast("decimal(19,0)") * fast
-    up = F.col("eligible") & (F.col("_fast_n") == fast) & (F.col("_slow_n") == slow) & above
+    out = ready if f"_s_{fast}" in ready.columns and f"_s_{slow}" in ready.columns else with_recent(ready, (fast, slow))
+    n, s = ({bars: F.col(f"{of}_{bars}") for bars in (fast, slow)} for of in ("_n", "_s"))
+    mean = {bars: s[bars].cast("double") / F.lit(float(bars)) for bars in (fast, slow)}
+    above = s[fast].cast("decimal(19,0)") * slow > s[slow].cast("decimal(19,0)") * fast
+    up = F.col("eligible") & (n[fast] == fast) & (n[slow] == slow) & above
     scored = out.withColumns({
-        "sma_fast": F.when(F.col("_fast_n") == fast, mean["fast"] / F.lit(1e8)), "sma_slow": F.when(F.col("_slow_n") == slow, mean["slow"] / F.lit(1e8)),
-        "score": F.when(up, safe_ratio(mean["fast"], mean["slow"]) - 1.0),
+        "sma_fast": F.when(n[fast] == fast, mean[fast] / F.lit(1e8)), "sma_slow": F.when(n[slow] == slow, mean[slow] / F.lit(1e8)),
+        "score": F.when(up, safe_ratio(mean[fast], mean[slow]) - 1.0),
     })
     return scored.select(*ready.columns, "sma_fast", "sma_slow", "score")
 

@@ -18,6 +18,7 @@ from barloom.operators import panel as P
 from barloom.operators import schedule as S
 from barloom.operators import signals as G
 from barloom.operators import sizing as K
+from barloom.session import cut_lineage
 from barloom.sources import bars as B
 
 KEYS = ["config", "date"]
@@ -25,11 +26,12 @@ KEYS = ["config", "date"]
 
 @dataclass(frozen=True)
 class Panel:
-    """An aligned grid with its calendar and optional dimensions."""
+    """An aligned grid with its calendar and optional dimensions. `prices` is the grid before features were attached."""
 
     grid: DataFrame
     calendar: DataFrame
     sectors: DataFrame | None = None
+    prices: DataFrame | None = None
 
     @classmethod
     def from_bars(cls, bars: DataFrame, start: str | None = None, end: str | None = None, sectors: DataFrame | None = None,
@@ -42,17 +44,23 @@ class Panel:
             scoped = scoped.filter(F.col("date") <= F.lit(end).cast("date"))
         calendar = B.trading_index(scoped)
         grid = B.align_panel(scoped, min_bars=min_bars, calendar=calendar)
+        prices = grid
         if membership is not None:
             grid = P.with_membership(grid, calendar, membership)
         if features is not None:
             grid = P.with_features(grid, features)
-        return cls(P.with_eligible(grid), calendar, sectors)
+        return cls(P.with_eligible(grid), calendar, sectors, prices)
 
     def ready(self) -> DataFrame:
         """The grid with marks, padded returns and eligibility."""
         grid = self.grid if "eligible" in self.grid.columns else P.with_eligible(self.grid)
         return P.with_padded_returns(grid)
 
+    def returns_of(self, chosen: DataFrame) -> DataFrame:
+        """Padded returns of the names in `chosen`; the others are left out before their rows are framed."""
+        prices = self.grid if self.prices is None else self.prices
+        return P.with_padded_returns(prices).join(chosen.select("ticker").distinct(), "ticker", "left_semi")
+
 
 def expand_grid(grid: dict[str, Sequence[Any]]) -> list[dict[str, Any]]:
     """All combinations of parameter lists, the first parameter varying slowest."""
@@ -69,13 +77,17 @@ def _spread_configs(rows: DataFrame, configs: Sequence[dict], score_of: Callable
     return rows.select(*keep, F.explode(options).alias("_c")).select(*keep, "_c.config", "_c.limit", "_c.score")
 
 
-def _select_and_size(rows: DataFrame, ready: DataFrame, configs: Sequence[dict], params: dict) -> DataFrame:
+def _select_and_size(rows: DataFrame, panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
     """Rank, cap, size and volatility-target the scored decision rows of all parameter sets."""
     most = max(int(c["top_n"]) for c in configs)
     chosen = K.pick_top(rows, most, int(params["max_per_sector"] or 0), KEYS).filter(F.col("rank") <= F.col("limit"))
+    if params["sizing"] == "inverse_vol" or params["vol_target"]:
+        chosen = cut_lineage(chosen)   # at most `most` rows for each decision, whatever the number of names
+        ready = panel.returns_of(chosen)
     if params["sizing"] == "inverse_vol":
         bars = int(params.get("vol_lookback", 60))
-        sized = K.inverse_vol(K.with_selected_vol(chosen, ready, bars, keys=KEYS, keep_path=bool(params["vol_target"])), keys=KEYS)
+        measured = K.with_selected_vol(chosen, ready, bars, keys=KEYS, keep_path=bool(params["vol_target"]))
+        sized = K.inverse_vol(cut_lineage(measured) if params["vol_target"] else measured, keys=KEYS)   # the target reads the book twice
     else:
         sized = K.equal_weight(chosen, keys=KEYS)
     if params["vol_target"]:
@@ -103,15 +115,14 @@ def momentum(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
     slim = scored.select("date", "bar_idx", "ticker", *[f"score_{a}_{b}" for a, b in wanted])
     rows = _at_decisions(slim, panel, params)
     spread = _spread_configs(rows, configs, lambda c: f"score_{int(c['lookback'])}_{int(c['skip'])}", ["date", "bar_idx", "ticker", "sector"])
-    return _select_and_size(spread, ready, configs, params)
+    return _select_and_size(spread, panel, configs, params)
 
 
 def sentiment(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
     if "news_count" not in panel.grid.columns:
         return panel.grid.limit(0).select(F.lit(0).alias("config"), "date", "bar_idx", "ticker", F.lit(0.0).alias("weight"))
-    ready = panel.ready()
     wanted = sorted({int(c["lookback"]) for c in configs})
-    scored = ready
+    scored = panel.ready()
     for lookback in wanted:
         one = G.with_sentiment_score(scored, lookback, params["score"])
         one = G.ranked_sentiment(one, int(params["min_articles"]), params["market_filter"])
@@ -119,20 +130,19 @@ def sentiment(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
     slim = scored.select("date", "bar_idx", "ticker", *[f"score_{n}" for n in wanted])
     rows = _at_decisions(slim, panel, params)
     spread = _spread_configs(rows, configs, lambda c: f"score_{int(c['lookback'])}", ["date", "bar_idx", "ticker", "sector"])
-    return _select_and_size(spread, ready, configs, params)
+    return _select_and_size(spread, panel, configs, params)
 
 
 def sma_crossover(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
-    ready = panel.ready()
     named = [{**c, "top_n": c["max_names"]} for c in configs]
     wanted = sorted({(int(c["fast"]), int(c["slow"])) for c in configs})
-    scored = P.with_running(ready)   # shared by all lengths
+    scored = P.with_recent(panel.ready(), itertools.chain(*wanted))
     for fast, slow in wanted:
         scored = G.with_sma_crossover(scored, fast, slow).withColumnRenamed("score", f"score_{fast}_{slow}").drop("sma_fast", "sma_slow")
     slim = scored.select("date", "bar_idx", "ticker", *[f"score_{a}_{b}" for a, b in wanted])
     rows = _at_decisions(slim, panel, params)
     spread = _spread_configs(rows, named, lambda c: f"score_{int(c['fast'])}_{int(c['slow'])}", ["date", "bar_idx", "ticker", "sector"])
-    return _select_and_size(spread, ready, named, {**params, "max_per_sector": 0, "vol_target": 0})
+    return _select_and_size(spread, panel, named, {**params, "max_per_sector": 0, "vol_target": 0})
 
 
 def mean_reversion(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:

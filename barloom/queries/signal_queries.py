@@ -14,16 +14,17 @@ from barloom.queries.text_queries import featured_grid
 from barloom.session import cut_lineage
 
 
-def stored(spark, folder) -> Market:
-    """The market with its panel written once, for strategies that read it for scores, filter and risk."""
+def dated(spark, folder) -> Market:
+    """The market with its calendar stored, for strategies. They read the panel for scores of all names and for returns of the
+    chosen ones; building it for both costs less than writing it, dealing it by ticker again and sorting it."""
     m = Market(spark, folder)
-    m.materialise()
+    m.days = cut_lineage(m.days)
     return m
 
 
 def panel_of(m: Market, featured: bool = False) -> Panel:
     grid = featured_grid(m) if featured else m.grid
-    return Panel(P.with_eligible(grid), m.days, m.sectors)
+    return Panel(P.with_eligible(grid), m.days, m.sectors, m.grid)
 
 
 def _monthly_scores(m: Market):
@@ -123,18 +124,18 @@ def clean_weights(spark, folder):
 
 
 def momentum_weights(spark, folder):
-    weights = get_strategy("momentum", market_filter=MARKET).weights(panel_of(stored(spark, folder)))
+    weights = get_strategy("momentum", market_filter=MARKET).weights(panel_of(dated(spark, folder)))
     return weights.select("date", "ticker", r6c("weight").alias("weight"))
 
 
 def sentiment_weights(spark, folder):
     strategy = get_strategy("sentiment", market_filter=MARKET, lookback=60, min_articles=2)
-    weights = strategy.weights(panel_of(stored(spark, folder), featured=True))
+    weights = strategy.weights(panel_of(dated(spark, folder), featured=True))
     return weights.select("date", "ticker", r6c("weight").alias("weight"))
 
 
 def sma_weights(spark, folder):
-    weights = get_strategy("sma_crossover", search={"fast": [20, 50], "slow": [100, 200]}, sizing="inverse_vol").weights(panel_of(stored(spark, folder)))
+    weights = get_strategy("sma_crossover", search={"fast": [20, 50], "slow": [100, 200]}, sizing="inverse_vol").weights(panel_of(dated(spark, folder)))
     return weights.select(F.col("config").cast("long").alias("config"), "date", "ticker", r6c("weight").alias("weight"))
 
 

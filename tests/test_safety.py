@@ -243,3 +243,20 @@ def test_every_strategy_is_named_in_the_error():
     with pytest.raises(KeyError, match="momentum"):
         get_strategy("nope")
     assert set(ST.STRATEGIES) >= {"momentum", "sentiment"}
+
+
+def test_lengths_share_one_frame_and_returns_are_of_chosen_names(spark):
+    bars = walk(spark, list("ABC"), 60)
+    panel = Panel.from_bars(bars)
+    sums = P.with_recent(panel.grid, (5, 20, 5))
+    got = {(r.ticker, r.bar_idx): (r._n_5, r._s_5, r._n_20, r._s_20) for r in sums.collect()}
+    close = {(r.ticker, r.bar_idx): r.close for r in panel.grid.collect()}
+    for (t, i), found in got.items():
+        want = []
+        for bars_ in (5, 20):
+            ticks = [round(c * 1e8) for k in range(max(0, i - bars_ + 1), i + 1) if (c := close[t, k]) is not None]
+            want += [len(ticks), sum(ticks)]
+        assert found == tuple(want)
+    chosen = spark.createDataFrame([("B",), ("B",), ("Z",)], "ticker string")
+    some, all_ = panel.returns_of(chosen), panel.ready().filter("ticker = 'B'")
+    assert rows(some.select("ticker", "bar_idx", "pad_ret"), "bar_idx") == rows(all_.select("ticker", "bar_idx", "pad_ret"), "bar_idx") and some.count() == 60

@@ -138,9 +138,18 @@ def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: fl
     return path.select(*keys, "day.date", F.explode("day.held").alias("ticker"))
 
 
+def news_rows(grid: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows that windows of news at decision dates are made of: the dates' own and all with news. The others add nothing to a sum."""
+    news = F.lit(False)
+    for c in ("news_count", "news_tone_sum", "news_neg_sum"):
+        news = news | F.coalesce(F.col(c) != 0, F.lit(False))
+    days = per_day(decisions.select("date", F.lit(True).alias("_decides")))
+    return grid.join(days, "date", "left").filter(F.col("_decides").isNotNull() | news).drop("_decides")
+
+
 def with_sentiment_score(grid: DataFrame, lookback: int = 10, kind: str = "tone") -> DataFrame:
-    """Add `score` and `articles`: mean tone (or minus mean negativity) of the news of the last sessions."""
-    w = trailing(lookback)
+    """Add `score` and `articles`: mean tone (or minus mean negativity) of the news of the last sessions. Rows without news may be missing."""
+    w = by_ticker().rangeBetween(-(lookback - 1), 0)
     articles = F.sum("news_count").over(w)
     total = -F.sum("news_neg_sum").over(w) if kind == "neg" else F.sum("news_tone_sum").over(w)
     return grid.withColumns({"articles": articles, "score": safe_ratio(total, articles)})
@@ -170,6 +179,6 @@ def sentiment_report(scored: DataFrame, sectors: DataFrame, top: int = 10, min_a
 
 
 __all__ = [
-    "apply_market_filter", "buy_and_hold", "market_filter", "mean_reversion_holdings", "pick_top", "ranked_sentiment",
+    "apply_market_filter", "buy_and_hold", "market_filter", "mean_reversion_holdings", "news_rows", "pick_top", "ranked_sentiment",
     "sentiment_report", "with_momentum_score", "with_sentiment_score", "with_sma_crossover", "with_zscore",
 ]

@@ -122,7 +122,7 @@ def sentiment(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
     if "news_count" not in panel.grid.columns:
         return panel.grid.limit(0).select(F.lit(0).alias("config"), "date", "bar_idx", "ticker", F.lit(0.0).alias("weight"))
     wanted = sorted({int(c["lookback"]) for c in configs})
-    scored = panel.ready()
+    scored = G.news_rows(panel.ready(), S.decision_dates(panel.calendar, params["rebalance"]))
     for lookback in wanted:
         one = G.with_sentiment_score(scored, lookback, params["score"])
         one = G.ranked_sentiment(one, int(params["min_articles"]), params["market_filter"])

@@ -260,3 +260,17 @@ def test_lengths_share_one_frame_and_returns_are_of_chosen_names(spark):
     chosen = spark.createDataFrame([("B",), ("B",), ("Z",)], "ticker string")
     some, all_ = panel.returns_of(chosen), panel.ready().filter("ticker = 'B'")
     assert rows(some.select("ticker", "bar_idx", "pad_ret"), "bar_idx") == rows(all_.select("ticker", "bar_idx", "pad_ret"), "bar_idx") and some.count() == 60
+
+
+def test_rows_without_news_may_be_left_out_of_news_windows(spark):
+    bars = walk(spark, list("AB"), 60, holes=False)
+    days = S.decision_dates(B.trading_index(bars), "weekly")
+    dates = [r.date for r in B.trading_index(bars).orderBy("date").collect()]
+    news = spark.createDataFrame([("A", dates[k], 0.1 * k, -0.3, 2.0) for k in (3, 4, 17, 40)], "ticker string, date date, news_tone_sum double, news_neg_sum double, news_count double")
+    panel = Panel.from_bars(bars, features=news)
+    few = SG.news_rows(panel.grid, days)
+    assert few.count() < panel.grid.count() / 3 and "news_count" not in panel.prices.columns
+    for kind in ("tone", "neg"):
+        some, whole = (SG.with_sentiment_score(g, 10, kind).join(days.select("date"), "date", "left_semi").select("ticker", "date", "score", "articles") for g in (few, panel.grid))
+        assert rows(some, "ticker", "date") == rows(whole, "ticker", "date")
+        assert whole.filter("score IS NOT NULL").count() == 6   # the decision dates within ten bars of some news

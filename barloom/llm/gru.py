@@ -60,89 +60,146 @@ class Model:
     def read(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each of the inputs x (steps x slots); `fresh` marks the first of a text. `keep` collects what backpropagation needs."""
         w, size = self.w, self.shape.hidden
-        given = (w["embed"] @ w["into"] + w["gate"])[x] if keep is None and len(w["embed"]) < x.size else w["embed"][x] @ w["into"] + w["gate"]
-        out = np.empty((*x.shape, size), REAL)
+        kind = w["again"].dtype
+        half = np.repeat(np.array([0.5, 1], kind), [2 * size, size])   # a gate is half of 1 + tanh of half its sum
+        again, into, gate = w["again"] * half, w["into"] * half, w["gate"] * half
+        given = (w["embed"] @ into + gate)[x] if keep is None and len(w["embed"]) < x.size else w["embed"][x] @ into + gate
+        out, begins = np.empty((*x.shape, size), kind), fresh.any(1)
+        if keep is not None:
+            before, gates, new, owns = np.empty_like(out), np.empty((*x.shape, 2 * size), kind), np.empty_like(out), np.empty_like(out)
+            keep += before, gates, new, owns
         for t in range(len(x)):
-            h = np.where(fresh[t][:, None], REAL(0), h)
-            a = h @ w["again"]
-            rz = 0.5 + 0.5 * np.tanh(0.5 * (given[t, :, :2 * size] + a[:, :2 * size]))
-            r, z, own = rz[:, :size], rz[:, size:], a[:, 2 * size:]
-            n = np.tanh(given[t, :, 2 * size:] + r * own)
+            if begins[t]:
+                h = np.where(fresh[t][:, None], kind.type(0), h)
+            a = h @ again
+            own, rz = a[:, 2 * size:], given[t, :, :2 * size]
+            rz += a[:, :2 * size]
+            np.tanh(rz, out=rz)
+            rz *= kind.type(0.5)
+            rz += kind.type(0.5)
+            n = rz[:, :size] * own
+            n += given[t, :, 2 * size:]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, r, z, n, own))
-            h = out[t] = n + z * (h - n)
+                before[t], gates[t], new[t], owns[t] = h, rz, n, own
+            after = np.subtract(h, n, out=out[t])
+            after *= rz[:, size:]
+            after += n
+            h = after
         return out
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each token y after state h; with `grads`, their gradients and that of h too."""
-        w, c, rows = self.w, self.class_of[y], np.arange(len(y))
-        by = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[by], np.arange(len(self.shape.ends) + 1))
-        z = h @ w["pick"] + w["pick0"]
-        found, back = log_share(z, c), None
+        """Natural log probability of each token y after state h; with `grads`, their gradients (of words: numbers and rows) and that of h too.
+
+        Rows are sorted by token, and so by class. Biases are a last column, and rows are divided by their sums only after the products.
+        """
+        w, size, kind = self.w, self.shape.hidden, self.w["word"].dtype
+        found, back = np.empty(len(y)), None
+        if not len(y):
+            return found, None if grads is None else np.empty((0, size), kind)
+        by = np.argsort(y.astype(np.uint16) if self.shape.tokens <= 1 << 16 else y, kind="stable")
+        y, rows = y[by], np.arange(len(y))
+        c = self.class_of[y]
+        cuts = np.searchsorted(c, np.arange(len(self.shape.ends) + 1))
+        h1 = np.empty((len(y), size + 1), kind)
+        h1[:, :size], h1[:, size] = h[by], 1
+        word, pick, ones = np.concatenate([w["word"], w["word0"][:, None]], 1), np.concatenate([w["pick"], w["pick0"][None]]), np.ones(self.shape.tokens, kind)
+        reach = np.abs(h1[:, :size]).sum(1).max()
+        far = any(max(v.max(), -v.min()) * reach + max(v0.max(), -v0.min()) > 60 for v, v0 in ((w["word"], w["word0"]), (w["pick"], w["pick0"])))   # else no exponential leaves its range
+        z = h1 @ pick
+        if far:
+            z -= z.max(1, keepdims=True)
+        logs = z[rows, c].astype(np.float64)
+        np.exp(z, out=z)
+        total = z @ ones[:z.shape[1]]
+        logs -= np.log(total)
         if grads is not None:
-            p = softmax(z)
-            p[rows, c] -= 1
-            p *= scale
-            back = p @ w["pick"].T
-            grads["pick"] += h.T @ p
-            grads["pick0"] += p.sum(0)
+            z *= (kind.type(scale) / total)[:, None]
+            z[rows, c] -= kind.type(scale)
+            g = h1.T @ z
+            grads["pick"] += g[:size]
+            grads["pick0"] += g[size]
+            from_classes = z @ w["pick"].T
+            back = np.empty_like(h1)
+            met = np.flatnonzero(np.diff(cuts))
+            ids = np.concatenate([np.arange(self.starts[k], self.shape.ends[k]) for k in met])   # the words of the classes that occur
+            g, left = np.empty((len(ids), size + 1), kind), 0
+        picked, total, most = word[y], np.empty(len(y), kind), np.zeros(len(y), kind)
         for k in np.flatnonzero(np.diff(cuts)):
-            low, high = self.starts[k], self.shape.ends[k]
-            if high - low == 1:
-                continue
-            at = by[cuts[k]:cuts[k + 1]]
-            z, inside = h[at] @ w["word"][low:high].T + w["word0"][low:high], y[at] - low
-            found[at] += log_share(z, inside)
+            at, own = slice(cuts[k], cuts[k + 1]), slice(self.starts[k], self.shape.ends[k])
+            z = h1[at] @ word[own].T
+            if far:
+                most[at] = z.max(1)
+                z -= most[at, None]
+            np.exp(z, out=z)
+            np.matmul(z, ones[:z.shape[1]], out=total[at])
             if grads is not None:
-                p = softmax(z)
-                p[rows[:len(at)], inside] -= 1
-                p *= scale
-                back[at] += p @ w["word"][low:high]
-                grads["word"][low:high] += p.T @ h[at]
-                grads["word0"][low:high] += p.sum(0)
+                np.matmul(z, word[own], out=back[at])
+                np.matmul(z.T, h1[at] * (kind.type(scale) / total[at])[:, None], out=g[left:left + z.shape[1]])
+                left += z.shape[1]
+        logs += np.einsum("ij,ij->i", h1, picked) - most - np.log(total)
+        found[by] = logs
+        if grads is not None:
+            back *= (kind.type(scale) / total)[:, None]
+            back -= picked * kind.type(scale)
+            kinds, sums = sums_by(y, h1)
+            g[np.searchsorted(ids, kinds)] -= sums * kind.type(scale)
+            grads["word"], grads["word0"] = (ids, g[:, :size]), (ids, g[:, size])
+            from_classes += back[:, :size]
+            back = np.empty_like(from_classes)
+            back[by] = from_classes
         return found, back
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, valid: np.ndarray, h: np.ndarray, tokens: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of a window's loss, divided by `tokens` and cut at its start, and the states at its end."""
+        some, h = self.slopes(x, y, fresh, valid, h, tokens)
+        g = {k: np.zeros_like(v) for k, v in self.w.items()}
+        for k, v in some.items():
+            if isinstance(v, tuple):
+                g[k][v[0]] = v[1]
+            else:
+                g[k] = v
+        return g, h
+
+    def slopes(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, valid: np.ndarray, h: np.ndarray, tokens: int) -> tuple[dict, np.ndarray]:
+        """`gradients` without rows that are zero: of weights with a row for each token, numbers and their rows."""
         w, size = self.w, self.shape.hidden
-        g = {k: np.zeros_like(v) for k, v in w.items()}
+        g: dict = {k: np.zeros_like(w[k]) for k in ("into", "gate", "again", "pick", "pick0")}
         kept: list = []
         states = self.read(x, fresh, h, kept)
         dstate = np.zeros_like(states)
         dstate[valid] = self.output(states[valid], y[valid], g, REAL(1 / tokens))[1]
-        dgiven, dh = np.empty((*x.shape, 3 * size), REAL), np.zeros_like(h)
+        before, gates, n, own = kept
+        r, z = gates[..., :size], gates[..., size:]
+        # What does not depend on later steps, for all steps at once: by these a step's gradient becomes those of its sums.
+        to_n, to_r, to_z = (1 - z) * (1 - n * n), own * r * (1 - r), (before - n) * z * (1 - z)
+        da, dn = np.empty((*x.shape, 3 * size), states.dtype), np.empty_like(states)
+        dh, back, begins = np.zeros_like(states[0]), np.ascontiguousarray(w["again"].T), fresh.any(1)
         for t in range(len(x) - 1, -1, -1):
-            before, r, z, n, own = kept[t]
-            dh = dh + dstate[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dr, dz = dn * own * r * (1 - r), dh * (before - n) * z * (1 - z)
-            da = np.concatenate([dr, dz, dn * r], 1)
-            dgiven[t] = np.concatenate([dr, dz, dn], 1)
-            g["again"] += before.T @ da
-            dh = np.where(fresh[t][:, None], REAL(0), dh * z + da @ w["again"].T)
-        flat, inputs = dgiven.reshape(-1, 3 * size), x.ravel()
+            dh += dstate[t]
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dn[t], to_r[t], out=da[t, :, :size])
+            np.multiply(dh, to_z[t], out=da[t, :, size:2 * size])
+            np.multiply(dn[t], r[t], out=da[t, :, 2 * size:])
+            dh *= z[t]
+            dh += da[t] @ back
+            if begins[t]:
+                dh[fresh[t]] = 0
+        g["again"] += before.reshape(-1, size).T @ da.reshape(-1, 3 * size)
+        da[..., 2 * size:] = dn
+        flat, inputs = da.reshape(-1, 3 * size), x.ravel()
         g["into"] += w["embed"][inputs].T @ flat
         g["gate"] += flat.sum(0)
-        used, place = np.unique(inputs, return_inverse=True)
-        hot = np.zeros((len(used), flat.shape[1]), REAL)
-        np.add.at(hot, place, flat)
-        g["embed"][used] += hot @ w["into"].T
+        by = np.argsort(inputs.astype(np.uint16) if self.shape.tokens <= 1 << 16 else inputs, kind="stable")
+        used, hot = sums_by(inputs[by], flat[by])
+        g["embed"] = used, hot @ w["into"].T
         return g, states[-1]
 
 
-def log_share(logits: np.ndarray, picked: np.ndarray) -> np.ndarray:
-    """Log probability of one column of each row; `logits` are left less their row's maximum, then as exponentials."""
-    logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(picked)), picked].astype(np.float64)
-    np.exp(logits, out=logits)
-    return own - np.log(logits.sum(1))
-
-
-def softmax(exponentials: np.ndarray) -> np.ndarray:
-    """Probabilities by rows, from what `log_share` leaves."""
-    exponentials /= exponentials.sum(1, keepdims=True)
-    return exponentials
+def sums_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, which must be sorted, and the sums of their rows."""
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], np.add.reduceat(rows, at, axis=0)
 
 
 def lay_out(lengths: np.ndarray, slots: int) -> list[list[int]]:
@@ -155,30 +212,31 @@ def lay_out(lengths: np.ndarray, slots: int) -> list[list[int]]:
     return sorted(out, key=lambda texts: -sum(int(lengths[k]) for k in texts))
 
 
-def walk(texts: list[np.ndarray], begin: int, slots: int, steps: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Windows of `steps` tokens of all slots that still have some: inputs, tokens, firsts, valid places and text numbers, each steps x slots."""
+def walk(texts: list[np.ndarray], begin: int, slots: int, steps: int, room: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows of `steps` tokens of all slots that still have some: inputs, tokens, firsts, valid places and text numbers, each steps x slots.
+    With `room`, windows become longer as slots end, up to so many places."""
     order = lay_out(np.array([len(t) for t in texts]), slots)
-    y = [np.concatenate([texts[k] for k in s]).astype(np.int32) for s in order]
-    of = [np.repeat(np.array(s, np.int32), [len(texts[k]) for k in s]) for s in order]
-    for at in range(0, len(y[0]) if y else 0, steps):
-        live = [s for s in range(len(y)) if len(y[s]) > at]
-        tokens, text, before = np.full((steps, len(live)), begin, np.int32), np.full((steps, len(live)), -1, np.int32), np.full((steps + 1, len(live)), -2, np.int32)
-        inputs = np.full((steps, len(live)), begin, np.int32)
-        for s in live:   # slots are sorted by length: the live ones come first
-            part = y[s][at:at + steps]
-            tokens[:len(part), s], text[:len(part), s] = part, of[s][at:at + steps]
-            if at:
-                before[0, s], inputs[0, s] = of[s][at - 1], y[s][at - 1]
-        before[1:], inputs[1:] = text, tokens[:-1]
-        fresh = text != before[:-1]
-        inputs[fresh] = begin
-        yield inputs, tokens, fresh, text >= 0, text
+    sizes = np.array([sum(len(texts[k]) for k in s) for s in order])   # falling: the live slots come first
+    every = [k for s in order for k in s]
+    if not every:
+        return
+    flat, of = np.concatenate([texts[k] for k in every]).astype(np.int32), np.repeat(np.array(every, np.int32), [len(texts[k]) for k in every])
+    first, places = np.append(True, of[1:] != of[:-1]), np.cumsum(sizes) - sizes
+    at = 0
+    while at < sizes[0]:
+        live = int(np.searchsorted(-sizes, -at))   # slots longer than `at`
+        upto = at + max(steps, min(room // live, int(sizes[0]) - at))
+        valid = np.arange(at, upto)[:, None] < sizes[:live]
+        place = np.minimum(places[:live] + np.arange(at, upto)[:, None], len(flat) - 1)
+        fresh = first[place] | ~valid
+        yield np.where(fresh, begin, flat[place - 1]).astype(np.int32), np.where(valid, flat[place], begin).astype(np.int32), fresh, valid, np.where(valid, of[place], -1)
+        at = upto
 
 
 def score_texts(model: Model, texts: list[np.ndarray], begin: int, slots: int = 512, steps: int = 32) -> np.ndarray:
     """Natural log probability of each text, its end token included."""
     total, h = np.zeros(len(texts)), np.zeros((0, model.shape.hidden), REAL)
-    for x, y, fresh, valid, text in walk(texts, begin, slots, steps):
+    for x, y, fresh, valid, text in walk(texts, begin, slots, steps, slots * steps):
         h = h[:x.shape[1]] if len(h) else np.zeros((x.shape[1], model.shape.hidden), REAL)
         states = model.read(x, fresh, h)
         h = states[-1]
@@ -193,10 +251,16 @@ class Learner:
         self.model, self.rate = model, rate
         self.squares = model.restore(squares).w
 
-    def step(self, grads: dict[str, np.ndarray]) -> None:
+    def step(self, grads: dict) -> None:
         for k, g in grads.items():
-            self.squares[k] += g * g
-            self.model.w[k] -= self.rate * g / np.sqrt(self.squares[k])
+            at, g = g if isinstance(g, tuple) and len(g[0]) < len(self.squares[k]) else (slice(None), g[1] if isinstance(g, tuple) else g)
+            move = g * g
+            move += self.squares[k][at]
+            self.squares[k][at] = move
+            np.sqrt(move, out=move)
+            np.divide(g, move, out=move)
+            move *= REAL(self.rate)
+            self.model.w[k][at] -= move
 
     def learn(self, texts: list[np.ndarray], begin: int, slots: int, steps: int, share: int) -> int:
         """Learn from one window in `share`; the state passes through all of them. Returns the number of tokens learned from."""
@@ -204,7 +268,7 @@ class Learner:
         for k, (x, y, fresh, valid, _) in enumerate(walk(texts, begin, slots, steps)):
             h = h[:x.shape[1]] if len(h) else np.zeros((x.shape[1], self.model.shape.hidden), REAL)
             if k % share == 0:
-                grads, h = self.model.gradients(x, y, fresh, valid, h, slots * steps)   # a window with few texts left moves little
+                grads, h = self.model.slopes(x, y, fresh, valid, h, slots * steps)   # a window with few texts left moves little
                 self.step(grads)
                 seen += int(valid.sum())
             else:

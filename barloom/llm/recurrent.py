@@ -94,23 +94,28 @@ def cut_words(block_tokens: int, schema: pa.Schema):
         fresh()
         for batch in batches:
             rows: list[list] = [[], [], [], []]
+            learned: list[np.ndarray] = []
             keys, held = batch.column(0), batch.column(2).to_pylist()
             number = state["numbers"].__getitem__
             at = 0
 
             def documents(upto: int) -> pa.RecordBatch:
                 n = len(rows[0])
+                if learned:   # the dictionary is long: it is gone through once for a batch, not for each document
+                    c = np.bincount(np.concatenate(learned))
+                    if len(c) > len(state["counts"]):
+                        state["counts"] = np.concatenate([state["counts"], np.zeros(2 * len(c) - len(state["counts"]), np.int64)])
+                    state["counts"][:len(c)] += c
+                    learned.clear()
                 return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), keys.slice(at, n), pa.array(rows[2], pa.bool_()), pa.array(rows[3], pa.binary()),
                                                    pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=schema)
 
             for i, body in enumerate(octets(batch.column(1))):
-                ids = np.fromiter(map(number, body.translate(LOWER).split()), np.uint32)
-                ids = np.append(ids, np.uint32(0))
+                words = body.translate(LOWER).split()
+                words.append(END)
+                ids = np.fromiter(map(number, words), np.uint32, len(words))
                 if not held[i]:
-                    c = np.bincount(ids, minlength=len(state["numbers"]))
-                    if len(c) > len(state["counts"]):
-                        state["counts"] = np.concatenate([state["counts"], np.zeros(2 * len(c) - len(state["counts"]), np.int64)])
-                    state["counts"][:len(c)] += c
+                    learned.append(ids)
                 for column_, value in zip(rows, (block, state["rows"], held[i], planes(ids))):
                     column_.append(value)
                 state["tokens"], state["rows"] = state["tokens"] + len(ids), state["rows"] + 1

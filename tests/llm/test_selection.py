@@ -220,3 +220,28 @@ def test_state_is_carried_through_whole_texts(slots, steps):
         want.append(total)
     assert np.allclose(gru.score_texts(m, texts, 10, slots, steps), want, rtol=1e-4)
     assert gru.score_texts(m, [], 10).shape == (0,)
+
+
+def test_gradients_leave_out_words_of_classes_that_do_not_occur():
+    """A window with few words costs what its words need; a step by these rows is a step by all."""
+    m, rng = model(), np.random.default_rng(4)
+    x, y, fresh, valid = np.array([[10, 10], [1, 1]]), np.array([[0, 1], [1, 0]]), np.array([[True, True], [False, False]]), np.ones((2, 2), bool)
+    h = np.zeros((2, 5), np.float32)
+    some, _ = m.slopes(x, y, fresh, valid, h, 4)
+    whole, _ = m.gradients(x, y, fresh, valid, h, 4)
+    assert list(some["embed"][0]) == [1, 10] and len(some["word"][0]) < 11
+    moved = []
+    for g in (some, whole):
+        learner = gru.Learner(m.restore(m.flat()), np.full(m.flat().size, 1e-3), 0.1)
+        learner.step(g)
+        moved.append(learner.model.flat())
+    assert np.array_equal(*moved) and not np.array_equal(moved[0], m.flat())
+
+
+def test_probabilities_of_far_logits():
+    """Logits beyond the range of single-precision exponentials."""
+    m = model()
+    m.w["word"] *= 4000
+    h = np.random.default_rng(5).normal(size=(7, 5)).astype(np.float32)
+    total = sum(np.exp(m.output(h, np.full(7, y))[0]) for y in range(11))
+    assert np.allclose(total, 1, atol=1e-4)

@@ -7,6 +7,7 @@ zero with each text and is carried from window to window, so a text of any lengt
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +32,16 @@ def classes(counts: np.ndarray, wanted: int) -> tuple[int, ...]:
 
 
 class Model:
-    """Named weights; `flat` joins them to one vector, and `restore` takes them back."""
+    """Named weights; `flat` joins them to one vector, and `restore` takes them back.
+
+    Biases are the last row of `into` and `pick` and the last column of `word`. Inside, a step's values have a row for each
+    unit and a column for each slot, so that a gate is one piece of memory.
+    """
 
     def __init__(self, shape: Shape, weights: dict[str, np.ndarray]):
         self.shape, self.w = shape, weights
-        self.starts = np.array((0, *shape.ends[:-1]))
-        self.class_of = np.repeat(np.arange(len(shape.ends)), np.diff((0, *shape.ends)))
+        self.starts, self.widths = np.array((0, *shape.ends[:-1])), np.diff((0, *shape.ends))
+        self.class_of = np.repeat(np.arange(len(shape.ends)), self.widths)
 
     @classmethod
     def start(cls, shape: Shape, counts: np.ndarray, seed: int) -> Model:
@@ -45,10 +50,11 @@ class Model:
         h, d, bounds = shape.hidden, shape.inner, np.array((0, *shape.ends))
         p = np.maximum(counts, 0.5) / np.maximum(counts, 0.5).sum()
         mass = np.add.reduceat(p, bounds[:-1])
+        embed, into, again = rng.normal(0, 0.3, (shape.tokens, d)), rng.normal(0, d ** -0.5, (d, 3 * h)), rng.normal(0, 0.5 * h ** -0.5, (h, 3 * h))
+        pick, word = rng.normal(0, 0.05, (h, len(mass))), rng.normal(0, 0.05, (shape.tokens, h))
+        gate, word0 = np.concatenate([np.zeros(h), np.ones(h), np.zeros(h)]), np.log(p) - np.repeat(np.log(mass), np.diff(bounds))
         return cls(shape, {k: v.astype(REAL) for k, v in {
-            "embed": rng.normal(0, 0.3, (shape.tokens, d)), "into": rng.normal(0, d ** -0.5, (d, 3 * h)), "gate": np.concatenate([np.zeros(h), np.ones(h), np.zeros(h)]),
-            "again": rng.normal(0, 0.5 * h ** -0.5, (h, 3 * h)), "pick": rng.normal(0, 0.05, (h, len(mass))), "pick0": np.log(mass),
-            "word": rng.normal(0, 0.05, (shape.tokens, h)), "word0": np.log(p) - np.repeat(np.log(mass), np.diff(bounds))}.items()})
+            "embed": embed, "into": np.vstack([into, gate]), "again": again, "pick": np.vstack([pick, np.log(mass)]), "word": np.column_stack([word, word0])}.items()})
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
@@ -57,96 +63,97 @@ class Model:
         parts = np.split(vector.astype(REAL), np.cumsum([v.size for v in self.w.values()])[:-1])
         return Model(self.shape, {k: p.reshape(v.shape).copy() for (k, v), p in zip(self.w.items(), parts)})
 
+    def cell(self) -> np.ndarray:
+        """What makes a step's sums of its state, its embedding and 1: the state's part of the new state, both gates (negative) and the input's part."""
+        again, into, size = self.w["again"].T, self.w["into"].T, self.shape.hidden
+        out = np.zeros((4 * size, size + into.shape[1]), again.dtype)
+        out[:size, :size], out[size:3 * size, :size] = again[2 * size:], -again[:2 * size]
+        out[size:3 * size, size:], out[3 * size:, size:] = -into[:2 * size], into[2 * size:]
+        return out
+
     def read(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each of the inputs x (steps x slots); `fresh` marks the first of a text. `keep` collects what backpropagation needs."""
-        w, size = self.w, self.shape.hidden
-        kind = w["again"].dtype
-        half = np.repeat(np.array([0.5, 1], kind), [2 * size, size])   # a gate is half of 1 + tanh of half its sum
-        again, into, gate = w["again"] * half, w["into"] * half, w["gate"] * half
-        given = (w["embed"] @ into + gate)[x] if keep is None and len(w["embed"]) < x.size else w["embed"][x] @ into + gate
-        out, begins = np.empty((*x.shape, size), kind), fresh.any(1)
+        size, cell, begins, (steps, slots) = self.shape.hidden, self.cell(), fresh.any(1).tolist(), x.shape
+        one, kind = np.ones((), cell.dtype), cell.dtype
+        given, sums = np.empty((steps, cell.shape[1], slots), kind), np.empty((1 if keep is None else steps, len(cell), slots), kind)
+        given[:, size:-1], given[:, -1] = self.w["embed"].take(x, 0).transpose(0, 2, 1), 1
+        out, own, h = np.empty((steps, size, slots), kind), np.empty((size, slots), kind), h.T
+        parts = zip(sums, sums[:, :size], sums[:, size:2 * size], sums[:, 2 * size:3 * size], sums[:, size:3 * size], sums[:, 3 * size:])
+        with np.errstate(over="ignore"):   # a gate is 1 / (1 + inf) = 0 then
+            for t, (a, again, r, z, gates, n) in enumerate(parts if keep is not None else itertools.repeat(next(parts), steps)):
+                state, after = given[t, :size], out[t]
+                state[:] = h
+                if begins[t]:
+                    state[:, fresh[t]] = 0
+                np.matmul(cell, given[t], a)
+                np.exp(gates, gates)
+                np.add(gates, one, gates)
+                np.divide(one, gates, gates)
+                np.multiply(again, r, own)
+                np.add(n, own, n)
+                np.tanh(n, n)
+                np.subtract(state, n, after)
+                np.multiply(after, z, after)
+                np.add(after, n, after)
+                h = after
         if keep is not None:
-            before, gates, new, owns = np.empty_like(out), np.empty((*x.shape, 2 * size), kind), np.empty_like(out), np.empty_like(out)
-            keep += before, gates, new, owns
-        for t in range(len(x)):
-            if begins[t]:
-                h = np.where(fresh[t][:, None], kind.type(0), h)
-            a = h @ again
-            own, rz = a[:, 2 * size:], given[t, :, :2 * size]
-            rz += a[:, :2 * size]
-            np.tanh(rz, out=rz)
-            rz *= kind.type(0.5)
-            rz += kind.type(0.5)
-            n = rz[:, :size] * own
-            n += given[t, :, 2 * size:]
-            np.tanh(n, out=n)
-            if keep is not None:
-                before[t], gates[t], new[t], owns[t] = h, rz, n, own
-            after = np.subtract(h, n, out=out[t])
-            after *= rz[:, size:]
-            after += n
-            h = after
-        return out
+            keep += given, sums
+        return out.transpose(0, 2, 1)
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each token y after state h; with `grads`, their gradients (of words: numbers and rows) and that of h too.
 
-        Rows are sorted by token, and so by class. Biases are a last column, and rows are divided by their sums only after the products.
+        Rows are sorted by token, and so by class; the logits of a row's class lie end to end. Rows are divided by their sums only after the products.
         """
-        w, size, kind = self.w, self.shape.hidden, self.w["word"].dtype
-        found, back = np.empty(len(y)), None
-        if not len(y):
+        pick, word, size, kind = self.w["pick"], self.w["word"], self.shape.hidden, self.w["word"].dtype
+        found, back, n = np.empty(len(y)), None, len(y)
+        if not n:
             return found, None if grads is None else np.empty((0, size), kind)
         by = np.argsort(y.astype(np.uint16) if self.shape.tokens <= 1 << 16 else y, kind="stable")
-        y, rows = y[by], np.arange(len(y))
+        y = y[by]
         c = self.class_of[y]
-        cuts = np.searchsorted(c, np.arange(len(self.shape.ends) + 1))
-        h1 = np.empty((len(y), size + 1), kind)
-        h1[:, :size], h1[:, size] = h[by], 1
-        word, pick, ones = np.concatenate([w["word"], w["word0"][:, None]], 1), np.concatenate([w["pick"], w["pick0"][None]]), np.ones(self.shape.tokens, kind)
-        reach = np.abs(h1[:, :size]).sum(1).max()
-        far = any(max(v.max(), -v.min()) * reach + max(v0.max(), -v0.min()) > 60 for v, v0 in ((w["word"], w["word0"]), (w["pick"], w["pick0"])))   # else no exponential leaves its range
-        z = h1 @ pick
-        if far:
-            z -= z.max(1, keepdims=True)
-        logs = z[rows, c].astype(np.float64)
-        np.exp(z, out=z)
-        total = z @ ones[:z.shape[1]]
-        logs -= np.log(total)
-        if grads is not None:
-            z *= (kind.type(scale) / total)[:, None]
-            z[rows, c] -= kind.type(scale)
-            g = h1.T @ z
-            grads["pick"] += g[:size]
-            grads["pick0"] += g[size]
-            from_classes = z @ w["pick"].T
-            back = np.empty_like(h1)
-            met = np.flatnonzero(np.diff(cuts))
-            ids = np.concatenate([np.arange(self.starts[k], self.shape.ends[k]) for k in met])   # the words of the classes that occur
-            g, left = np.empty((len(ids), size + 1), kind), 0
-        picked, total, most = word[y], np.empty(len(y), kind), np.zeros(len(y), kind)
-        for k in np.flatnonzero(np.diff(cuts)):
-            at, own = slice(cuts[k], cuts[k + 1]), slice(self.starts[k], self.shape.ends[k])
-            z = h1[at] @ word[own].T
-            if far:
-                most[at] = z.max(1)
-                z -= most[at, None]
-            np.exp(z, out=z)
-            np.matmul(z, ones[:z.shape[1]], out=total[at])
+        h1 = np.empty((n, size + 1), kind)
+        h1[:, :size], h1[:, size] = h.take(by, 0), 1
+        cuts = np.searchsorted(c, np.arange(len(self.widths) + 1))
+        met = np.flatnonzero(np.diff(cuts))
+        width = self.widths[c]
+        last = width.cumsum()
+        begin = last - width
+        # Of each class that occurs: its rows, its words and their logits.
+        blocks, logits = [], np.empty(int(last[-1]), kind)
+        for lo, hi, s, k, o in zip(cuts[met].tolist(), cuts[met + 1].tolist(), self.starts[met].tolist(), self.widths[met].tolist(), begin[cuts[met]].tolist()):
+            z, own = logits[o:o + (hi - lo) * k].reshape(hi - lo, k), word[s:s + k]
+            np.matmul(h1[lo:hi], own.T, z)
+            blocks.append((z, own, lo, hi))
+        picks = h1 @ pick
+        logs, sums, rows = 0.0, [], np.arange(n) * picks.shape[1]
+        for z, at, starts in ((picks.ravel(), rows + c, rows), (logits, begin + y - self.starts[c], begin)):
+            if not -60 < z.min() <= z.max() < 60:   # else no exponential leaves its range
+                z -= np.maximum.reduceat(z, starts).repeat(np.diff(np.append(starts, len(z))))
+            logs = logs + z.take(at)
+            np.exp(z, z)
+            total = np.add.reduceat(z, starts) if starts is begin else picks @ np.ones(picks.shape[1], kind)
+            logs = logs - np.log(total, dtype=np.float64)
             if grads is not None:
-                np.matmul(z, word[own], out=back[at])
-                np.matmul(z.T, h1[at] * (kind.type(scale) / total[at])[:, None], out=g[left:left + z.shape[1]])
-                left += z.shape[1]
-        logs += np.einsum("ij,ij->i", h1, picked) - most - np.log(total)
+                z[at] -= total
+            sums.append((kind.type(scale) / total)[:, None])
         found[by] = logs
         if grads is not None:
-            back *= (kind.type(scale) / total)[:, None]
-            back -= picked * kind.type(scale)
-            kinds, sums = sums_by(y, h1)
-            g[np.searchsorted(ids, kinds)] -= sums * kind.type(scale)
-            grads["word"], grads["word0"] = (ids, g[:, :size]), (ids, g[:, size])
-            from_classes += back[:, :size]
-            back = np.empty_like(from_classes)
+            grads["pick"] += (h1 * sums[0]).T @ picks
+            back = np.empty((n, size), kind)
+            # The words of the classes that occur.
+            ids = np.flatnonzero((np.diff(cuts) > 0).repeat(self.widths))
+            g, scaled, left = np.empty((len(ids), size + 1), kind), h1 * sums[1], 0
+            for z, own, lo, hi in blocks:
+                np.matmul(z, own[:, :size], back[lo:hi])
+                np.matmul(z.T, scaled[lo:hi], g[left:left + len(own)])
+                left += len(own)
+            grads["word"] = ids, g
+            back *= sums[1]
+            from_classes = picks @ pick[:size].T
+            from_classes *= sums[0]
+            from_classes += back
+            back = np.empty_like(back)
             back[by] = from_classes
         return found, back
 
@@ -163,36 +170,40 @@ class Model:
 
     def slopes(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, valid: np.ndarray, h: np.ndarray, tokens: int) -> tuple[dict, np.ndarray]:
         """`gradients` without rows that are zero: of weights with a row for each token, numbers and their rows."""
-        w, size = self.w, self.shape.hidden
-        g: dict = {k: np.zeros_like(w[k]) for k in ("into", "gate", "again", "pick", "pick0")}
-        kept: list = []
-        states = self.read(x, fresh, h, kept)
-        dstate = np.zeros_like(states)
-        dstate[valid] = self.output(states[valid], y[valid], g, REAL(1 / tokens))[1]
-        before, gates, n, own = kept
-        r, z = gates[..., :size], gates[..., size:]
-        # What does not depend on later steps, for all steps at once: by these a step's gradient becomes those of its sums.
-        to_n, to_r, to_z = (1 - z) * (1 - n * n), own * r * (1 - r), (before - n) * z * (1 - z)
-        da, dn = np.empty((*x.shape, 3 * size), states.dtype), np.empty_like(states)
-        dh, back, begins = np.zeros_like(states[0]), np.ascontiguousarray(w["again"].T), fresh.any(1)
-        for t in range(len(x) - 1, -1, -1):
-            dh += dstate[t]
-            np.multiply(dh, to_n[t], out=dn[t])
-            np.multiply(dn[t], to_r[t], out=da[t, :, :size])
-            np.multiply(dh, to_z[t], out=da[t, :, size:2 * size])
-            np.multiply(dn[t], r[t], out=da[t, :, 2 * size:])
-            dh *= z[t]
-            dh += da[t] @ back
+        w, size, kept = self.w, self.shape.hidden, []
+        g: dict = {"pick": np.zeros_like(w["pick"])}
+        states, whole = self.read(x, fresh, h, kept), valid.all()
+        back = self.output(states.reshape(-1, size) if whole else states[valid], y.ravel() if whole else y[valid], g, REAL(1 / tokens))[1]
+        if whole:
+            dstate = back.reshape(states.shape)
+        else:
+            dstate = np.zeros(states.shape, states.dtype)
+            dstate[valid] = back
+        dstate = np.ascontiguousarray(dstate.transpose(0, 2, 1))
+        given, sums = kept
+        own, r, z, n = (sums[:, k * size:(k + 1) * size] for k in range(4))
+        # A step's gradient times these is what the step before has of it directly and that of the step's sums; they do not depend on later steps.
+        to = np.empty((len(x), 5, size, x.shape[1]), sums.dtype)
+        to[:, 0], rest = z, 1 - z
+        np.multiply(rest, 1 - n * n, to[:, 4])
+        np.multiply(to[:, 4], r, to[:, 1])
+        np.multiply(to[:, 1], own * (1 - r), to[:, 2])
+        rest *= z
+        np.multiply(rest, given[:, :size] - n, to[:, 3])
+        da, begins = np.empty((len(x), 5 * size, x.shape[1]), sums.dtype), fresh.any(1).tolist()
+        dh, earlier = np.zeros_like(dstate[0]), np.concatenate([np.eye(size, dtype=sums.dtype), w["again"][:, 2 * size:], w["again"][:, :2 * size]], 1)
+        for t, d, k, a, b in zip(range(len(x) - 1, -1, -1), dstate[::-1], to[::-1], da.reshape(to.shape)[::-1], da[::-1, :4 * size]):
+            np.add(dh, d, dh)
+            np.multiply(dh, k, a)
+            np.matmul(earlier, b, dh)
             if begins[t]:
-                dh[fresh[t]] = 0
-        g["again"] += before.reshape(-1, size).T @ da.reshape(-1, 3 * size)
-        da[..., 2 * size:] = dn
-        flat, inputs = da.reshape(-1, 3 * size), x.ravel()
-        g["into"] += w["embed"][inputs].T @ flat
-        g["gate"] += flat.sum(0)
+                dh[:, fresh[t]] = 0
+        slots_first = da[:, size:].transpose(0, 2, 1)
+        d = np.matmul(given[:, :size], slots_first[..., :3 * size]).sum(0)
+        g["again"], g["into"] = np.concatenate([d[:, size:], d[:, :size]], 1), np.matmul(given[:, size:], slots_first[..., size:]).sum(0)
+        inputs = x.ravel()
         by = np.argsort(inputs.astype(np.uint16) if self.shape.tokens <= 1 << 16 else inputs, kind="stable")
-        used, hot = sums_by(inputs[by], flat[by])
-        g["embed"] = used, hot @ w["into"].T
+        g["embed"] = sums_by(inputs[by], np.matmul(slots_first[..., size:], w["into"][:-1].T).reshape(len(inputs), -1).take(by, 0))
         return g, states[-1]
 
 

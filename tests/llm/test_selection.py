@@ -238,6 +238,30 @@ def test_gradients_leave_out_words_of_classes_that_do_not_occur():
     assert np.array_equal(*moved) and not np.array_equal(moved[0], m.flat())
 
 
+def test_a_gate_is_one_piece_of_memory():
+    """With a column for each slot, a step's loops run over whole gates and not over a few units of one slot after another."""
+    m, x, kept = model(), np.arange(12).reshape(3, 4) % 11, []
+    states = m.read(x, x == 0, np.zeros((4, 5), np.float32), kept)
+    assert states.shape == (3, 4, 5) and states.transpose(0, 2, 1).flags.c_contiguous
+    assert all(k.flags.c_contiguous and k.shape[::2] == (3, 4) for k in kept)
+
+
+@pytest.mark.filterwarnings("error")
+def test_states_of_saturated_gates():
+    """Sums beyond the range of single-precision exponentials, and texts that begin inside a window."""
+    m, rng = model(), np.random.default_rng(6)
+    m.w["into"] *= 300
+    x, fresh, h = rng.integers(0, 11, (6, 4)), rng.random((6, 4)) < 0.3, rng.normal(size=(4, 5)).astype(np.float32)
+    w, before = {k: v.astype(np.float64) for k, v in m.w.items()}, h.astype(np.float64)
+    for t, got in enumerate(m.read(x, fresh, h)):
+        before = np.where(fresh[t][:, None], 0, before)
+        given, again = np.column_stack([w["embed"][x[t]], np.ones(4)]) @ w["into"], before @ w["again"]
+        r, z = np.split(0.5 + 0.5 * np.tanh((given + again)[:, :10] / 2), 2, 1)
+        n = np.tanh(given[:, 10:] + r * again[:, 10:])
+        before = (1 - z) * n + z * before
+        assert np.abs(given).max() > 100 and np.allclose(got, before, atol=1e-4)
+
+
 def test_probabilities_of_far_logits():
     """Logits beyond the range of single-precision exponentials."""
     m = model()

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 
 REAL = np.float32
+ROWS = 1 << 13
 
 
 @dataclass(frozen=True)
@@ -251,7 +252,9 @@ def score_texts(model: Model, texts: list[np.ndarray], begin: int, slots: int =
         h = h[:x.shape[1]] if len(h) else np.zeros((x.shape[1], model.shape.hidden), REAL)
         states = model.read(x, fresh, h)
         h = states[-1]
-        total += np.bincount(text[valid], weights=model.output(states[valid], y[valid])[0], minlength=len(texts))
+        states, y, text = (v.reshape(valid.size, *v.shape[2:]) if valid.all() else v[valid] for v in (states, y, text))
+        logs = [model.output(states[at:at + ROWS], y[at:at + ROWS])[0] for at in range(0, len(y), ROWS)]   # logits of so many rows stay near the processor
+        total += np.bincount(text, weights=np.concatenate(logs), minlength=len(texts))
     return total
 
 

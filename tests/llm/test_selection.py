@@ -222,6 +222,16 @@ def test_state_is_carried_through_whole_texts(slots, steps):
     assert gru.score_texts(m, [], 10).shape == (0,)
 
 
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_scores_are_those_of_any_pieces(monkeypatch, rows):
+    """A window's logits are taken some rows at a time; where it is cut is of no matter, and no row is lost."""
+    m, rng = model(), np.random.default_rng(7)
+    texts = [rng.integers(0, 11, n).astype(np.uint16) for n in (1, 40, 7, 1, 23)]
+    want = gru.score_texts(m, texts, 10, 2, 6)
+    monkeypatch.setattr(gru, "ROWS", rows)
+    assert np.allclose(gru.score_texts(m, texts, 10, 2, 6), want, rtol=1e-6) and (want < 0).all()
+
+
 def test_gradients_leave_out_words_of_classes_that_do_not_occur():
     """A window with few words costs what its words need; a step by these rows is a step by all."""
     m, rng = model(), np.random.default_rng(4)

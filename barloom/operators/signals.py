@@ -1,7 +1,7 @@
 """Scores per (ticker, date) from trailing windows."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import per_day, safe_ratio
 from barloom.operators.panel import by_ticker, full_window, recent, trailing, with_eligible, with_recent, with_running
 from barloom.operators.sizing import pick_top
+from barloom.session import cut_lineage
 
 
 def _ready(grid: DataFrame) -> DataFrame:
@@ -63,17 +64,16 @@ def with_sma_crossover(grid: DataFrame, fast: int = 50, slow: int = 200) -> Data
     return scored.select(*ready.columns, "sma_fast", "sma_slow", "score")
 
 
-def with_zscore(grid: DataFrame, lookback: int = 20, trend_sma: int = 100) -> DataFrame:
+def with_zscore(grid: DataFrame, lookback: int = 20, trend_sma: int = 100, at: Column | None = None) -> DataFrame:
     """Add `z`, the close's distance from its trailing mean in standard deviations, and `uptrend`.
 
     Means skip missing closes; a flat window has no z-score. Both come from exact sums of closes in ticks, so no order of
-    addition decides.
+    addition decides. With `at` only its rows get them: the others have no z and no uptrend.
     """
     ready = _ready(grid)
-    sums = with_running(ready, squares=True).withColumns({
-        "_zn": recent("_n", lookback), "_zs": recent("_s", lookback), "_zq": recent("_q", lookback),
-        "_tn": recent("_n", trend_sma), "_ts": recent("_s", trend_sma),
-    })
+    gains = {"_zn": ("_n", lookback), "_zs": ("_s", lookback), "_zq": ("_q", lookback), "_tn": ("_n", trend_sma), "_ts": ("_s", trend_sma)}
+    sums = (ready if "_q" in ready.columns else with_running(ready, squares=True)).withColumns({
+        name: recent(*of) if at is None else F.when(at, recent(*of)) for name, of in gains.items()})
 
     def wide(col: str) -> Column:
         return F.col(col).cast("decimal(38,0)")
@@ -86,58 +86,81 @@ def with_zscore(grid: DataFrame, lookback: int = 20, trend_sma: int = 100) -> Da
         F.coalesce(F.col("_tick") * F.col("_tn") > F.col("_ts"), F.lit(False)).alias("uptrend"))
 
 
-def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: float = 0.0, max_names: int = 10,
-                            runs: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Names held at each decision date: enter oversold uptrends, keep them until z recovers, most oversold first.
+def reverting(scored: DataFrame, settings: Mapping[int, tuple[float, float, int]]) -> DataFrame:
+    """The rows that can be held under each of `settings` (config -> z_entry, z_exit, max_names): config, limit, date, ticker, z, entry, stay.
 
-    `scored` has one row per (date, ticker) of the decision dates with z, uptrend and eligible. What is
-    held depends on what was held before and on the cap, so the last step is an ordered fold over
-    dates. Before it every row that cannot matter is removed in parallel: an entry outside its date's
-    `max_names` most oversold entries cannot be held, and a name can only stay from such an entry until
-    its first exit. The dates are then cut into segments: one starts wherever every surviving name enters on that very
-    date, because what was held before cannot matter there. Segments are folded in parallel.
+    `scored` has one row per (date, ticker) of the decision dates with z, uptrend and eligible; it is stored, as it is read for
+    the ranks and for the names. An entry outside its date's `max_names` most oversold entries cannot be held, and a name can
+    only stay from such an entry until its first exit. One rank serves all settings, because the entries of a stricter one come
+    first among those of the loosest. After it only names that enter somewhere are left: their number grows with dates, not with names.
 
     z counts to nine decimals, so windows of the same shape at different prices tie and go by ticker.
-
-    With `runs` (keys, date) each run, named by `keys`, holds nothing before the first of its dates: rows that cannot matter
-    in any run are removed once, the rest is copied to the runs that have its date, and a run starts a segment of its own.
     """
-    ok = F.col("eligible") & F.col("z").isNotNull()
-    rows = scored.withColumn("z", F.round("z", 9)).select(
-        "date", "ticker", "z",
-        F.coalesce(ok & F.col("uptrend") & (F.col("z") < z_entry), F.lit(False)).alias("entry"),
-        F.coalesce(ok & (F.col("z") < z_exit), F.lit(False)).alias("stay"))
+    ok = F.coalesce(F.col("eligible") & F.col("z").isNotNull(), F.lit(False))
+    rows = cut_lineage(scored.select("date", "ticker", F.round("z", 9).alias("z"), ok.alias("ok"), F.coalesce(ok & F.col("uptrend"), F.lit(False)).alias("up")))
+    loosest, most = max(float(s[0]) for s in settings.values()), max(int(s[2]) for s in settings.values())
     best = Window.partitionBy("date").orderBy("z", "ticker")
-    chosen = rows.filter("entry").withColumn("_rk", F.row_number().over(best)).filter(F.col("_rk") <= max_names)
-    seeded = rows.join(chosen.select("date", "ticker", F.lit(True).alias("_seed")), ["date", "ticker"], "left")
-    event = F.when(F.coalesce("_seed", F.lit(False)), True).when(~F.col("stay"), False)
-
-    def held_on(named: DataFrame, *by: str) -> DataFrame:
-        since = Window.partitionBy(*by, "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        return named.withColumn("_alive", F.coalesce(F.last(event, ignorenulls=True).over(since), F.lit(False))).filter("_alive").drop("_alive")
-
-    alive = held_on(seeded)
+    first = cut_lineage(rows.filter(F.col("up") & (F.col("z") < loosest)).select(
+        "date", "ticker", F.row_number().over(best).alias("_rk")).filter(F.col("_rk") <= most))
+    named = rows.join(first.select("ticker").distinct(), "ticker", "left_semi").join(first, ["date", "ticker"], "left")
+    options = F.array(*[F.struct(F.lit(i).alias("config"), F.lit(float(enter)).alias("enter"), F.lit(float(leave)).alias("leave"), F.lit(int(n)).alias("limit"))
+                        for i, (enter, leave, n) in settings.items()])
+    spread = named.withColumn("_c", F.explode(options)).select(
+        "_c.config", "_c.limit", "date", "ticker", "z",
+        F.coalesce(F.col("up") & (F.col("z") < F.col("_c.enter")), F.lit(False)).alias("entry"),
+        F.coalesce(F.col("ok") & (F.col("z") < F.col("_c.leave")), F.lit(False)).alias("stay"), "_rk")
+    seed = F.coalesce(F.col("entry") & (F.col("_rk") <= F.col("limit")), F.lit(False))
+    return _since_entry(spread.withColumn("_seed", seed), "config")
+
+
+def _since_entry(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of names that had an entry to be held for (`_seed`) and no exit after it."""
+    event = F.when(F.col("_seed"), True).when(~F.col("stay"), False)
+    since = Window.partitionBy(*by, "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_alive", F.coalesce(F.last(event, ignorenulls=True).over(since), F.lit(False))).filter("_alive").drop("_alive", "_rk")
+
+
+def held_in_turn(alive: DataFrame, runs: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Names held at each date, given the rows of `reverting`: entries, and those held before that stay, most oversold first.
+
+    What is held depends on what was held before and on the cap, so this is an ordered fold over dates. The dates are cut into
+    segments: one starts wherever every surviving name enters on that very date, because what was held before cannot matter
+    there. Segments are folded in parallel.
+
+    With `runs` (keys, date) each run, named by `keys`, holds nothing before the first of its dates: the rows are copied to the
+    runs that have their date (and config, if it is among the keys), and a run starts a segment of its own.
+    """
     if runs is not None:
-        alive = held_on(alive.join(runs.select(*keys, "date"), "date"), *keys)
+        on = [k for k in (*keys, "date") if k in alive.columns]
+        alive = _since_entry(alive.join(runs.select(*keys, "date"), on), *keys)
     days = alive.groupBy(*keys, "date").agg(F.every("entry").alias("_fresh"))
     upto = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)   # one small row per calendar day
     segments = days.select(*keys, "date", F.count_if("_fresh").over(upto).alias("segment"))
     per_date = alive.join(segments if keys else per_day(segments), [*keys, "date"]).groupBy(*keys, "segment", "date").agg(
-        F.array_sort(F.collect_list(F.struct("z", "ticker", "entry", "stay"))).alias("names"))
-    timeline = per_date.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(F.struct("date", "names"))).alias("timeline"))
+        F.array_sort(F.collect_list(F.struct("z", "ticker", "entry", "stay"))).alias("names"), F.max("limit").alias("limit"))
+    timeline = per_date.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(F.struct("date", "names", "limit"))).alias("timeline"))
 
     empty = F.array().cast("array<struct<date:date,held:array<string>>>")
 
     def step(path: Column, day: Column) -> Column:
         before = F.coalesce(F.try_element_at(path, F.lit(-1))["held"], F.array().cast("array<string>"))
         stays = F.filter(day["names"], lambda n: n["entry"] | (n["stay"] & F.array_contains(before, n["ticker"])))
-        held = F.transform(F.slice(stays, 1, max_names), lambda n: n["ticker"])
+        held = F.transform(F.slice(stays, 1, day["limit"]), lambda n: n["ticker"])
         return F.concat(path, F.array(F.struct(day["date"].alias("date"), held.alias("held"))))
 
     path = timeline.select(*keys, F.explode(F.aggregate("timeline", empty, step)).alias("day"))
     return path.select(*keys, "day.date", F.explode("day.held").alias("ticker"))
 
 
+def mean_reversion_holdings(scored: DataFrame, z_entry: float = -2.0, z_exit: float = 0.0, max_names: int = 10,
+                            runs: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Names held at each decision date: enter oversold uptrends, keep them until z recovers, most oversold first.
+
+    `scored` and `runs` as `reverting` and `held_in_turn` want them.
+    """
+    return held_in_turn(reverting(scored, {0: (z_entry, z_exit, max_names)}).drop("config"), runs, keys)
+
+
 def news_rows(grid: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows that windows of news at decision dates are made of: the dates' own and all with news. The others add nothing to a sum."""
     news = F.lit(False)
@@ -179,6 +202,6 @@ def sentiment_report(scored: DataFrame, sectors: DataFrame, top: int = 10, min_a
 
 
 __all__ = [
-    "apply_market_filter", "buy_and_hold", "market_filter", "mean_reversion_holdings", "news_rows", "pick_top", "ranked_sentiment",
-    "sentiment_report", "with_momentum_score", "with_sentiment_score", "with_sma_crossover", "with_zscore",
+    "apply_market_filter", "buy_and_hold", "held_in_turn", "market_filter", "mean_reversion_holdings", "news_rows", "pick_top", "ranked_sentiment",
+    "reverting", "sentiment_report", "with_momentum_score", "with_sentiment_score", "with_sma_crossover", "with_zscore",
 ]

@@ -41,8 +41,9 @@ class Backtest:
 
     @cached_property
     def _stored(self) -> Panel:
-        """The marked panel, written once: signals, fills and valuation all read it."""
-        return Panel(cut_lineage(P.with_mark(self.panel.grid)), cut_lineage(self.panel.calendar), self.panel.sectors)
+        """The marked panel with the strategy's signals, written once: decisions, fills and valuation all read it."""
+        marked = Panel(P.with_mark(self.panel.grid), cut_lineage(self.panel.calendar), self.panel.sectors)
+        return replace(marked, grid=cut_lineage(self._scheduled.signals(marked)))
 
     @property
     def windows(self) -> DataFrame:

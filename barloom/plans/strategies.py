@@ -6,8 +6,9 @@ parameter sets; trailing windows that several sets share are computed once.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Hashable, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -61,6 +62,16 @@ class Panel:
         prices = self.grid if self.prices is None else self.prices
         return P.with_padded_returns(prices).join(chosen.select("ticker").distinct(), "ticker", "left_semi")
 
+    @cached_property
+    def _tables(self) -> dict[Hashable, DataFrame]:
+        return {}
+
+    def kept(self, key: Hashable, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table made from this panel, stored when it is first asked for under `key`."""
+        if key not in self._tables:
+            self._tables[key] = cut_lineage(make())
+        return self._tables[key]
+
 
 def expand_grid(grid: dict[str, Sequence[Any]]) -> list[dict[str, Any]]:
     """All combinations of parameter lists, the first parameter varying slowest."""
@@ -145,33 +156,53 @@ def sma_crossover(panel: Panel, configs: Sequence[dict], params: dict) -> DataFr
     return _select_and_size(spread, panel, named, {**params, "max_per_sector": 0, "vol_target": 0})
 
 
-def mean_reversion(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
-    """Holdings start empty at `params["start"]` (a date) and after the warmup of each parameter set."""
-    every = S.decision_dates(panel.calendar, params["rebalance"])
-    if params.get("start") is not None:
-        every = every.filter(F.col("date") >= F.lit(params["start"]).cast("date"))
+def _z_of(c: dict) -> tuple[int, int]:
+    return int(c["lookback"]), int(c["trend_sma"])
+
+
+def mean_reversion_signals(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
+    """The grid with z and uptrend on the decision dates for every pair of lengths, all in one frame, and without the bars' own
+    fields: no decision reads them, so they need not be made, sorted or stored."""
+    days = S.decision_dates(panel.calendar, params["rebalance"]).select("date", F.lit(True).alias("_decides"))
+    out = P.with_running(panel.grid.join(per_day(days), "date", "left"), squares=True)
+    for a, b in sorted({_z_of(c) for c in configs}):
+        out = G.with_zscore(out, a, b, F.col("_decides")).withColumnsRenamed({"z": f"_z_{a}_{b}", "uptrend": f"_up_{a}_{b}"})
+    return out.drop("_decides", "_tick", "_n", "_s", "_q", *B.BAR_FIELDS)
+
+
+def _reverting(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
+    """The rows that can be held under each parameter set, whatever the windows."""
+    pairs = sorted({_z_of(c) for c in configs})
+    grid = panel.grid if {f"_z_{a}_{b}" for a, b in pairs} <= set(panel.grid.columns) else mean_reversion_signals(panel, configs, params)
+    today = grid.join(per_day(S.decision_dates(panel.calendar, params["rebalance"]).select("date")), "date", "left_semi")
     out = None
-    for i, c in enumerate(configs):
-        days = every.filter(F.col("bar_idx") >= STRATEGIES["mean_reversion"].warmup(c)) if params.get("start") is not None else every
-        scored = G.with_zscore(panel.ready(), int(c["lookback"]), int(c["trend_sma"])).join(per_day(days.select("date")), "date", "left_semi")
-        held = G.mean_reversion_holdings(scored, float(c["z_entry"]), float(c["z_exit"]), int(c["max_names"]))
-        sized = K.equal_weight(held.join(per_day(days), "date").withColumn("config", F.lit(i)), keys=KEYS).select("config", "date", "bar_idx", "ticker", "weight")
-        out = sized if out is None else out.unionByName(sized)
+    for a, b in pairs:
+        scored = today.select("date", "ticker", F.col(f"_z_{a}_{b}").alias("z"), F.col(f"_up_{a}_{b}").alias("uptrend"), "eligible")
+        part = G.reverting(scored, {i: (c["z_entry"], c["z_exit"], c["max_names"]) for i, c in enumerate(configs) if _z_of(c) == (a, b)})
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def mean_reversion(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
+    """Holdings start empty at `params["start"]` (a date) and after the warmup of each parameter set."""
+    start = params.get("start")
+    warm = [STRATEGIES["mean_reversion"].warmup(c) if start is not None else 0 for c in configs]
+    sets = F.explode(F.array(*[F.struct(F.lit(i).alias("config"), F.lit(w).cast("long").alias("warm")) for i, w in enumerate(warm)]))
+    days = panel.calendar if start is None else panel.calendar.filter(F.col("date") >= F.lit(start).cast("date"))
+    span = days.agg(F.min("bar_idx").alias("a"), F.max("bar_idx").alias("b")).select("a", "b", sets.alias("c"))
+    windows = span.select("c.config", F.greatest("a", "c.warm").alias("first_idx"), F.col("b").alias("last_idx")).filter(
+        F.col("a").isNotNull() & (F.col("first_idx") <= F.col("last_idx")))
+    return mean_reversion_runs(panel, configs, params, windows, ["config"])
+
+
 def mean_reversion_runs(panel: Panel, configs: Sequence[dict], params: dict, windows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Holdings of every window (keys, config among them; first_idx, last_idx), each starting empty: one signal for each parameter set."""
+    """Holdings of every window (keys, config among them; first_idx, last_idx), each starting empty: one signal for all parameter sets."""
     every = S.decision_dates(panel.calendar, params["rebalance"])
-    out = None
-    for i, c in enumerate(configs):
-        spans = windows.filter(F.col("config") == i).select(*keys, F.explode(F.sequence("first_idx", "last_idx")).alias("bar_idx"))
-        days = spans.join(per_day(every.select("date", "bar_idx")), "bar_idx")
-        scored = G.with_zscore(panel.ready(), int(c["lookback"]), int(c["trend_sma"])).join(per_day(every.select("date")), "date", "left_semi")
-        held = G.mean_reversion_holdings(scored, float(c["z_entry"]), float(c["z_exit"]), int(c["max_names"]), days, keys)
-        sized = K.equal_weight(held.join(per_day(every.select("date", "bar_idx")), "date"), keys=[*keys, "date"]).select(*keys, "date", "bar_idx", "ticker", "weight")
-        out = sized if out is None else out.unionByName(sized)
-    return out
+    alive = panel.kept(("mean_reversion", params["rebalance"], *[(*_z_of(c), c["z_entry"], c["z_exit"], c["max_names"]) for c in configs]),
+                       lambda: _reverting(panel, configs, params))
+    days = windows.select(*keys, F.explode(F.sequence("first_idx", "last_idx")).alias("bar_idx")).join(per_day(every), "bar_idx")
+    held = G.held_in_turn(alive, days.select(*keys, "date"), keys).join(per_day(every), "date")
+    return K.equal_weight(held, keys=[*keys, "date"]).select(*keys, "date", "bar_idx", "ticker", "weight")
 
 
 def buy_and_hold(panel: Panel, configs: Sequence[dict], params: dict) -> DataFrame:
@@ -192,6 +223,7 @@ class Spec:
     grid: dict[str, list] = field(default_factory=dict)
     warmup: Callable[[dict], int] = lambda p: 0
     runs: Callable[..., DataFrame] | None = None   # of a strategy whose holdings depend on earlier ones: the weights of many windows
+    signals: Callable[[Panel, Sequence[dict], dict], DataFrame] | None = None   # the grid with columns that decisions read
 
 
 def _sma_warmup(p: dict) -> int:
@@ -214,7 +246,8 @@ STRATEGIES: dict[str, Spec] = {
     "mean_reversion": Spec(
         mean_reversion,
         {"lookback": 20, "z_entry": -2.0, "z_exit": 0.0, "trend_sma": 100, "max_names": 10, "rebalance": "daily"},
-        {"lookback": [10, 20], "z_entry": [-1.5, -2.0, -2.5]}, lambda p: int(max(p["lookback"], p["trend_sma"])) + 1, mean_reversion_runs),
+        {"lookback": [10, 20], "z_entry": [-1.5, -2.0, -2.5]}, lambda p: int(max(p["lookback"], p["trend_sma"])) + 1, mean_reversion_runs,
+        mean_reversion_signals),
     "sentiment": Spec(
         sentiment,
         {"lookback": 10, "min_articles": 3, "top_n": 20, "score": "tone", "sizing": "inverse_vol", "vol_target": 0.15,
@@ -254,6 +287,12 @@ class Strategy:
         full = [{**self.params, **c} for c in self.configs]
         return (self.spec or STRATEGIES[self.name]).build(panel, full, self.params if start is None else {**self.params, "start": start})
 
+    def signals(self, panel: Panel) -> DataFrame:
+        """The panel's grid with the columns that decisions read, for a backtest to store with it: framed where the panel is
+        built, while it still lies by ticker and in order."""
+        spec = self.spec or STRATEGIES[self.name]
+        return panel.grid if spec.signals is None else spec.signals(panel, [{**self.params, **c} for c in self.configs], self.params)
+
     @property
     def stateful(self) -> bool:
         """Whether what is held depends on what was held before, so that each window needs weights of its own."""

@@ -78,14 +78,17 @@ class WalkForward:
         return with_costs(spans.filter("first_idx <= last_idx"), self.costs)
 
     def _books(self, windows: DataFrame) -> Ledger:
-        """One book per (fold, config): decisions and weights that fall into its window, starting flat."""
+        """One book per (fold, config): decisions and weights that fall into its window, starting flat. It is priced with the
+        marks of the names it ever holds, so the panel is read once and never dealt for them."""
         bars = windows.select(*PAIR, F.explode(F.sequence("first_idx", "last_idx")).alias("bar_idx"))
         decided = bars.join(self.decisions.select("bar_idx"), "bar_idx")
         if self.weights_in is None:
             weights = self.weights.join(decided, ["config", "bar_idx"]).select(*PAIR, "bar_idx", "ticker", "weight")
         else:
             weights = self.weights_in(cut_lineage(windows), PAIR)
-        book = Ledger(weights, decided.select(*PAIR, "bar_idx"), windows, self.marks, PAIR, self.initial_cash, 0 if self.costs.is_free else 4, self.cap_cash)
+        weights = cut_lineage(weights)
+        marks = cut_lineage(self.marks.join(weights.select("ticker").distinct(), "ticker", "left_semi").select("ticker", "bar_idx", "date", "mark", "fill_ref"))
+        book = Ledger(weights, decided.select(*PAIR, "bar_idx"), windows, marks, PAIR, self.initial_cash, 0 if self.costs.is_free else 4, self.cap_cash)
         return book if self.drawdown_control is None else drawdown_overlay(book, *self.drawdown_control)
 
     @cached_property

@@ -152,6 +152,24 @@ def test_mean_reversion_in_segments(spark):
     assert SG.mean_reversion_holdings(scored.limit(0)).count() == 0
 
 
+def test_mean_reversion_of_many_settings(spark):
+    """Settings of other entries, exits and caps share one rank, and each is held as if it were alone, in every run from none."""
+    rng = np.random.default_rng(3)
+    days = [day("2024-01-01") + dt.timedelta(days=k) for k in range(90)]
+    draw = lambda: None if rng.random() < 0.05 else float(np.round(rng.normal(0, 1.5), 1))  # noqa: E731   (with ties and missing values)
+    table = [(d, f"T{k:02d}", draw(), bool(rng.integers(3)), bool(rng.integers(8))) for d in days for k in range(14)]
+    scored = spark.createDataFrame(table, "date date, ticker string, z double, uptrend boolean, eligible boolean")
+    settings = {0: (-1.5, 0.5, 3), 1: (-0.5, 0.0, 2), 2: (-1.0, -1.2, 5), 3: (-9.0, 0.0, 2)}
+    alive = SG.reverting(scored, settings)
+    spans = [(i, j, days[j * 20], days[min(j * 20 + 44, 89)]) for i in settings for j in range(4)]
+    runs = spark.createDataFrame([(i, j, d) for i, j, a, b in spans for d in days if a <= d <= b], "config int, run int, date date")
+    got = SG.held_in_turn(alive, runs, ["run", "config"]).collect()
+    seen = scored.collect()
+    for i, j, a, b in spans:
+        want = _fold_by_hand([r for r in seen if a <= r.date <= b], *settings[i])
+        assert sorted((r.date, r.ticker) for r in got if (r.config, r.run) == (i, j)) == want and (want or i == 3)
+
+
 def test_mean_reversion_starts_empty(spark):
     panel = Panel.from_bars(walk(spark, list("ABCDEF"), 260, holes=False))
     s = get_strategy("mean_reversion", z_entry=-0.5, z_exit=1.5, trend_sma=30, max_names=4)

@@ -7,6 +7,7 @@ from barloom.functions import costs as C
 from barloom.operators import ledger as G
 from barloom.operators import limits as R
 from barloom.operators import panel as P
+from barloom.operators import signals as SG
 from barloom.plans import walkforward as WF
 from barloom.plans.backtest import BacktestConfig, run_backtest
 from barloom.plans.strategies import Panel, get_strategy
@@ -55,6 +56,22 @@ def test_a_strategy_with_a_memory_starts_empty_in_each_window(spark):
         assert got == pytest.approx([r.equity for r in alone.equity.orderBy("bar_idx").collect()], rel=1e-12) and len(set(got)) > 10
 
 
+def test_a_search_scores_the_panel_once_and_prices_held_names_only(spark, monkeypatch):
+    """Parameter sets and windows share the scores of a pair of lengths; a name that never moves has no score and is never held."""
+    bars = walk(spark, list("ABCDEF"), 230)
+    flat = bars.filter("ticker = 'A'").withColumns({"ticker": F.lit("FLAT"), **{c: F.lit(50.0) for c in ("open", "high", "low", "close")}})
+    panel = Panel.from_bars(bars.unionByName(flat))
+    framed, score = [], SG.with_zscore
+    monkeypatch.setattr(SG, "with_zscore", lambda grid, *lengths: framed.append(lengths[:2]) or score(grid, *lengths))
+    strategy = get_strategy("mean_reversion", search={"lookback": [10, 15], "z_entry": [-0.3, -0.8]}, trend_sma=30, max_names=2, rebalance=2)
+    found = WF.walk_forward(panel, strategy, BacktestConfig(benchmark=None, limits=HALF), train=70, test=50)
+    assert found.tests.count() >= 2 and found.trials.count() >= 8
+    assert framed == [(10, 30), (15, 30)]
+    for book in (found.training, found.testing):
+        held = {r.ticker for r in book.weights.select("ticker").distinct().collect()}
+        assert held and "FLAT" not in held and {r.ticker for r in book.marks.select("ticker").distinct().collect()} == held
+
+
 @pytest.mark.parametrize("model", [C.PRESETS["retail"], C.PRESETS["ibkr"], C.CostModel(0.01, 0.0, 0.002, 30.0, 20.0), C.PRESETS["zero"]])
 def test_fully_invested_books_end_where_the_cash_does(spark, model):
     tickers = list("ABCDEF")
